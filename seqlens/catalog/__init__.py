@@ -1,6 +1,6 @@
 """Every operator as a runnable query over the given tables, with its SQL oracle."""
 
-from seqlens.catalog import review  # noqa: F401
+from seqlens.catalog import evidence, review  # noqa: F401
 from seqlens.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -137,7 +137,7 @@ TABLES_SQL: dict[str, str] = {
         SELECT chapter_id, scene, pos - 1 AS pos, word, (pos - 1) * 0.5 AS w_start, (pos - 1) * 0.5 + 0.25 AS w_end
         FROM (SELECT chapter_id, scene, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos
               FROM (SELECT chapter_id, scene,
-                           list_filter(string_split_regex(narration, '\\s+'), x -> x <> '') AS w FROM v_script))""",
+                           list_filter(string_split_regex(narration, '\\s+'), lambda x: x <> '') AS w FROM v_script))""",
     "v_word_scenes": """
         SELECT s.chapter_id, s.scene, s.narration, coalesce(n, 0) * 0.5 + 1.0 AS dur
         FROM v_script s LEFT JOIN (SELECT chapter_id, scene, count(*) AS n FROM v_words GROUP BY 1, 2) w
