@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_tables(sql)
+            ORACLES[name] = sql
         return fn
 
     return register
