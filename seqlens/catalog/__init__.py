@@ -1,6 +1,6 @@
 """Every operator as a runnable query over the given tables, with its SQL oracle."""
 
-from seqlens.catalog import evidence, layout, review, timeline  # noqa: F401
+from seqlens.catalog import evidence, layout, ranking, review, timeline  # noqa: F401
 from seqlens.catalog.base import ORACLES, QUERIES, with_tables
 
 __all__ = ["QUERIES", "oracles"]

@@ -36,14 +36,16 @@ def read_faults(spark: SparkSession, path: str) -> DataFrame:
     return parse_faults(files, ["chapter_id"])
 
 
-def ingest_ordered_units(files: DataFrame, keys: Sequence[str], path: str = "path", endings: Sequence[str] = IMAGE_ENDINGS) -> DataFrame:
+def ingest_ordered_units(
+    files: DataFrame, keys: Sequence[str], path: str = "path", endings: Sequence[str] = IMAGE_ENDINGS, tie: Sequence[str] = ()
+) -> DataFrame:
     """Number the image files of each group in natural order, from 1.
 
     Adds ``unit`` (position) and ``unit_name`` (three digits or more plus ending).
     """
     ending = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
     images = files.withColumn("__end", ending).filter(F.col("__end").isin(*endings))
-    placed = ranked_positions(images, keys, [natural_key(path), F.col(path)], "unit")
+    placed = ranked_positions(images, keys, [natural_key(path), F.col(path), *tie], "unit")
     number = (F.col("unit") + 1).cast("string")
     wide = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
     return placed.withColumns({
