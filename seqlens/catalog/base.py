@@ -179,7 +179,7 @@ class Tables:
                  "l_discount", "l_tax"]
         lines = self.lineitem.select("l_orderkey", "l_returnflag", "l_linestatus", *order)
         lines = scan(
-            lines, ["l_orderkey"], order, [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 4096)],
+            lines, ["l_orderkey"], order, F.floor(F.col("l_linenumber") / 8),
             number="scene",
         )
         return lines.select(

@@ -31,15 +31,14 @@ def time_block(column: str | Column, seconds: float = 86400.0) -> Column:
 
 
 def _join_blocks(rows: DataFrame, blocks: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Inner join on keys that may be null (a null group is a group)."""
-    right = blocks
-    for name in on:
-        right = right.withColumnRenamed(name, f"__r_{name}")
-    cond = None
-    for name in on:
-        test = rows[name].eqNullSafe(right[f"__r_{name}"])
-        cond = test if cond is None else cond & test
-    return rows.join(right, cond, "inner").drop(*[f"__r_{name}" for name in on])
+    """Rows meet their block's summary on the very keys they are partitioned by.
+
+    Plain equality keeps the rows where the window already put them; a null-safe
+    test would hash other expressions and shuffle them again. Keys are never null.
+    The merge hint keeps a summary that was only estimated small from being broadcast;
+    the rows are already sorted by these keys.
+    """
+    return rows.join(blocks.hint("merge"), list(on), "left")
 
 
 def scan(
@@ -63,8 +62,8 @@ def scan(
     before / after  nearest non-null value strictly before / after the row
     number          0-based position in the group; total: rows in the group
 
-    ``order`` names non-null ascending columns that make a strict order;
-    ``block`` must be non-decreasing along that order.
+    ``keys`` must not be null. ``order`` names non-null ascending columns that make
+    a strict order; ``block`` must be non-decreasing along that order.
     """
     prev, nxt = dict(prev or {}), dict(nxt or {})
     running, before, after = dict(running or {}), dict(before or {}), dict(after or {})

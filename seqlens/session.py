@@ -32,10 +32,11 @@ def local_session(cpus: int | str = "*", app: str = "seqlens", partitions: int =
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on shared storage so later rounds do not recompute it.
+    """Checkpoint ``df`` on shared storage so later steps do not recompute it.
 
     The folder is the one the session names in ``spark.checkpoint.dir``; only a
-    local master may fall back to a temporary folder.
+    local master may fall back to a temporary folder. Checkpointed data survives
+    lost executors.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
