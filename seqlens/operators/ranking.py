@@ -231,8 +231,8 @@ def distinct_assignment(plan: DataFrame, tracks: DataFrame, keys: Sequence[str],
     ranked = tracks.withColumns({"rank": F.row_number().over(order), "name": named}).filter(F.col("rank") <= moods + tries + 1)
     lists = ranked.groupBy("mood").agg(F.array_sort(F.collect_list(F.struct("rank", "track_id", "name", "md5"))).alias("cands"))
     rows = first.join(lists, "mood", "left").groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("ord", "mood", "cands"))).alias("m"))
-    track = rows.schema["m"].dataType.elementType["cands"].dataType.elementType.simpleString()
+        F.array_sort(F.collect_list(F.struct("ord", "mood", "cands"))).alias("__moods"))
+    track = rows.schema["__moods"].dataType.elementType["cands"].dataType.elementType.simpleString()
     slot = f"struct<mood:string,cands:array<{track}>,pick:{track}>"
     names = F.array().cast("array<string>")
     none = F.lit(None).cast(track)
@@ -254,10 +254,10 @@ def distinct_assignment(plan: DataFrame, tracks: DataFrame, keys: Sequence[str],
             F.concat(st["rows"], F.array(row)).alias("rows"))
 
     empty = F.array().cast(f"array<{slot}>")
-    rows = rows.withColumn("p", F.aggregate("m", F.struct(names.alias("used"), empty.alias("rows")), choose))
-    start = F.struct(names.alias("seen"), F.col("p.used").alias("used"), empty.alias("rows"))
-    rows = rows.select(*keys, F.explode(F.aggregate("p.rows", start, settle, lambda s: s["rows"])).alias("r"))
-    return rows.select(*keys, "r.mood", F.col("r.pick.track_id").alias("track_id"))
+    rows = rows.withColumn("__first", F.aggregate("__moods", F.struct(names.alias("used"), empty.alias("rows")), choose))
+    start = F.struct(names.alias("seen"), F.col("__first.used").alias("used"), empty.alias("rows"))
+    rows = rows.select(*keys, F.explode(F.aggregate("__first.rows", start, settle, lambda s: s["rows"])).alias("__row"))
+    return rows.select(*keys, "__row.mood", F.col("__row.pick.track_id").alias("track_id"))
 
 
 def attribution_list(plan: DataFrame, keys: Sequence[str]) -> DataFrame:
