@@ -14,6 +14,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlens.session import cut_lineage
+
 #: Rows per block for dense ordinals.
 BLOCK = 65536
 
@@ -195,6 +197,8 @@ def islands(
         F.min_by(watched, at).alias("__head"),
         F.max_by(watched, at).alias("__tail"),
     )
+    # the pieces are read twice below; written once, the rows are sorted only once
+    pieces = cut_lineage(pieces)
     edges = pieces.groupBy(*part).agg(
         F.max("__piece").alias("__count"),
         F.min_by("__head", "__piece").alias("__bhead"),
@@ -288,8 +292,6 @@ def ranked_positions(
     the partitioned rows are written once to the checkpoint folder because the
     range bounds are sampled and must not move between the two uses.
     """
-    from seqlens.session import cut_lineage
-
     keys = list(keys)
     sort = [F.col(o) if isinstance(o, str) else o for o in order]
     placed = df.withColumns({f"__o{i}": c for i, c in enumerate(sort)})

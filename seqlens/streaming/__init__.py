@@ -1 +1 @@
-
+"""Continuous upkeep of the evidence ledger."""
