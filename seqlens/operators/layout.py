@@ -360,7 +360,8 @@ def containment_audit(plans: DataFrame, words: DataFrame, boxes: DataFrame, keys
     panel, x, y, w, h). One row per cut with boxes: checked beats, violations, first.
 
     All boxes of a panel lie in a window exactly when their extent does, so boxes
-    shrink to one extent per cut before beats are made.
+    shrink to one extent per cut. The beats of a cut are an array in its row (the
+    words of one scene and a grid), so nothing is exploded or shuffled per beat.
     """
     keys = list(keys)
     cid = [*keys, "scene", "cut"]
@@ -374,22 +375,16 @@ def containment_audit(plans: DataFrame, words: DataFrame, boxes: DataFrame, keys
                                         & (F.col("y1") > F.col("ry")) & (F.col("y0") < F.col("ry") + F.col("rh")))
     keep = lambda agg, c: agg(F.when(seen, F.col(c))).alias(f"b{c}")
     extent = met.groupBy(*cid).agg(keep(F.min, "x0"), keep(F.min, "y0"), keep(F.max, "x1"), keep(F.max, "y1"))
-    cuts = tall.join(extent, cid)
-    total = F.col("dur") + F.col("cut_off")
-    grid = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(total * 2).cast("int") - 1, F.lit(0))), lambda k: k * F.lit(0.5))
-    fixed = F.concat(grid, F.array(F.lit(0.0), total * 0.5, F.greatest(total - 1e-3, F.lit(0.0))))
-    base = cuts.select(*cid, F.explode(fixed).alias("b"), "cut_off", "dur")
-    spoken = words.select(*keys, "scene", F.explode(F.array("w_start", "w_end")).alias("b"))
-    base = base.unionByName(cuts.select(*cid, "cut_off", "dur").join(spoken, [*keys, "scene"]).select(*cid, "b", "cut_off", "dur"))
-    end = F.col("dur") + F.col("cut_off") + 1e-6
-    beats = base.filter((F.col("b") >= 0) & (F.col("b") <= end)).withColumn("t", F.col("b") - F.col("cut_off"))
-    beats = beats.filter((F.col("t") >= 0) & (F.col("t") <= F.col("dur") + 1e-6)).select(*cid, "b", "t").distinct()
-    rows = beats.join(cuts, cid)
+    spoken = words.groupBy(*keys, "scene").agg(F.collect_list(F.array("w_start", "w_end")).alias("__said"))
+    rows = tall.join(extent, cid).join(spoken, [*keys, "scene"], "left")
     c = F.col
+    total = c("dur") + c("cut_off")
+    grid = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(total * 2).cast("int") - 1, F.lit(0))), lambda k: k * F.lit(0.5))
+    fixed = F.array(F.lit(0.0), total * 0.5, F.greatest(total - 1e-3, F.lit(0.0)))
+    said = F.flatten(F.coalesce("__said", F.array().cast("array<array<double>>")))
+    in_cut = lambda b: (b >= 0) & (b <= total + 1e-6) & (b >= c("cut_off")) & (b - c("cut_off") <= c("dur") + 1e-6)
+    rows = rows.withColumn("__beats", F.filter(F.array_distinct(F.concat(grid, fixed, said)), in_cut)).filter(F.size("__beats") > 0)
     g = c("fw") / c("pw")
-    top = c("y0") + (c("y1") - c("y0")) * smoothstep(c("t") / c("dur"))
-    scroll = (c("by0") * g >= top) & (c("by1") * g <= top + c("ss_h"))
     fit = F.least(c("ss_w") / c("pw"), c("ss_h") / c("ph"))
     ox, oy = (c("ss_w") - c("pw") * fit) / 2.0, (c("ss_h") - c("ph") * fit) / 2.0
     cy = F.coalesce("cy", F.lit(0.5))
@@ -401,7 +396,14 @@ def containment_audit(plans: DataFrame, words: DataFrame, boxes: DataFrame, keys
     ccx, ccy = c("rx") + c("rw") / 2.0, c("ry") + c("rh") / 2.0
     hx, hy = c("rw") / (2.0 * c("zmax")), c("rh") / (2.0 * c("zmax"))
     crop = c("bx0").isNull() | ((c("bx0") >= ccx - hx) & (c("bx1") <= ccx + hx) & (c("by0") >= ccy - hy) & (c("by1") <= ccy + hy))
-    inside = F.when(c("mode") == "contain", True).when(c("mode") == "scroll", scroll).when(c("mode") == "crop", crop).otherwise(still)
-    return rows.groupBy(*cid).agg(
-        F.count(F.lit(1)).alias("checked"), F.count_if(~inside).alias("violations"), F.min(F.when(~inside, F.col("b"))).alias("first_at")
-    )
+    fixed_view = F.when(c("mode") == "contain", True).when(c("mode") == "crop", crop).otherwise(still)
+
+    def leaves(b):
+        top = c("y0") + (c("y1") - c("y0")) * smoothstep((b - c("cut_off")) / c("dur"))
+        return (c("by0") * g < top) | (c("by1") * g > top + c("ss_h"))
+
+    none = F.array().cast("array<double>")
+    bad = F.when(c("mode") == "scroll", F.filter("__beats", leaves)).when(fixed_view, none).otherwise(c("__beats"))
+    rows = rows.withColumn("__bad", bad)
+    return rows.select(
+        *cid, F.size("__beats").cast("bigint").alias("checked"), F.size("__bad").cast("bigint").alias("violations"), F.array_min("__bad").alias("first_at"))

@@ -49,7 +49,9 @@ def verify_scripts(
     found = rescued.filter("status = 'append'").select(*keys, "scene", F.explode(F.array_compact(F.array("panel", "next_panel"))).alias("panel")).distinct()
     added = found.join(kept, [*keys, "scene", "panel"], "left_anti")
     # appended units follow the scripted ones
-    kept = cut_lineage(kept.unionByName(added.withColumn("ord", (F.lit(1000000) + F.xxhash64("panel") % 1000).cast(kept.schema["ord"].dataType))))
+    tail = added.join(texts.select(*keys, "panel", "read_pos"), [*keys, "panel"]).select(
+        *keys, "scene", "panel", (F.lit(1000000) + F.col("read_pos")).cast(kept.schema["ord"].dataType).alias("ord"))
+    kept = cut_lineage(kept.unionByName(tail))
     scores = E.relevance_join(kept, scenes, texts, keys)
     unclear = E.ambiguous_scenes(scores, keys).filter("ambiguous").select(*keys, "scene")
     asked = answers.join(unclear, [*keys, "scene"], "left_semi")

@@ -15,13 +15,15 @@ def connected_components(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014): the
     number of rounds grows with the logarithm of the component size, and every
-    node's neighbours are only aggregated with ``min``, never collected.
+    node's neighbours are only aggregated with ``min``, never collected. It is done when
+    a round leaves the set of pairs, known by its size and hash, as it was.
     """
     keys = list(keys)
     pairs = cut_lineage(
         edges.select(*keys, F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v"))
         .filter("u <> v").distinct()
     )
+    seen = None
     while True:
         both = pairs.unionByName(pairs.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -38,12 +40,10 @@ def connected_components(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]
             .filter("u <> v").distinct()
         )
         small = cut_lineage(small)
-        moved = small.join(pairs, [*keys, "u", "v"], "left_anti").unionByName(
-            pairs.join(small, [*keys, "u", "v"], "left_anti")
-        )
-        settled = moved.isEmpty()
         pairs = small
-        if settled:
+        mark = pairs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*keys, "u", "v")).alias("x")).first()
+        if mark == seen:
             break
+        seen = mark
     roots = pairs.groupBy(*keys, F.col("u").alias("id")).agg(F.min("v").alias("root"))
     return nodes.join(roots, [*keys, "id"], "left").withColumn("root", F.coalesce("root", "id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every job wants. Partition counts are left to the cluster: AQE
@@ -47,4 +48,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    # held while the checkpoint counts and then writes, so the plan runs once
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
