@@ -103,14 +103,16 @@ def merge_duplicate_boxes(boxes: DataFrame, keys: Sequence[str], cell: float = 1
     keys = list(keys)
     cols = ["x", "y", "w", "h"]
     live = cut_lineage(boxes.select(*keys, "box_id", *[F.col(c).cast("double").alias(c) for c in cols]))
-    settled = None
+    settled: list[DataFrame] = []
     while True:
         pairs = box_pairs(live, keys, "box_id", cell)
         shared = box_intersection(F.col("box_a"), F.col("box_b"))
         small = F.least(F.col("box_a.w") * F.col("box_a.h"), F.col("box_b.w") * F.col("box_b.h"))
         pairs = cut_lineage(pairs.filter((shared > 0) & (shared >= SAME_BOX * small)))
         if pairs.isEmpty():
-            return live if settled is None else settled.unionByName(live)
+            for part in settled:
+                live = live.unionByName(part)
+            return live
         ends = pairs.select(*keys, F.col("id_a").alias("id"), F.col("id_b").alias("to")).unionByName(
             pairs.select(*keys, F.col("id_b").alias("id"), F.col("id_a").alias("to")))
         first = ends.groupBy(*keys, "id").agg(F.min("to").alias("to"))
@@ -122,11 +124,10 @@ def merge_duplicate_boxes(boxes: DataFrame, keys: Sequence[str], cell: float = 1
             *keys, F.col("id_a").alias("box_id"), x.alias("x"), y.alias("y"),
             (F.greatest(a["x"] + a["w"], b["x"] + b["w"]) - x).alias("w"), (F.greatest(a["y"] + a["h"], b["y"] + b["h"]) - y).alias("h"))
         used = joined.select(*keys, F.explode(F.array("id_a", "id_b")).alias("box_id"))
-        after = live.join(used, [*keys, "box_id"], "left_anti").unionByName(union)
+        after = cut_lineage(live.join(used, [*keys, "box_id"], "left_anti").unionByName(union))
         touched = pairs.select(*keys).distinct()
-        rest = after.join(touched, keys, "left_anti")
-        settled = cut_lineage(rest if settled is None else settled.unionByName(rest))
-        live = cut_lineage(after.join(touched, keys, "left_semi"))
+        settled.append(after.join(touched, keys, "left_anti"))
+        live = after.join(touched, keys, "left_semi")
 
 
 def nms(boxes: DataFrame, keys: Sequence[str], limit: float = NMS_IOU, cell: float = 128.0) -> DataFrame:
