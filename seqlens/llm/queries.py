@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqlens.llm import bpe, mixing, token_counts
-from seqlens.llm.common import table
+from seqlens.llm import bpe, mixing, simhash, token_counts, warc
+from seqlens.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +45,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("ids_le")
 
 
+@llm_query("op5_warc", warc.PAGES_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    warc.write_archive(warc.page_records(table(spark, sf_dir, "pages")), folder)
+    return warc.read_archive(spark, folder).select(
+        F.col("record_key").alias("page_id"), F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
+
+
 @llm_query("op7_mixing", mixing.MIX_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
+
+
+@llm_query("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
