@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlens.llm import bpe, mixing, simhash, substrings, token_counts, warc
+from seqlens.llm import bpe, iblt, mixing, simhash, substrings, token_counts, warc
 from seqlens.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query("op9_substrings")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.kept_digests(table(spark, sf_dir, "documents"))
+
+
+@llm_query("op10_lookup_sketches")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprint_edits(table(spark, sf_dir, "documents"))
