@@ -109,17 +109,17 @@ def edited_versions(docs: DataFrame, chain: DataFrame, sketch: Sketch) -> DataFr
     docs: k, text. Rows of one id with the same text become one row with its number of copies.
     """
     shaped = docs.withColumn("h", F.xxhash64("text")).repartition("k")
-    # everything is dealt by k alone from here on, so only the senders' short pieces are shuffled again
+    # everything is dealt by k alone from here on (hence the hints), so only the senders' short pieces are shuffled again
     unique = shaped.groupBy("k", "h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     sent = (
         unique.select("k", "h", "text", "copies")
-        .join(chain.select(F.col("next_k").alias("k"), "next_h", "need", F.col("k").alias("to")), "k")
+        .join(chain.select(F.col("next_k").alias("k"), "next_h", "need", F.col("k").alias("to")).hint("merge"), "k")
         .filter(F.col("h").bitwiseXOR(F.col("next_h")) == 0)
         .select(F.col("to").alias("k"), F.expr("left(text, need)").alias("tail"), digests(F.col("text"), sketch).alias("next"))
     )
     third = F.floor(F.col("n_chars") / 3).cast("int")
     return (
-        unique.join(sent, "k").withColumn("n_chars", F.length("text").cast("bigint"))
+        unique.join(sent.hint("merge"), "k").withColumn("n_chars", F.length("text").cast("bigint"))
         .withColumn("third", third)
         .withColumn("edited", F.expr("concat(left(text, cast(n_chars as int) - third), left(tail, third))"))
         .withColumn("own", digests(F.col("text"), sketch)).withColumn("changed", digests(F.col("edited"), sketch))
