@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlens.llm import bpe, iblt, mixing, simhash, substrings, token_counts, warc
+from seqlens.llm import bpe, iblt, mixing, quality, rules, simhash, substrings, token_counts, toxicity, warc
 from seqlens.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+@llm_query("op2_weak_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"))
+
+
+@llm_query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 @llm_query("op4_byte_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -54,6 +65,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
 
 
+@llm_query("op6_quality_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("failed_rules")
+
+
 @llm_query("op7_mixing", mixing.MIX_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
