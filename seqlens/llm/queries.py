@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from seqlens.llm import bpe, iblt, mixing, quality, rules, simhash, substrings, token_counts, toxicity, warc
 from seqlens.llm.common import shared_folder, table
 
@@ -88,3 +89,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query("op10_lookup_sketches")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@llm_query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -2,14 +2,15 @@
 
 Fingerprints are points of a 64-bit binary trie. Two nodes of equal depth are followed
 together, their differing bits are added up, and the pair is dropped once the error
-budget is spent. If two fingerprints differ in at most ``errors`` bits, one half holds
-at most ``errors // 2`` of them, so there is one trie per half, that half first, with
-that smaller budget down to depth 32 and the full one below.
+budget is spent. The bits are cut into ``parts`` equal parts, and there is one trie for each
+part that may come first, the others following in turn. If two fingerprints differ in
+at most ``errors`` bits, then in one of these turns the first k parts hold at most
+``errors * k / parts`` of them for every k, so each trie may use this smaller budget.
 
 The upper levels are followed by Spark: a trie is cut at a depth that grows with the
 number of fingerprints, and every surviving pair of nodes there becomes one group. The
 lower levels are followed by one task per group, a level at a time over arrays. Links
-are reduced to a forest per group, so a dense cloud of near copies stays linear.
+are reduced to a forest per group, so what leaves a task is no more than its leaves.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ from seqlens.llm.common import cut_lineage
 from seqlens.plans.rounds import connected_components
 
 BITS = 64
-#: Leaves under a node where Spark hands a pair of nodes to a task, about.
-LEAVES = 8_000
+#: Leaves under a node where Spark hands a pair of nodes to a task, about; and the depth at which it does so at least.
+LEAST_DEPTH = 5
+LEAVES = 32_000
+#: Pairs of nodes that a task follows at a time.
+PORTION = 500_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -51,142 +55,173 @@ def fingerprint_of(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * counts > n).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed 64-bit number. Null texts count as empty: fingerprint zero."""
+def fingerprints(docs: DataFrame, width: int = 3, other_width: int | None = None) -> DataFrame:
+    """doc_id (and ``h`` where there is one) and ``fp``, the fingerprint as a signed 64-bit number.
+
+    With ``other_width`` there is a second one, ``other``. Null texts count as empty: fingerprint zero.
+    """
+    columns = [c for c in docs.columns if c in ("doc_id", "h")]
+    widths = [width] if other_width is None else [width, other_width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter(
-                (fingerprint_of((t.as_py() or "").encode(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            texts = [(t.as_py() or "").encode() for t in batch.column(batch.num_columns - 1)]
+            found = [
+                pa.array(np.fromiter((fingerprint_of(t, w) for t in texts), np.uint64, len(texts)).view(np.int64)) for w in widths]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [*columns, *["fp", "other"][:len(widths)]])
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in columns), *[f"{c} long" for c in ["fp", "other"][:len(widths)]]])
+    return docs.select(*columns, "text").mapInArrow(run, schema)
+
+
+def budget_at(depth: int, errors: int, parts: int) -> int:
+    """Differing bits that the first ``depth`` bits may hold."""
+    return min(errors, errors * -(-depth * parts // BITS) // parts)
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+def masks_at(depth: int, errors: int, parts: int) -> list[int]:
+    """What two nodes at ``depth`` may differ by."""
+    masks = {0: 0}
+    for at in range(1, depth + 1):
+        budget = budget_at(at, errors, parts)
+        masks = {m << 1 | bit: n + bit for m, n in masks.items() for bit in (0, 1) if n + bit <= budget}
+    return sorted(masks)
 
 
-def _head(fp: Column, half: Column, depth: int) -> Column:
-    """First ``depth`` bits of the fingerprint whose halves are turned if ``half`` is 1."""
-    turned = F.when(half == 1, F.shiftrightunsigned(fp, 32).bitwiseOR(F.shiftleft(fp, 32))).otherwise(fp)
-    return F.shiftrightunsigned(turned, BITS - depth) if depth else F.lit(0).cast("bigint")
+def turned(fp: Column, bits: Column) -> Column:
+    """The fingerprint turned left by ``bits``."""
+    return F.when(bits == 0, fp).otherwise(
+        F.call_function("shiftleft", fp, bits).bitwiseOR(F.call_function("shiftrightunsigned", fp, BITS - bits)))
 
 
-def node_pairs(points: DataFrame, depth: int, budget: int) -> DataFrame:
-    """Rows (half, low, high, side, fp): the leaves of each pair of nodes at ``depth`` within ``budget`` differing bits.
+def node_pairs(points: DataFrame, depth: int, errors: int, parts: int) -> DataFrame:
+    """Rows (turn, low, high, side, fp, other): the leaves of each pair of nodes at ``depth`` within the budget.
 
     A pair is named by its two nodes, the smaller first; ``side`` tells under which the leaf is.
-    The partners of a node are itself and the nodes that differ in up to ``budget`` of its bits.
     """
-    masks = [0]
-    for _ in range(budget):
-        masks = sorted({m | (1 << b) for m in masks for b in range(depth)} | set(masks))
-    halves = points.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
-    own = halves.withColumn("node", _head(F.col("fp"), F.col("half"), depth))
-    met = own.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks])))
-    other = F.col("node").bitwiseXOR(F.col("mask"))
+    turn = BITS // parts
+    own = points.withColumn("turn", F.explode(F.array(*[F.lit(i * turn) for i in range(parts)])))
+    node = F.shiftrightunsigned(turned(F.col("fp"), F.col("turn")), BITS - depth) if depth else F.lit(0).cast("bigint")
+    met = own.withColumn("node", node).withColumn(
+        "mask", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks_at(depth, errors, parts)])))
+    partner = F.col("node").bitwiseXOR(F.col("mask"))
     return met.select(
-        "half", F.least("node", other).alias("low"), F.greatest("node", other).alias("high"),
-        (F.col("node") > other).cast("int").alias("side"), "fp")
+        "turn", F.least("node", partner).alias("low"), F.greatest("node", partner).alias("high"),
+        (F.col("node") > partner).cast("int").alias("side"), "fp", "other", "id")
 
 
-def follow(left: np.ndarray, right: np.ndarray, depth: int, first_budget: int, errors: int) -> tuple[np.ndarray, np.ndarray]:
+def follow(left: np.ndarray, right: np.ndarray, depth: int, errors: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indices (into the sorted arrays) of leaf pairs within ``errors`` bits, followed from two nodes at ``depth``.
 
-    left, right: sorted distinct unsigned fingerprints under the two nodes; the same array for a node with itself.
+    left, right: sorted unsigned fingerprints under the two nodes; the same array for a
+    node with itself. Pairs come in portions; a long list of node pairs is followed a portion at a time.
     """
-    same = left is right
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    front = [np.array([x], np.int64) for x in (0, len(left), 0, len(right))]
     if not len(left) or not len(right):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return
+    same = left is right
     first = int(left[0] >> np.uint64(BITS - depth)) ^ int(right[0] >> np.uint64(BITS - depth)) if depth else 0
-    errs = np.array([first.bit_count()], np.int64)
-    while len(errs):
-        a0, a1, b0, b1 = front
-        single = (a1 - a0 == 1) & (b1 - b0 == 1)
-        if single.any():
-            x, y = a0[single], b0[single]
+    start = tuple(np.array([x], np.int64) for x in (0, len(left), 0, len(right), first.bit_count()))
+    waiting = [(depth, start)]
+    while waiting:
+        depth, (a0, a1, b0, b1, errs) = waiting.pop()
+        done = ((a1 - a0 == 1) & (b1 - b0 == 1)) | (depth == BITS)
+        if done.any():
+            n = ((a1 - a0) * (b1 - b0))[done]
+            nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            width = np.repeat((b1 - b0)[done], n)
+            x, y = np.repeat(a0[done], n) + nth // width, np.repeat(b0[done], n) + nth % width
             near = np.bitwise_count(left[x] ^ right[y]) <= errors
             if same:
                 near &= x < y
-            found.append((x[near], y[near]))
-        rest = ~single
-        a0, a1, b0, b1, errs = a0[rest], a1[rest], b0[rest], b1[rest], errs[rest]
-        if not len(errs) or depth == BITS:
-            break
+            yield x[near], y[near]
+        a0, a1, b0, b1, errs = (v[~done] for v in (a0, a1, b0, b1, errs))
+        if not len(errs):
+            continue
+        if len(errs) > PORTION:
+            half = len(errs) // 2
+            waiting += [(depth, tuple(v[:half] for v in (a0, a1, b0, b1, errs))), (depth, tuple(v[half:] for v in (a0, a1, b0, b1, errs)))]
+            continue
         bit = np.uint64(1) << np.uint64(BITS - 1 - depth)
         depth += 1
-        budget = first_budget if depth <= BITS // 2 else errors
+        budget = budget_at(depth, errors, parts)
         above = ~np.uint64(0) << np.uint64(BITS - depth)
-        a_mid = np.searchsorted(left, (left[a0] & above) | bit)
-        b_mid = np.searchsorted(right, (right[b0] & above) | bit)
-        a_mid, b_mid = np.clip(a_mid, a0, a1), np.clip(b_mid, b0, b1)
+        a_mid = np.clip(np.searchsorted(left, (left[a0] & above) | bit), a0, a1)
+        b_mid = np.clip(np.searchsorted(right, (right[b0] & above) | bit), b0, b1)
         next_ = []
-        for (alo, ahi), (blo, bhi), more in (
-            ((a0, a_mid), (b0, b_mid), 0), ((a_mid, a1), (b_mid, b1), 0),
-            ((a0, a_mid), (b_mid, b1), 1), ((a_mid, a1), (b0, b_mid), 1),
+        for alo, ahi, blo, bhi, more in (
+            (a0, a_mid, b0, b_mid, 0), (a_mid, a1, b_mid, b1, 0), (a0, a_mid, b_mid, b1, 1), (a_mid, a1, b0, b_mid, 1),
         ):
             keep = (alo < ahi) & (blo < bhi) & (errs + more <= budget)
             if same:  # a pair of nodes is followed once
                 keep &= alo <= blo
             next_.append((alo[keep], ahi[keep], blo[keep], bhi[keep], errs[keep] + more))
-        a0, a1, b0, b1, errs = (np.concatenate(c) for c in zip(*next_, strict=True))
-        front = [a0, a1, b0, b1]
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+        waiting.append((depth, tuple(np.concatenate(c) for c in zip(*next_, strict=True))))
 
 
-def forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """Smallest member of each point's component, by hooking and pointer jumping over arrays."""
-    root = np.arange(n)
+def joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``root`` (smallest member of each point's component) after linking x to y, by hooking and pointer jumping."""
     while True:
         rx, ry = root[x], root[y]
-        low = np.minimum(rx, ry)
         apart = rx != ry
         if not apart.any():
             return root
-        np.minimum.at(root, np.maximum(rx, ry)[apart], low[apart])
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
+        np.minimum.at(root, np.maximum(rx, ry)[apart], np.minimum(rx, ry)[apart])
+        while not ((up := root[root]) == root).all():
             root = up
 
 
-def links(points: DataFrame, errors: int = 3, leaves: int = LEAVES) -> DataFrame:
-    """Edges (a, b) of a forest with the same components as all pairs of ``points.fp`` within ``errors`` bits.
+def links(
+    points: DataFrame, errors: int, parts: int, other_errors: int | None = None, leaves: int = LEAVES, least_depth: int = LEAST_DEPTH,
+) -> DataFrame:
+    """Edges (a, b) of a forest with the same components as all linked pairs of points.
 
-    points: distinct fingerprints. Groups that hold too many leaves are cut deeper, at most to depth 32.
+    points: distinct (fp, other, id). Two link if their ``fp`` differ in at most ``errors`` bits and,
+    where ``other_errors`` is given, their ``other`` in at most so many. Edges name the points by ``id``.
     """
     n = points.count()
-    budget = errors // 2
-    depth = min(BITS // 2, max(0, (max(1, n) // leaves).bit_length()))
+    depth = min(BITS // 2, max(least_depth, (n // leaves).bit_length()))
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        low, high = key[1].as_py(), key[2].as_py()
-        fps = group.column("fp").to_numpy().view(np.uint64)
-        if key[0].as_py():
-            fps = (fps >> np.uint64(32)) | (fps << np.uint64(32))
-        side = group.column("side").to_numpy()
-        if low == high:
-            left = right = np.sort(fps)
-        else:
-            left, right = np.sort(fps[side == 0]), np.sort(fps[side == 1])
-        x, y = follow(left, right, depth, budget, errors)
-        if low != high:
-            y = y + len(left)
-        both = left if low == high else np.concatenate([left, right])
-        root = forest(x, y, len(both))
-        child = np.flatnonzero(root != np.arange(len(both)))
-        a, b = both[root[child]], both[child]
-        if key[0].as_py():
-            a, b = ((v >> np.uint64(32)) | (v << np.uint64(32)) for v in (a, b))
-        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
-
-    return node_pairs(points, depth, budget).groupBy("half", "low", "high").applyInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, width: int = 3, errors: int = 3) -> DataFrame:
+        turn, alone = key[0].as_py(), key[1].as_py() == key[2].as_py()
+        fps, others, side = (group.column(c).to_numpy() for c in ("fp", "other", "side"))
+        fps, ids = fps.view(np.uint64), group.column("id").to_numpy()
+        if turn:
+            fps = (fps << np.uint64(turn)) | (fps >> np.uint64(BITS - turn))
+        order = np.lexsort((others, fps, side))
+        fps, others, ids = fps[order], others.view(np.uint64)[order], ids[order]
+        cut = len(fps) if alone else int((side == 0).sum())
+        left = fps[:cut]
+        right, shift = (left, 0) if alone else (fps[cut:], cut)
+        root = np.arange(len(fps))
+        for x, y in follow(left, right, depth, errors, parts):
+            if other_errors is not None:
+                alike = np.bitwise_count(others[x] ^ others[y + shift]) <= other_errors
+                x, y = x[alike], y[alike]
+            root = joined(root, x, y + shift)
+        child = np.flatnonzero(root != np.arange(len(fps)))
+        return pa.table({"a": pa.array(ids[root[child]]), "b": pa.array(ids[child])})
+
+    pairs = node_pairs(points, depth, errors, parts)
+    return pairs.groupBy("turn", "low", "high").applyInArrow(run, "a long, b long")
+
+
+def components(prints: DataFrame, errors: int, parts: int, other_errors: int | None = None) -> DataFrame:
+    """``prints`` (doc_id, fp, other) with ``component_id``, the smallest doc_id reachable over links."""
+    # copies fold to one point before anything is paired
+    points = cut_lineage(prints.groupBy("fp", "other").agg(F.min("doc_id").alias("least")).withColumn(
+        "id", F.monotonically_increasing_id()))
+    edges = cut_lineage(links(points.select("fp", "other", "id"), errors, parts, other_errors))
+    touched = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    roots = connected_components(edges.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")), touched, [])
+    linked = roots.select("id", "root").join(points.select("id", "fp", "other", "least"), "id")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = linked.join(least, "root").select("id", "component_id")
+    labels = points.join(named, "id", "left").select("fp", "other", F.coalesce("component_id", "least").alias("component_id"))
+    return prints.join(labels, ["fp", "other"])
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, errors: int = 3, parts: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document.
 
     Fingerprints link at ``errors`` or fewer differing bits; component_id is the smallest
@@ -194,15 +229,30 @@ def near_duplicates(docs: DataFrame, width: int = 3, errors: int = 3) -> DataFra
     Rows with equal ids stay separate rows; a null id never names a component unless
     nothing else is in it; other columns are ignored; an empty table gives no rows.
     """
-    prints = cut_lineage(fingerprints(docs, width))
-    # copies fold to one point before anything is paired
-    points = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges = cut_lineage(links(points.select("fp"), errors))
-    touched = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-    roots = connected_components(edges.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")), touched, [])
-    linked = roots.select(F.col("id").alias("fp"), "root").join(points, "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
-    labels = points.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(labels, "fp").select(
+    prints = cut_lineage(fingerprints(docs, width).withColumn("other", F.lit(0).cast("bigint")))
+    return components(prints, errors, parts).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_copies(
+    docs: DataFrame, width: int = 5, differing: int = 9, search_width: int = 2, search_errors: int = 8, parts: int = 8,
+) -> DataFrame:
+    """``docs`` with one document of each group of near copies, the one with the smallest id.
+
+    Two documents are near copies if their fingerprints over ``width``-word shingles differ
+    in at most ``differing`` of 64 bits; 9 bits are an angle whose cosine is 0.90, the value for two sets of
+    equal size with a Jaccard similarity of 0.82. They are sought by fingerprints over ``search_width``-word
+    shingles within ``search_errors`` bits, which an edit moves less. Documents without words have zero for both. Of
+    rows with equal ids and texts one stays; a null id stays only if no other is in its group.
+    """
+    both = fingerprints(docs.withColumn("h", F.xxhash64("text")), search_width, width)
+    prints = cut_lineage(both.select("doc_id", "h", "fp", "other"))
+    grouped = components(prints, search_errors, parts, differing)
+    kept = grouped.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k")).select("k.doc_id", "k.h")
+    kept = cut_lineage(kept.withColumnRenamed("doc_id", "__id").withColumnRenamed("h", "__h"))
+    staying = docs.withColumn("__key", F.xxhash64("text")).join(
+        kept, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__key").eqNullSafe(F.col("__h")), "left_semi")
+    if prints.count() > prints.select("doc_id", "h").distinct().count():
+        staying = staying.dropDuplicates(["doc_id", "__key"])
+    return staying.select(*docs.columns)
