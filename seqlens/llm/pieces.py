@@ -30,15 +30,23 @@ ASKED = "bucket int, chunk long, words binary, lengths binary"
 ANSWERED = "chunk long, bucket int, lengths binary, answers binary"
 
 
+def pressed(b: bytes) -> bytes:
+    """Compressed, with the full size in front."""
+    return len(b).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(b, asbytes=True)
+
+
+def unpressed(b: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True)
+
+
 def squeezed(a: np.ndarray) -> bytes:
     """The bytes of an integer array, byte planes apart, compressed."""
-    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
-    return zlib.compress(planes.tobytes(), 1)
+    return pressed(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
 
 
 def unsqueezed(b: bytes, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    planes = np.frombuffer(zlib.decompress(b), np.uint8).reshape(size, -1)
+    planes = np.frombuffer(unpressed(b), np.uint8).reshape(size, -1)
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
@@ -65,7 +73,7 @@ def _close(task: int, seq: int, ids, counts, sizes, numbers: list[np.ndarray], l
     mark = zlib.crc32(body, zlib.crc32(words)) ^ zlib.crc32(repr(ids[:50]).encode())
     return {
         "chunk": (((task * 4096 + seq) & 0x7FFFFFFF) << 32) | mark, "ids": ids, "counts": counts, "bytes": sizes, "numbers": body,
-        "words": words, "lengths": lengths.tobytes(),
+        "words": pressed(words), "lengths": squeezed(lengths),
         "buckets": np.bincount(bucket, minlength=n_buckets).astype(np.int32).tolist(),
     }
 
@@ -116,14 +124,14 @@ def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             chunk = batch.column(0)[row].as_py()
-            words = batch.column(5)[row].as_py()
-            lengths = np.frombuffer(batch.column(6)[row].as_py(), np.uint32)
+            words = unpressed(batch.column(5)[row].as_py())
+            lengths = unsqueezed(batch.column(6)[row].as_py(), np.uint32)
             ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
             out, at = [], 0
             for bucket, n in enumerate(batch.column(7)[row].as_py()):
                 if n:
-                    out.append({"bucket": bucket, "chunk": chunk, "words": words[ends[at]:ends[at + n]],
-                                "lengths": lengths[at:at + n].tobytes()})
+                    out.append({"bucket": bucket, "chunk": chunk, "words": pressed(words[ends[at]:ends[at + n]]),
+                                "lengths": squeezed(lengths[at:at + n])})
                 at += n
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -141,13 +149,13 @@ def answer(work: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
         rows = []
         for row in asked.to_batches():
             for i in range(row.num_rows):
-                words = cut_words(row.column(2)[i].as_py(), np.frombuffer(row.column(3)[i].as_py(), np.uint32))
-                rows.append((row.column(0)[i].as_py(), row.column(1)[i].as_py(), row.column(1)[i].as_py(),
+                words = cut_words(unpressed(row.column(2)[i].as_py()), unsqueezed(row.column(3)[i].as_py(), np.uint32))
+                rows.append((row.column(1)[i].as_py(), row.column(0)[i].as_py(),
                              np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))))
         lengths, answers = work(list(place))
         starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[:-1]
         out = []
-        for bucket, chunk, _, found in rows:
+        for chunk, bucket, found in rows:
             took = lengths[found]
             out.append({"chunk": chunk, "bucket": bucket, "lengths": squeezed(took.astype(np.uint32)),
                         "answers": squeezed(answers[gather(starts[found], took)].astype(np.uint32))})
@@ -176,9 +184,9 @@ def answers_of(packed: dict, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """Buckets in proportion to the input: one for each 8 MB that Spark expects to read, 32 at least."""
+    """Buckets in proportion to the input: one for each 24 MB that Spark expects to read, 32 at least."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(32, min(size, 1 << 50) // 8_000_000)
+    return max(32, min(size, 1 << 50) // 24_000_000)
 
 
 def exchanged(docs: DataFrame, packer, work, finish, schema: str) -> DataFrame:
