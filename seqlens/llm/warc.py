@@ -70,12 +70,16 @@ def write_archive(records: DataFrame, folder: str) -> None:
     )
     # one record per digest brings its bytes: the one with the largest key; equal keys fold by digest
     carriers = facts.select(F.col("first_key").alias("record_key"), "digest", "copies")
-    (
+    carried = (
         stored.select("record_key", "digest", "payload")
         .join(carriers, (stored.record_key.eqNullSafe(carriers.record_key)) & (stored.digest == carriers.digest))
-        .select(stored.digest, "copies", "payload").dropDuplicates(["digest"])
-        .write.mode("overwrite").parquet(f"{folder}/payloads")
+        .select(stored.digest, "copies", "payload")
     )
+    headers = stored.sparkSession.read.parquet(f"{folder}/headers")
+    # only rows with equal keys and payloads can bring the same bytes twice; payloads are not shuffled again without them
+    if not headers.groupBy("digest", "record_key").count().filter("count > 1").isEmpty():
+        carried = carried.dropDuplicates(["digest"])
+    carried.write.mode("overwrite").parquet(f"{folder}/payloads")
 
 
 def read_archive(spark, folder: str) -> DataFrame:
