@@ -121,19 +121,19 @@ def features_of(text: str, measure: Measure, near: int) -> list[float]:
         100 * sums[2] / n, sums[3] / chars, sums[4] / n, sums[5] / chars, sums[6] / n, sums[7] / n, log1p(sums[8])]
 
 
-def with_features(docs: DataFrame, lexicon: dict[str, float], toxic: Toxic) -> DataFrame:
-    """``docs`` and their dense features in ``__features``. A null text counts as empty."""
-    place = docs.columns.index("text")
+def with_features(rows: DataFrame, lexicon: dict[str, float], toxic: Toxic) -> DataFrame:
+    """``rows`` (whose last column is the text) with the dense features instead of the text. A null text counts as empty."""
+    kept = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = Measure(lexicon)
         for batch in batches:
-            found = [features_of(t.as_py() or "", measure, toxic.near) for t in batch.column(place)]
+            found = [features_of(t.as_py() or "", measure, toxic.near) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.list_(pa.float64()))], [*batch.schema.names, "__features"])
+                [*batch.columns[:-1], pa.array(found, pa.list_(pa.float64()))], [*kept, "dense"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{schema}, __features array<double>")
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes[:-1])
+    return rows.mapInArrow(run, f"{schema}, dense array<double>")
 
 
 def fold(toxic: Toxic, doc_id: str = "doc_id") -> Column:
@@ -201,29 +201,31 @@ def scored(docs: DataFrame, labels: DataFrame, toxic: Toxic = Toxic()) -> DataFr
     columns go through; an empty table gives no rows.
     """
     sample = sampled_labels(labels, toxic)
+    held = fold(toxic) == toxic.held_out
     # at most about most_rows rows, so they are sent to the documents
     train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     lexicon = learnt_lexicon(train.filter("part = 0"), toxic)
-    held = docs.withColumn("held_out", fold(toxic) == toxic.held_out)
-    fit = cut_lineage(with_features(train.filter("part > 0"), lexicon, toxic).select(
-        F.col("toxic").cast("double").alias("label"), "part", array_to_vector("__features").alias("features")))
+    fit = cut_lineage(with_features(train.filter("part > 0").select("toxic", "part", "text"), lexicon, toxic).select(
+        F.col("toxic").cast("double").alias("label"), "part", array_to_vector("dense").alias("features")))
     classes = {(r["part"], r["label"]): r["n"] for r in fit.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not (classes.get((1, 0.0)) and classes.get((1, 1.0))):
         bad = sum(n for (_, y), n in classes.items() if y)
         share = bad / max(1, sum(classes.values()))
-        return held.withColumn("score", F.lit(float(share))).withColumn("predicted", F.lit(int(share >= 0.5)))
+        return docs.withColumns({
+            "held_out": held, "score": F.lit(float(share)), "predicted": F.lit(int(share >= 0.5))})
     trees = GBTClassifier(maxIter=toxic.trees, maxDepth=toxic.depth, stepSize=0.3, seed=toxic.seed).fit(fit.filter("part = 1"))
     chance = vector_to_array("probability")[1]
     level = None
     if classes.get((2, 0.0)) and classes.get((2, 1.0)):
         level = IsotonicRegression(featuresCol="chance", labelCol="label", predictionCol="level").fit(
             trees.transform(fit.filter("part = 2")).select("label", chance.alias("chance")))
-    judged = trees.transform(with_features(held, lexicon, toxic).withColumn("features", array_to_vector("__features")))
-    judged = judged.select(*docs.columns, "held_out", chance.alias("chance"))
-    if level is None:
-        judged = judged.withColumn("level", F.col("chance"))
-    else:
-        judged = level.transform(judged)
+    # the document's own columns travel in one struct, so their names cannot clash with the models'
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), held.alias("held"), "text")
+    judged = trees.transform(with_features(whole, lexicon, toxic).withColumn("features", array_to_vector("dense")))
+    judged = judged.select("row", "held", chance.alias("chance"))
+    judged = judged.withColumn("level", F.col("chance")) if level is None else level.transform(judged)
     # the calibrated level has steps; a trace of the trees' own score keeps their order within a step
-    return judged.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.998 * F.col("level") + 0.002 * F.col("chance")))).withColumn(
-        "predicted", (F.col("score") >= 0.5).cast("int")).drop("chance", "level")
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.998 * F.col("level") + 0.002 * F.col("chance")))
+    return judged.select("row", "held", score.alias("score")).select("row.*", F.struct("held", "score").alias("__found")).withColumns({
+        "held_out": F.col("__found.held"), "score": F.col("__found.score"),
+        "predicted": (F.col("__found.score") >= 0.5).cast("int")}).drop("__found")
