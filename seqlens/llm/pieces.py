@@ -184,9 +184,9 @@ def answers_of(packed: dict, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """Buckets in proportion to the input: one for each 24 MB that Spark expects to read, 32 at least."""
+    """Buckets in proportion to the input: one for each 24 MB that Spark expects to read, or 10,000 rows where it cannot tell; 32 at least."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(32, min(size, 1 << 50) // 24_000_000)
+    return max(32, size // 24_000_000 if size < 1 << 53 else docs.count() // 10_000)
 
 
 def exchanged(docs: DataFrame, packer, work, finish, schema: str) -> DataFrame:
