@@ -74,8 +74,9 @@ def settle(patterns: list[tuple[tuple[int, ...], int]], rounds: int) -> dict[tup
         weight = belief * n[:, None]
         logs = np.tile(np.log((weight.sum(axis=0) + 1) / (n.sum() + belief.shape[1])), (len(n), 1))
         for j in range(votes.shape[1]):
-            chance = np.stack([weight[votes[:, j] == v].sum(axis=0) for v in (BAD, GOOD, NOTHING)]) + 0.1
-            logs += np.log(chance / chance.sum(axis=0))[votes[:, j]]
+            chance = np.stack([weight[votes[:, j] == v].sum(axis=0) for v in (BAD, GOOD)]) + 0.1
+            voted = votes[:, j] != NOTHING  # no vote tells nothing
+            logs[voted] += np.log(chance / chance.sum(axis=0))[votes[voted, j]]
         belief = np.exp(logs - logs.max(axis=1, keepdims=True))
         belief /= belief.sum(axis=1, keepdims=True)
     return {p: float(b) for (p, _), b in zip(patterns, belief[:, 0], strict=True)}
