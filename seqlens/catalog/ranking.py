@@ -245,7 +245,7 @@ def _assigned(t: Tables):
     names = F.array(*[F.lit(m) for m in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")])
     plan = plan.withColumn("mood", F.element_at(names, F.col("m"))).join(moods.withColumnRenamed("p_type", "mood"), "mood", "left_semi")
     # every mood offers the same few names, so the plans must avoid repeats
-    tracks = _tracks(t).select("mood", "track_id", "title", F.element_at("artists", 1).alias("artist"), F.md5("title").alias("md5"), "downloads", "ord")
+    tracks = _tracks(t).select("mood", "track_id", "title", "artists", F.md5("title").alias("md5"), "downloads", "ord")
     return plan, K.distinct_assignment(plan, tracks, ["plan_id"])
 
 
@@ -331,7 +331,7 @@ _PATH_SQL = "url || CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpg' ELSE
 @query("ingest_ordered_units", f"""
     WITH p AS (SELECT regexp_extract(url, 'https?://([^/?#]+)', 1) AS host, page_id, {_PATH_SQL} AS path FROM pages),
     k AS (SELECT host, page_id, path, list_transform(regexp_extract_all(path, '\\d+|\\D+'), lambda r: CASE WHEN regexp_matches(r, '^\\d')
-                 THEN '0' || lpad(ltrim(r, '0'), 20, '0') ELSE '1' || lower(r) END) AS key FROM p WHERE NOT ends_with(path, '.txt')),
+                 THEN '0' || lpad(length(ltrim(r, '0'))::VARCHAR, 10, '0') || ':' || ltrim(r, '0') ELSE '1' || lower(r) END) AS key FROM p WHERE NOT ends_with(path, '.txt')),
     n AS (SELECT host, page_id, row_number() OVER (PARTITION BY host ORDER BY key, path, page_id) AS unit, lower(right(path, 4)) AS ending FROM k)
     SELECT host, page_id, unit, CASE WHEN unit < 1000 THEN lpad(CAST(unit AS VARCHAR), 3, '0') ELSE CAST(unit AS VARCHAR) END || ending AS unit_name FROM n""")
 def ingest_ordered_units(t: Tables):

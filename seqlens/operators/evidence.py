@@ -398,8 +398,9 @@ def substitute_units(
                 pool.select(*keys, F.col("read_pos").cast("double").alias("step"), "slot"),
                 keys, "at", "step", ["slot"], ordinal_block,
             )
+            # the unit on the window's rim does not count, so one slot more is looked at below
             base = F.coalesce("slot", F.lit(-1))
-            near = spot.withColumn("slot", F.explode(F.sequence(base - (RESCUE_POOL - 1), base + RESCUE_POOL)))
+            near = spot.withColumn("slot", F.explode(F.sequence(base - RESCUE_POOL, base + RESCUE_POOL)))
             near = near.join(pool, [*keys, "slot"])
             if how == "in-window":
                 near = near.filter((F.col("read_pos") > F.col("lo")) & (F.col("read_pos") < F.col("hi")))
@@ -596,8 +597,8 @@ def mood_vote(texts: DataFrame, keys: Sequence[str], text: str, cues: dict[str,
 
 # Capitalised words that are no names.
 NAME_STOP = (
-    "Above", "After", "Because", "Before", "Below", "Chapter", "From", "Instead", "Someone", "Something", "That",
-    "Then", "There", "They", "This", "What", "When", "Where", "With",
+    "This", "That", "Then", "There", "They", "When", "Where", "What", "With", "From", "Above", "Below", "After", "Before",
+    "Someone", "Something", "Chapter", "Because", "Instead",
 )
 
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from seqlens.functions.text import slugify
 from seqlens.functions.values import chapter_label
+from seqlens.plans.scan import ranked_positions
 
 # Genres that hold viewers, and the score's parts.
 HIGH_RETENTION = (
-    "Action", "Adventure", "Drama", "Fantasy", "Horror", "Mystery", "Sci-Fi", "Sports", "Supernatural", "Thriller",
+    "Action", "Adventure", "Fantasy", "Supernatural", "Drama", "Mystery", "Thriller", "Sports", "Sci-Fi", "Horror",
 )
 W_TREND, W_POPULARITY, W_FAVOURITE, W_SCORE, W_GENRE = 0.35, 0.25, 0.15, 0.15, 0.10
 PROBE_TOP = 15
@@ -172,16 +173,22 @@ def next_item(channels: DataFrame, progress: DataFrame, promoted: DataFrame) ->
     )
 
 
-def promote(ranked: DataFrame, excluded: DataFrame, channels: DataFrame, probe_top: int = PROBE_TOP) -> DataFrame:
+def promote(ranked: DataFrame, excluded: DataFrame, channels: DataFrame) -> DataFrame:
     """J13 per channel: best title starting at chapter one that the channel has not used.
 
-    Only probed titles can start at one, so the pool has at most ``probe_top`` rows;
-    it is carried as one small array.
+    A channel that has used n titles finds a fresh one among the n + 1 best, so it is
+    joined to exactly those ranks; the pool itself has no bound.
     """
-    pool = best_first(ranked.filter("starts_at_one")).limit(probe_top)
-    names = pool.agg(F.array_sort(F.collect_list(F.struct((-F.col("video_score")).alias("s"), "ord", "title"))).alias("p")).scalar()
-    offers = channels.select("channel", F.posexplode(names).alias("rank", "o")).select("channel", "rank", F.col("o.title").alias("title"))
-    fresh = offers.join(excluded.select("channel", "title").distinct(), ["channel", "title"], "left_anti")
+    best = ranked.filter("starts_at_one").groupBy("title").agg(F.min(F.struct((-F.col("video_score")).alias("s"), "ord")).alias("at"))
+    pool = ranked_positions(best.select("title", "at.s", "at.ord"), [], ["s", "ord"], "rank").select("rank", "title")
+    used = excluded.select("channel", "title").distinct()
+    n_used = used.join(pool, "title", "left_semi").groupBy("channel").agg(F.count(F.lit(1)).alias("n_used"))
+    offers = (
+        channels.select("channel").distinct().join(n_used, "channel", "left")
+        .select("channel", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("n_used", F.lit(0).cast("bigint")))).alias("rank"))
+        .join(pool, "rank")
+    )
+    fresh = offers.join(used, ["channel", "title"], "left_anti")
     return fresh.groupBy("channel").agg(F.min_by("title", "rank").alias("title"))
 
 
@@ -215,34 +222,56 @@ def top_track(tracks: DataFrame, keys: Sequence[str], pick: int = 0) -> DataFram
     return head.groupBy(*keys).agg(F.max_by(F.struct(*fields), "rank").alias("t")).select(*keys, "t.*")
 
 
-def distinct_assignment(plan: DataFrame, tracks: DataFrame, keys: Sequence[str], tries: int = 6, moods: int = 24) -> DataFrame:
+def useful_tracks(tracks: DataFrame, moods: int, tries: int) -> DataFrame:
+    """The tracks that a plan of ``moods`` moods can come to, with their ``rank`` in the mood and ``names``.
+
+    A taken name only blocks tracks of its own title, and a plan takes at most two tracks
+    per mood; so behind 2 * moods titles and ``tries`` more there is always a free
+    track, and of tracks with the same title and artists only the first ``tries`` are ever tried.
+    """
+    artists = F.array_sort(F.array_distinct(F.transform("artists", lambda a: F.lower(F.trim(a)))))
+    order = [F.desc(F.coalesce("downloads", F.lit(0))), "ord"]
+    named = tracks.withColumns({"__title": F.lower(F.trim("title")), "__artists": artists})
+    same = Window.partitionBy("mood", "__title", "__artists").orderBy(*order)
+    named = named.withColumn("__again", F.row_number().over(same)).filter(F.col("__again") <= max(tries, 1)).drop("__again")
+    # titles in the order of their first track
+    first = named.groupBy("mood", "__title").agg(F.min_by(F.struct(
+        (-F.coalesce("downloads", F.lit(0))).alias("d"), "ord"), F.struct((-F.coalesce("downloads", F.lit(0))).alias("d"), "ord")).alias("at"))
+    by_title = Window.partitionBy("mood").orderBy("at", "__title")
+    titles = first.withColumn("__n", F.row_number().over(by_title)).filter(F.col("__n") <= 2 * moods + tries + 1)
+    kept = named.join(titles.select("mood", "__title"), ["mood", "__title"], "left_semi")
+    names = F.transform("__artists", lambda a: F.concat(a, F.lit("\u0001"), F.col("__title")))
+    return kept.select("*", F.row_number().over(Window.partitionBy("mood").orderBy(*order)).alias("rank"), names.alias("names")).drop(
+        "__title", "__artists")
+
+
+def distinct_assignment(plan: DataFrame, tracks: DataFrame, keys: Sequence[str], tries: int = 6) -> DataFrame:
     """T5: one track per distinct mood of a plan, never the same track or content twice.
 
-    plan: (keys, ord, mood); tracks: (mood, track_id, title, artist, md5, downloads,
-    ord). First every mood in plan order takes its best track that no earlier mood
-    took; then a mood whose content hash was seen tries up to ``tries`` further
-    tracks; failing that it stays empty. A plan has at most ``moods`` distinct moods,
-    so its candidate lists are small and the fold runs inside the plan's row.
+    plan: (keys, ord, mood); tracks: (mood, track_id, title, artists, md5, downloads,
+    ord). First every mood in plan order takes its best track of which no (artist,
+    title) was taken by an earlier mood; then a mood whose content hash was seen tries
+    up to ``tries`` further tracks; failing that it stays empty. The fold runs inside
+    the plan's row, over the tracks that a plan with so many moods can come to.
     """
     keys = list(keys)
     first = plan.filter(F.coalesce("mood", F.lit("")) != "").groupBy(*keys, "mood").agg(F.min("ord").alias("ord"))
-    order = Window.partitionBy("mood").orderBy(F.desc(F.coalesce("downloads", F.lit(0))), "ord")
-    named = F.concat_ws("\u0001", F.lower(F.trim("artist")), F.lower(F.trim("title")))
-    ranked = tracks.withColumns({"rank": F.row_number().over(order), "name": named}).filter(F.col("rank") <= moods + tries + 1)
-    lists = ranked.groupBy("mood").agg(F.array_sort(F.collect_list(F.struct("rank", "track_id", "name", "md5"))).alias("cands"))
+    moods = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    ranked = useful_tracks(tracks, moods, tries)
+    lists = ranked.groupBy("mood").agg(F.array_sort(F.collect_list(F.struct("rank", "track_id", "names", "md5"))).alias("cands"))
     rows = first.join(lists, "mood", "left").groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("ord", "mood", "cands"))).alias("__moods"))
     track = rows.schema["__moods"].dataType.elementType["cands"].dataType.elementType.simpleString()
     slot = f"struct<mood:string,cands:array<{track}>,pick:{track}>"
     names = F.array().cast("array<string>")
     none = F.lit(None).cast(track)
-    free = lambda cands, used: F.filter(F.coalesce(cands, F.array().cast(f"array<{track}>")), lambda t: ~F.array_contains(used, t["name"]))
-    add = lambda used, t, field: F.when(t.isNull(), used).otherwise(F.concat(used, F.array(t[field])))
+    free = lambda cands, used: F.filter(F.coalesce(cands, F.array().cast(f"array<{track}>")), lambda t: ~F.arrays_overlap(used, t["names"]))
+    add = lambda used, t, new: F.when(t.isNull(), used).otherwise(F.concat(used, new))
 
     def choose(st: Column, x: Column) -> Column:
         pick = F.get(free(x["cands"], st["used"]), F.lit(0))
         row = F.struct(x["mood"].alias("mood"), x["cands"].alias("cands"), pick.alias("pick"))
-        return F.struct(add(st["used"], pick, "name").alias("used"), F.concat(st["rows"], F.array(row)).alias("rows"))
+        return F.struct(add(st["used"], pick, pick["names"]).alias("used"), F.concat(st["rows"], F.array(row)).alias("rows"))
 
     def settle(st: Column, x: Column) -> Column:
         known = F.array_contains(st["seen"], x["pick"]["md5"])
@@ -250,7 +279,7 @@ def distinct_assignment(plan: DataFrame, tracks: DataFrame, keys: Sequence[str],
         pick = F.when(x["pick"].isNull(), none).when(~known, x["pick"]).otherwise(F.get(options, F.lit(0)))
         row = F.struct(x["mood"].alias("mood"), x["cands"].alias("cands"), pick.alias("pick"))
         return F.struct(
-            add(st["seen"], pick, "md5").alias("seen"), add(st["used"], pick, "name").alias("used"),
+            add(st["seen"], pick, F.array(pick["md5"])).alias("seen"), add(st["used"], pick, pick["names"]).alias("used"),
             F.concat(st["rows"], F.array(row)).alias("rows"))
 
     empty = F.array().cast(f"array<{slot}>")

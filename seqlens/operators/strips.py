@@ -61,12 +61,11 @@ def gutter_segments(runs: DataFrame, keys: Sequence[str], min_slice: int = MIN_S
     slice; a stretch is folded over its few short slices. Remaining slivers vanish.
     """
     keys = list(keys)
-    far = F.lit(10**9).cast("bigint")
     long = F.col("y1") - F.col("y0") >= min_slice
     runs = cut_lineage(runs)
     rows = scan(
         runs, keys, ["y0"], ordinal_block("y0"), nxt={"__next": F.col("y0")}, running={"part": F.when(long, 1).otherwise(0)},
-    ).withColumn("gap_next", F.coalesce(F.col("__next") - F.col("y1"), far))
+    ).withColumn("gap_next", F.col("__next") - F.col("y1"))
     one = F.struct(F.col("y0"), F.col("y1"), F.col("gap_next"), long.alias("long"))
     parts = rows.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(one)).alias("s"), F.max_by("gap_next", "y0").alias("gap_last"))
     piece = "struct<y0:bigint,y1:bigint>"
@@ -76,9 +75,9 @@ def gutter_segments(runs: DataFrame, keys: Sequence[str], min_slice: int = MIN_S
         cur = F.struct(F.coalesce(st["cur"]["y0"], x["y0"]).cast("bigint").alias("y0"), x["y1"].cast("bigint").alias("y1"))
         done = st["done"]
         n = F.size(done)
-        above = F.when(n > 0, cur["y0"] - F.element_at(done, F.greatest(n, F.lit(1)))["y1"]).otherwise(far)
+        above = cur["y0"] - F.element_at(done, F.greatest(n, F.lit(1)))["y1"]
         full = cur["y1"] - cur["y0"] >= min_slice
-        up = (n > 0) & (above <= x["gap_next"])
+        up = (n > 0) & (x["gap_next"].isNull() | (above <= x["gap_next"]))  # null: there is no next slice
         top = F.element_at(done, F.greatest(n, F.lit(1)))
         grown = F.concat(F.slice(done, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.struct(top["y0"].alias("y0"), cur["y1"].alias("y1"))))
         return F.struct(
@@ -90,10 +89,10 @@ def gutter_segments(runs: DataFrame, keys: Sequence[str], min_slice: int = MIN_S
     folded = parts.select(*keys, "part", "gap_last", F.aggregate("s", start, step).alias("f"))
     # an open slice at the end of a stretch joins the long slice that opens the next one
     carry = scan(
-        folded.withColumn("open", F.when(F.col("gap_last") < far, F.col("f.cur.y0"))),
+        folded.withColumn("open", F.when(F.col("gap_last").isNotNull(), F.col("f.cur.y0"))),
         keys, ["part"], ordinal_block("part"), prev={"carry": F.col("open")},
     )
-    closing = F.when((F.col("gap_last") == far) & F.col("f.cur").isNotNull(), F.array("f.cur")).otherwise(F.array().cast(f"array<{piece}>"))
+    closing = F.when(F.col("gap_last").isNull() & F.col("f.cur").isNotNull(), F.array("f.cur")).otherwise(F.array().cast(f"array<{piece}>"))
     slices = carry.select(*keys, "carry", F.posexplode(F.concat("f.done", closing)).alias("i", "p"))
     y0 = F.when((F.col("i") == 0) & F.col("carry").isNotNull(), F.col("carry")).otherwise(F.col("p.y0"))
     floor = max(48, min_slice // 4)

@@ -328,16 +328,16 @@ def cut_schedule(scenes: DataFrame, scene_units: DataFrame, keys: Sequence[str])
 
 # Words coloured in captions.
 HYPE_WORDS = (
-    "EPIC", "ERUPTS", "EVOLUTION", "GENIUS", "GODLY", "HAPPY", "HERO", "INSANE", "LEGENDARY", "LIGHT", "MIRACLE",
-    "POWER", "RADIANT", "SHARE", "ULTIMATE", "UNBELIEVABLE", "UNSTOPPABLE", "VICTORY", "WIN", "WINNER",
+    "WIN", "WINNER", "GODLY", "INSANE", "EVOLUTION", "UNSTOPPABLE", "EPIC", "LEGENDARY", "POWER", "MIRACLE", "HAPPY", "LIGHT",
+    "RADIANT", "ERUPTS", "UNBELIEVABLE", "GENIUS", "ULTIMATE", "VICTORY", "HERO", "SHARE",
 )
 SHOCK_WORDS = (
-    "BOMB", "BROKEN", "CRUSHING", "DEFEAT", "DESTROYED", "DETONATES", "DIVIDED", "DROWNING", "EXPLODE", "EXPLODES",
-    "FIRESTORM", "FREEZE", "FREEZES", "GUILLOTINE", "HURT", "LAUNCHES", "MONSTER", "NIGHTMARE", "NUCLEAR", "POISONOUS",
-    "RAGE", "SAD", "SCREAM", "SCREAMS", "SEETHING", "SHATTER", "SHATTERS", "SLAM", "SLAMS", "SUFFOCATING", "SUFFOCATION",
+    "BROKEN", "MONSTER", "SAD", "DESTROYED", "DEFEAT", "SHATTERS", "SHATTER", "RAGE", "SEETHING", "EXPLODES", "EXPLODE", "SLAMS",
+    "SLAM", "FREEZES", "FREEZE", "BOMB", "DETONATES", "SUFFOCATING", "SUFFOCATION", "CRUSHING", "DROWNING", "GUILLOTINE",
+    "NUCLEAR", "FIRESTORM", "POISONOUS", "HURT", "DIVIDED", "NIGHTMARE", "SCREAMS", "SCREAM", "LAUNCHES",
 )
 SHORT_SHOCK_WORDS = (
-    "blood", "corpse", "dead", "death", "die", "died", "dies", "kill", "killed", "killer", "kills", "monster", "murder",
+    "kill", "kills", "killed", "killer", "die", "dies", "died", "dead", "death", "blood", "corpse", "monster", "murder",
     "murdered", "murderer",
 )
 
@@ -414,19 +414,19 @@ def beat_times(scenes: DataFrame) -> DataFrame:
     offsets = F.filter(sentence_offsets(c("narration")), lambda i: i < F.size("starts"))
     begins = F.transform(offsets, lambda i: F.get("starts", i))
     rows = scenes.withColumn("__begins", begins)
-    snapped = F.transform(F.slice("__begins", 2, 1000000), lambda t: F.greatest(t - PRE_ROLL, F.lit(0.0)))
+    snapped = F.transform(F.slice("__begins", F.lit(2), F.size("__begins")), lambda t: F.greatest(t - PRE_ROLL, F.lit(0.0)))
     cand = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), snapped)))
     cand = F.filter(cand, lambda t: t <= c("dur") - MIN_BEAT)
     cand = F.when((F.size(cand) == 0) | (F.coalesce(F.get(cand, F.lit(0)), F.lit(-1.0)) != 0.0), F.concat(F.array(F.lit(0.0)), cand)).otherwise(cand)
     equal = F.transform(F.sequence(F.lit(0), c("n_units") - 1), lambda k: k * c("dur") / c("n_units"))
 
     def cut_one(a: Column) -> Column:
-        gaps = F.zip_with(F.slice(a, 2, 1000000), F.slice(a, 1, F.size(a) - 1), lambda x, y: x - y)
+        gaps = F.zip_with(F.slice(a, F.lit(2), F.size(a)), F.slice(a, 1, F.size(a) - 1), lambda x, y: x - y)
         j = F.array_position(gaps, F.array_min(gaps)).cast("int")  # 1-based: boundary j+1 of a goes
         return F.concat(F.slice(a, F.lit(1), j), F.slice(a, j + 2, F.size(a)))
 
     def split_one(a: Column) -> Column:
-        ends = F.concat(F.slice(a, 2, 1000000), F.array(c("dur")))
+        ends = F.concat(F.slice(a, F.lit(2), F.size(a)), F.array(c("dur")))
         spans = F.zip_with(ends, a, lambda x, y: x - y)
         j = (F.size(a) + 1 - F.array_position(F.reverse(spans), F.array_max(spans)).cast("int"))
         mid = (F.element_at(a, j) + F.element_at(ends, j)) / 2.0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlens.functions import text as X
@@ -49,8 +49,11 @@ def verify_scripts(
     found = rescued.filter("status = 'append'").select(*keys, "scene", F.explode(F.array_compact(F.array("panel", "next_panel"))).alias("panel")).distinct()
     added = found.join(kept, [*keys, "scene", "panel"], "left_anti")
     # appended units follow the scripted ones
-    tail = added.join(texts.select(*keys, "panel", "read_pos"), [*keys, "panel"]).select(
-        *keys, "scene", "panel", (F.lit(1000000) + F.col("read_pos")).cast(kept.schema["ord"].dataType).alias("ord"))
+    last = kept.groupBy(*keys, "scene").agg(F.max("ord").alias("last"))
+    turn = Window.partitionBy(*keys, "scene").orderBy("read_pos")
+    tail = added.join(texts.select(*keys, "panel", "read_pos"), [*keys, "panel"]).join(last, [*keys, "scene"], "left").select(
+        *keys, "scene", "panel",
+        (F.coalesce("last", F.lit(-1)) + F.row_number().over(turn)).cast(kept.schema["ord"].dataType).alias("ord"))
     kept = cut_lineage(kept.unionByName(tail))
     scores = E.relevance_join(kept, scenes, texts, keys)
     unclear = E.ambiguous_scenes(scores, keys).filter("ambiguous").select(*keys, "scene")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from seqlens.functions import text as X
-from seqlens.functions.similarity import quote_score_one
+from seqlens.functions.similarity import ordered_share
 from seqlens.operators import evidence as E
 
 WORDS = "the dragon king falls into fire and rises again with Mira while snow covers every tower".split()
@@ -16,6 +16,11 @@ WORDS = "the dragon king falls into fire and rises again with Mira while snow co
 MANY = [a + b for a in ("ka", "lo", "mi", "nu", "pe", "ra", "so", "ti") for b in ("bar", "dun", "fel", "gor", "hin", "jus")] + ["the", "and"] * 8
 
 
+def quote_score_one(quote, text):
+    words, have = (re.sub(r"[^a-z0-9' ]", " ", t.lower()).split() for t in (quote, text))
+    return ordered_share(words, have) if words and have else 0.0
+
+
 def _text(rnd, n, vocabulary=WORDS):
     return " ".join(rnd.choice(vocabulary) for _ in range(n))
 
@@ -152,3 +157,34 @@ def test_substitution_in_scene_order(spark):
 def test_usable_reads_keeps_hard_only_groups(spark):
     df = spark.createDataFrame([(1, "cover"), (1, "credits"), (2, "cover"), (2, "story"), (3, None)], "g int, kind string")
     assert sorted((r.g, r.kind or "-") for r in E.usable_reads(df, ["g"]).collect()) == [(1, "cover"), (1, "credits"), (2, "story"), (3, "-")]
+
+
+def test_quote_score_by_columns_decides_like_every_pair(spark):
+    from seqlens.functions.similarity import QUOTE_MAYBE, quote_score
+
+    rnd = random.Random(8)
+    texts = [_text(rnd, rnd.randrange(0, 14)) for _ in range(40)] + ["“The Dragon’s King” falls… into fire!", "thedragonking falls in to fyre"]
+    quotes = [_text(rnd, rnd.randrange(1, 6)) for _ in range(40)] + ["the dragon's king", "the dragon king falls into fire", ""]
+    pairs = [(q, t) for q in quotes for t in texts]
+    df = spark.createDataFrame(pairs, "quote string, dtext string")
+    plain = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "„": '"', "…": "..."})
+    for r in df.withColumn("s", quote_score("quote", "dtext")).collect():
+        want = quote_score_one(r.quote.translate(plain), r.dtext.translate(plain))
+        assert abs(r.s - want) < 1e-12 or max(r.s, want) < QUOTE_MAYBE
+
+
+def test_substitute_when_the_anchor_lies_beyond_the_window(spark):
+    # scene 1 is empty between shown scenes, its own units lie at 15; of the eight units nearest to the rim only unit 4 fits
+    reads = [(1, i, "story", "ok", "dragon fire tower" if i == 4 else "nothing of it") for i in range(21)]
+    kept, scenes = [(1, 2, 12)], [(1, 1, "a dragon breathes fire on the tower"), (1, 2, "later")]
+    got = E.substitute_units(
+        spark.createDataFrame(kept, "c int, scene int, read_pos int"), spark.createDataFrame(scenes, "c int, scene int, narration string"),
+        spark.createDataFrame([(1, 1, 15), (1, 2, 12)], "c int, scene int, read_pos int"),
+        spark.createDataFrame(reads, "c int, read_pos int, kind string, quality string, unit_text string"), ["c"]).collect()
+    assert [(r.scene, r.read_pos, r.how) for r in got] == [(1, 4, "in-window")]
+
+
+def test_file_names_with_long_numbers_sort_by_value(spark):
+    names = ["p9" + "0" * 24, "p1" + "0" * 25, "p002", "p10", "p9" + "0" * 23 + "1"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert [r.name for r in df.orderBy(X.natural_key("name")).collect()] == ["p002", "p10", names[0], names[4], names[1]]
