@@ -255,14 +255,14 @@ def recurring_marks(t: Tables):
 @query("validate_marks", """
     WITH u AS (SELECT source AS chapter_id, doc_id AS unit, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
                       count(*) OVER (PARTITION BY source) AS n FROM documents),
-    p AS (SELECT * FROM u WHERE pos % CASE WHEN n > 40 THEN n // 40 ELSE 1 END = 0),
+    p AS (SELECT * FROM u),
     m AS (SELECT DISTINCT chapter_id, unit, md5(line) AS mark FROM v_mark_runs),
     h AS (SELECT m.chapter_id, mark, count(*) AS n_match FROM m JOIN p ON p.chapter_id = m.chapter_id AND p.unit = m.unit GROUP BY 1, 2)
     SELECT c.chapter_id, c.mark, coalesce(n_match, 0) AS n_match, n_probed, coalesce(n_match, 0) >= 3 AND coalesce(n_match, 0) / n_probed <= 0.3 AS valid
     FROM (SELECT DISTINCT chapter_id, mark FROM m) c LEFT JOIN h ON h.chapter_id = c.chapter_id AND h.mark = c.mark
     JOIN (SELECT chapter_id, count(*) AS n_probed FROM p GROUP BY 1) q ON q.chapter_id = c.chapter_id""")
 def validate_marks(t: Tables):
-    """A mark is the exact first or last line; probing every n-th unit is the operator's own rule."""
+    """A mark is the exact first or last line; every unit is probed."""
     from seqlens.plans.scan import ordinal_block
 
     runs = _mark_runs(t).select("chapter_id", "unit", F.md5("line").alias("mark"))
@@ -284,22 +284,21 @@ def _big_units(t: Tables):
 
 
 def _line_boxes(t: Tables):
-    """Text boxes of the parts: returned lines only, so some parts have none."""
-    return t.lineitem.filter("l_returnflag = 'R' AND l_linenumber <= 2").select(
+    """Text boxes of the parts: one per line."""
+    return t.lineitem.select(
         F.lit(0).alias("chapter_id"), F.col("l_partkey").alias("unit"), F.col("l_quantity").alias("w"), (F.col("l_linenumber") * 10 + F.col("l_quantity")).alias("h"))
 
 
 @query("text_coverage", """
     SELECT unit, CASE WHEN covered IS NULL THEN CASE WHEN coalesce(has_text, TRUE) THEN CAST(0.1 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END
                 ELSE least(covered / (w * h), 1.0) END AS coverage
-    FROM v_big_units LEFT JOIN (SELECT l_partkey, sum(l_quantity * (l_linenumber * 10 + l_quantity)) AS covered FROM lineitem
-         WHERE l_returnflag = 'R' AND l_linenumber <= 2 GROUP BY 1) ON l_partkey = unit""")
+    FROM v_big_units LEFT JOIN (SELECT l_partkey, sum(l_quantity * (l_linenumber * 10 + l_quantity)) AS covered FROM lineitem GROUP BY 1) ON l_partkey = unit""")
 def text_coverage(t: Tables):
     return G.text_coverage(_big_units(t), _line_boxes(t), CH).select("unit", "coverage")
 
 
 @query("readability_guard", """
-    WITH m AS (SELECT l_partkey, list_sort(list(l_linenumber * 10 + l_quantity)) AS l FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <= 2 GROUP BY 1),
+    WITH m AS (SELECT l_partkey, list_sort(list(l_linenumber * 10 + l_quantity)) AS l FROM lineitem GROUP BY 1),
     r AS (SELECT unit, w, h, has_text, l[len(l) // 2 + 1] AS m FROM v_big_units LEFT JOIN m ON l_partkey = unit)
     SELECT unit, CASE WHEN m IS NULL THEN CASE WHEN coalesce(has_text, TRUE) THEN CAST(0.55 AS DOUBLE) ELSE CAST(0.45 AS DOUBLE) END
                  ELSE least(greatest(40.0::DOUBLE * h / (m * 1080), CAST(0.45 AS DOUBLE)), 1.0) END AS min_height,

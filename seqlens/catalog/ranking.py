@@ -256,14 +256,16 @@ def distinct_assignment(t: Tables):
 
 
 @query("attribution_list", """
-    WITH r AS (SELECT o_custkey AS plan_id, o_orderkey AS ord, p_name AS track, p_brand AS artist, 'u/' || CAST(p_partkey AS VARCHAR) AS url
-               FROM orders JOIN part ON p_partkey = o_orderkey % 50 WHERE o_orderstatus <> 'P'),
+    WITH r AS (SELECT o_custkey AS plan_id, o_orderkey * 1000000000 + p_partkey AS ord, p_name AS track, p_brand AS artist,
+                      'u/' || CAST(p_partkey AS VARCHAR) AS url
+               FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus <> 'P'),
     o AS (SELECT plan_id, track, artist, arg_min(url, ord) AS url, min(ord) AS ord FROM r GROUP BY 1, 2, 3)
     SELECT plan_id, string_agg('Music track: ' || track || ' by ' || artist || chr(10) || 'Source: ' || url, chr(10) || chr(10) ORDER BY ord) AS credits FROM o GROUP BY 1""")
 def attribution_list(t: Tables):
-    key = F.col("o_orderkey") % 50
-    plan = t.orders.join(t.part, F.col("p_partkey") == key).select(
-        F.col("o_custkey").alias("plan_id"), F.col("o_orderkey").alias("ord"), F.lit("m").alias("mood"), F.col("p_name").alias("track"),
+    """The parts of a customer's orders as tracks of a plan."""
+    lines = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    plan = lines.select(
+        F.col("o_custkey").alias("plan_id"), (F.col("o_orderkey") * 1000000000 + F.col("p_partkey")).alias("ord"), F.lit("m").alias("mood"), F.col("p_name").alias("track"),
         F.col("p_brand").alias("artist"), F.concat(F.lit("u/"), F.col("p_partkey").cast("string")).alias("url"), (F.col("o_orderstatus") != "P").alias("obtained"))
     return K.attribution_list(plan, ["plan_id"])
 

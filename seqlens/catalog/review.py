@@ -327,17 +327,17 @@ def recurring_types(t: Tables):
                          unnest(list_distinct(['click', CASE WHEN p_brand < 'Brand#2' THEN 'view' ELSE 'purchase' END])) AS type
                   FROM part)
     SELECT chapter_id, gap_id, CAST(sum(n) AS BIGINT) AS mass, string_agg(f.type, ',' ORDER BY f.type) AS types
-    FROM (SELECT chapter_id, type, count(*) AS n FROM v_faults WHERE severity = 'high' GROUP BY 1, 2) f
+    FROM (SELECT chapter_id, type, count(*) AS n FROM v_faults GROUP BY 1, 2) f
     JOIN gaps g ON g.type = f.type WHERE status = 'open' GROUP BY 1, 2""")
 def gap_overlap(t: Tables):
-    """One gap per brand and type of part; chapters' high faults."""
+    """One gap per brand and type of part; all faults of the chapters."""
     gaps = t.part.select("p_brand", "p_type").distinct().select(
         F.concat_ws("/", "p_brand", "p_type").alias("gap_id"),
         F.when(F.col("p_type") == "ECONOMY", "adopted").when(F.col("p_type") == "PROMO", "rejected")
         .otherwise("open").alias("status"),
         F.array(F.lit("click"), F.when(F.col("p_brand") < "Brand#2", "view").otherwise("purchase")).alias("fault_types"),
     )
-    return R.gap_overlap(t.faults().filter("severity = 'high'"), gaps, "chapter_id").select(
+    return R.gap_overlap(t.faults(), gaps, "chapter_id").select(
         "chapter_id", "gap_id", "mass", F.array_join("types", ",").alias("types")
     )
 

@@ -334,15 +334,18 @@ def sweep_times(t: Tables):
 
 @query("nearest_frames", """
     WITH f AS (SELECT chapter_id, t AS ft, event_id FROM v_samples),
-    g AS (SELECT DISTINCT chapter_id, CAST(unnest(range(0, 30)) AS DOUBLE) * 86400 AS t FROM v_samples)
+    d AS (SELECT chapter_id, CAST(floor(min(t) / 86400) AS BIGINT) AS lo, CAST(floor(max(t) / 86400) AS BIGINT) AS hi FROM v_samples GROUP BY 1),
+    g AS (SELECT chapter_id, CAST(unnest(range(lo, hi + 2)) AS DOUBLE) * 86400 AS t FROM d)
     SELECT g.chapter_id, g.t, arg_min(event_id, (abs(ft - g.t), ft)) AS frame FROM g JOIN f ON f.chapter_id = g.chapter_id GROUP BY 1, 2""")
 def nearest_frames(t: Tables):
-    """Event nearest to each midnight, per user."""
+    """Event nearest to each midnight from a user's first event to the one after the last."""
     frames = t.events.select(
         F.col("user_id").alias("chapter_id"), "event_id",
         (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000) - 1704067200).cast("double").alias("t"),
     )
-    times = frames.select("chapter_id").distinct().select("chapter_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("d")).select(
+    day = F.floor(F.col("t") / 86400)
+    times = frames.groupBy("chapter_id").agg(F.min(day).alias("lo"), F.max(day).alias("hi")).select(
+        "chapter_id", F.explode(F.sequence("lo", F.col("hi") + 1)).alias("d")).select(
         "chapter_id", (F.col("d") * 86400.0).alias("t")
     )
     return L.nearest_frames(times, frames, CH).select("chapter_id", "t", F.col("frame.event_id").alias("frame"))

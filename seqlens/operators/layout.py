@@ -25,7 +25,7 @@ CLUSTER_PAD = 24
 BAND_SHARE = 0.08
 STRIP_ASPECT = 2.2
 TALL_ASPECT = 2.5
-PROBES, MARK_UNITS, MARK_SHARE = 40, 3, 0.30
+MARK_UNITS, MARK_SHARE = 3, 0.30
 W_BEAT, W_TEXT, W_POS = 0.40, 0.35, 0.25
 SPLASH = 0.02
 TEXT_PRIOR = 0.10
@@ -282,16 +282,18 @@ def recurring_marks(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).filter(F.col("n_units") >= MARK_UNITS)
 
 
-def validate_marks(candidates: DataFrame, matches: DataFrame, units: DataFrame, keys: Sequence[str]) -> DataFrame:
+def validate_marks(candidates: DataFrame, matches: DataFrame, units: DataFrame, keys: Sequence[str], probes: int | None = None) -> DataFrame:
     """A mark is real when it matches 3 or more, and at most 30 %, of the probed units.
 
-    units: (keys, unit, pos) with dense 0-based pos; above forty units every
-    (n div 40)-th is probed. matches: (keys, mark, unit).
+    units: (keys, unit, pos) with dense 0-based pos. All are probed; with ``probes``, above
+    so many units only every (n div probes)-th. matches: (keys, mark, unit).
     """
     keys = list(keys)
-    sizes = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "step", F.when(F.col("n") > PROBES, F.floor(F.col("n") / PROBES)).otherwise(1))
-    probed = units.join(sizes, keys).filter(F.col("pos") % F.col("step") == 0).select(*keys, "unit")
+    probed = units.select(*keys, "unit")
+    if probes is not None:
+        sizes = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn(
+            "step", F.when(F.col("n") > probes, F.floor(F.col("n") / probes)).otherwise(1))
+        probed = units.join(sizes, keys).filter(F.col("pos") % F.col("step") == 0).select(*keys, "unit")
     n_probed = probed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_probed"))
     hits = matches.select(*keys, "mark", "unit").distinct().join(probed, [*keys, "unit"]).groupBy(*keys, "mark").agg(
         F.count(F.lit(1)).alias("n_match"))
