@@ -355,31 +355,39 @@ def readability_guard(units: DataFrame, boxes: DataFrame, keys: Sequence[str], f
     })
 
 
-def containment_audit(plans: DataFrame, words: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
+def containment_audit(
+    plans: DataFrame, words: DataFrame, boxes: DataFrame, keys: Sequence[str], box_keys: Sequence[str] | None = None,
+) -> DataFrame:
     """Beats of each tall cut at which a text box leaves the visible window.
 
     plans: (keys, scene, cut, panel, cut_off, dur, mode, pw, ph, ss_w, ss_h, cy, zmax,
     fw, y0, y1, rx, ry, rw, rh); words: (keys, scene, w_start, w_end); boxes: (keys,
-    panel, x, y, w, h). One row per cut with boxes: checked beats, violations, first.
+    panel, x, y, w, h), or with ``box_keys`` (box_keys, panel, x, y, w, h) where a panel's
+    boxes hold in several groups. One row per cut with boxes: checked beats, violations, first.
 
     All boxes of a panel lie in a window exactly when their extent does, so boxes
-    shrink to one extent per cut. The beats of a cut are an array in its row (the
+    shrink to one extent for each way in which the panel is framed, and cuts join that. The beats of a cut are an array in its row (the
     words of one scene and a grid), so nothing is exploded or shuffled per beat.
     """
     keys = list(keys)
     cid = [*keys, "scene", "cut"]
     tall = plans.filter(F.col("ph") / F.col("pw") > TALL_ASPECT)
-    met = tall.select(*cid, "panel", "pw", "ph", "mode", "rx", "ry", "rw", "rh").join(boxes, [*keys, "panel"])
+    box_on = [*(keys if box_keys is None else box_keys), "panel"]
+    in_crop = F.coalesce(F.col("mode") == "crop", F.lit(False))
+    frame = ["pw", "ph", "__crop", *[f"__r{i}" for i in "xywh"]]
+    # the crop's window only matters to a crop, so other cuts share their frame
+    tall = tall.withColumns({"__crop": in_crop, **{f"__r{i}": F.when(in_crop, F.coalesce(f"r{i}", F.lit(0.0))).otherwise(0.0) for i in "xywh"}})
+    met = tall.select(*box_on, *frame).distinct().join(boxes, box_on)
     x0, y0 = F.greatest("x", F.lit(0.0)), F.greatest("y", F.lit(0.0))
     x1, y1 = F.least(F.col("x") + F.col("w"), F.col("pw")), F.least(F.col("y") + F.col("h"), F.col("ph"))
-    met = met.select(*cid, "mode", "rx", "ry", "rw", "rh", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    met = met.select(*box_on, *frame, x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
     met = met.filter("x1 > x0 AND y1 > y0")
-    seen = (F.col("mode") != "crop") | ((F.col("x1") > F.col("rx")) & (F.col("x0") < F.col("rx") + F.col("rw"))
-                                        & (F.col("y1") > F.col("ry")) & (F.col("y0") < F.col("ry") + F.col("rh")))
+    seen = ~F.col("__crop") | ((F.col("x1") > F.col("__rx")) & (F.col("x0") < F.col("__rx") + F.col("__rw"))
+                               & (F.col("y1") > F.col("__ry")) & (F.col("y0") < F.col("__ry") + F.col("__rh")))
     keep = lambda agg, c: agg(F.when(seen, F.col(c))).alias(f"b{c}")
-    extent = met.groupBy(*cid).agg(keep(F.min, "x0"), keep(F.min, "y0"), keep(F.max, "x1"), keep(F.max, "y1"))
+    extent = met.groupBy(*box_on, *frame).agg(keep(F.min, "x0"), keep(F.min, "y0"), keep(F.max, "x1"), keep(F.max, "y1"))
     spoken = words.groupBy(*keys, "scene").agg(F.collect_list(F.array("w_start", "w_end")).alias("__said"))
-    rows = tall.join(extent, cid).join(spoken, [*keys, "scene"], "left")
+    rows = tall.join(extent, [*box_on, *frame]).join(spoken, [*keys, "scene"], "left")
     c = F.col
     total = c("dur") + c("cut_off")
     grid = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(total * 2).cast("int") - 1, F.lit(0))), lambda k: k * F.lit(0.5))

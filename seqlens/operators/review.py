@@ -432,7 +432,8 @@ def apply_verdicts(faults: DataFrame, scene_panels: DataFrame, verdicts: DataFra
     """Apply triage decisions; returns (faults, scene_panels).
 
     ``verdicts``: (keys, scene, decision, panels). A drop needs at least one valid
-    panel and one survivor; otherwise the faults stay high.
+    panel and one survivor; otherwise the faults stay high. Of several verdicts on a
+    scene a valid drop goes before a dismissal.
     """
     on = [*keys, "scene"]
     named = verdicts.filter("upper(decision) = 'DROP'").select(*on, F.explode("panels").alias("panel")).distinct()
@@ -444,7 +445,7 @@ def apply_verdicts(faults: DataFrame, scene_panels: DataFrame, verdicts: DataFra
         *on,
         F.when((F.upper("decision") == "DROP") & F.col("__drop"), "resolved_drop")
         .when(F.upper("decision") == "DISMISS", "dismissed").alias("__fate"),
-    )
+    ).groupBy(*on).agg(F.max("__fate").alias("__fate"))
     updated = faults.join(fate, on, "left").withColumn(
         "severity", F.when((F.col("severity") == "high") & F.col("__fate").isNotNull(), F.col("__fate"))
         .otherwise(F.col("severity"))
