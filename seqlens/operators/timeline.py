@@ -358,12 +358,20 @@ def word_class(word: Column, keywords: Column, hype: Column, shock: Column) -> C
     )
 
 
-def caption_chunks(words: DataFrame, spans: DataFrame, keys: Sequence[str], short: bool = False) -> DataFrame:
+def short_word_class(word: Column, keywords: Column) -> Column:
+    """keyword, shock or none in a short: the scene's keywords first, then the short vocabulary."""
+    none = F.array().cast("array<string>")
+    norm = lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]", "")
+    bare, named = norm(word), F.transform(F.coalesce(keywords, none), norm)
+    return F.when(F.array_contains(named, bare), "keyword").when(bare.isin(*SHORT_SHOCK_WORDS), "shock").otherwise("none")
+
+
+def caption_chunks(words: DataFrame, spans: DataFrame, keys: Sequence[str], short: bool = False, total: str | None = None) -> DataFrame:
     """Two-word captions in absolute time.
 
     words: (keys, scene, pos, word, w_start, w_end[, class]); spans: (keys, scene, t0).
     Long form ends 0.10 s after the last word; short form 0.06 s, clipped to the
-    next caption of the scene and at least 0.12 s long.
+    next caption of the scene, at least 0.12 s long, and not beyond the column ``total`` of spans.
     """
     keys = list(keys)
     on = [*keys, "scene"]
@@ -374,12 +382,13 @@ def caption_chunks(words: DataFrame, spans: DataFrame, keys: Sequence[str], shor
     )
     if short:
         rows = scan(rows, on, ["chunk"], ordinal_block("chunk"), nxt={"__next": F.col("a")})
-    rows = rows.join(spans.select(*on, "t0"), on)
+    rows = rows.join(spans.select(*on, "t0", *([total] if total else [])), on)
     start = F.col("t0") + F.col("a")
     if short:
         end = F.col("t0") + F.col("z") + 0.06
         end = F.coalesce(F.least(end, F.col("t0") + F.col("__next")), end)
         end = F.when(end - start < 0.12, start + 0.12).otherwise(end)
+        end = F.least(end, F.col(total)) if total else end
     else:
         end = F.col("t0") + F.col("z") + 0.10
         end = F.when(end <= start, start + 0.35).otherwise(end)

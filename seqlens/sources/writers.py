@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from seqlens.functions.values import minutes_seconds, srt_time, subtitle_time
 from seqlens.operators.review import severity_rank
+from seqlens.plans.scan import scan
+
+#: Captions of this many seconds are numbered by one task.
+BLOCK_SECONDS = 3600
 
 
 def report_lines(faults: DataFrame) -> DataFrame:
@@ -51,13 +55,45 @@ def caption_events(captions: DataFrame, style: str = "Kinetic") -> DataFrame:
     })
 
 
-def write_captions(captions: DataFrame, keys: Sequence[str], path: str) -> None:
-    """One caption folder per group, lines in time order."""
-    rows = caption_events(captions)
-    order = [*keys, "start", "end"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*keys, "ass").write.mode("overwrite").partitionBy(
-        *keys
-    ).text(path)
+# The format lines of an ASS file and its caption style.
+ASS_HEADER = (
+    "[Script Info]", "ScriptType: v4.00+", "PlayResX: 1920", "PlayResY: 1080", "WrapStyle: 2", "ScaledBorderAndShadow: yes", "",
+    "[V4+ Styles]",
+    "Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, "
+    "ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding",
+    "Style: {style},{font},{size},&H00FFFFFF,&H00FFFFFF,&H00000000,&H00000000,1,0,0,0,100,100,0,0,1,{outline},2,2,60,60,{margin},1", "",
+    "[Events]",
+    "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text",
+)
+
+
+def caption_lines(
+    captions: DataFrame, keys: Sequence[str], style: str = "Kinetic", font: str = "Arial Black", vertical: bool = False,
+) -> DataFrame:
+    """The lines of each group's caption files: (keys, kind, line, text), kind ass or srt.
+
+    An ASS file opens with its header; SRT blocks are numbered from one in time order and end with a blank line.
+    """
+    keys = list(keys)
+    look = {"size": 110, "outline": 6, "margin": 470} if vertical else {"size": 76, "outline": 5, "margin": 300}
+    numbered = scan(
+        caption_events(captions, style).withColumn("__at", F.col("start").cast("double")), keys, ["__at", "end", "text"],
+        F.floor(F.col("__at") / BLOCK_SECONDS), number="n")
+    head = F.array(*[F.lit(h.format(style=style, font=font, **look)) for h in ASS_HEADER])
+    opening = captions.select(*keys).distinct().select(*keys, F.posexplode(head).alias("at", "text")).select(
+        *keys, F.lit("ass").alias("kind"), (F.col("at") - len(ASS_HEADER)).cast("bigint").alias("line"), "text")
+    block = F.concat((F.col("n") + 1).cast("string"), F.lit("\n"), F.col("srt"), F.lit("\n"))
+    body = numbered.select(*keys, F.col("n").cast("bigint").alias("line"), F.explode(F.array(
+        F.struct(F.lit("ass").alias("kind"), F.col("ass").alias("text")), F.struct(F.lit("srt").alias("kind"), block.alias("text")),
+    )).alias("c")).select(*keys, "c.kind", "line", "c.text")
+    return opening.unionByName(body)
+
+
+def write_captions(captions: DataFrame, keys: Sequence[str], path: str, style: str = "Kinetic") -> None:
+    """One folder per group and kind, its parts in time order; one after another they are the file."""
+    order = [*keys, "kind", "line"]
+    caption_lines(captions, keys, style).repartitionByRange(*order).sortWithinPartitions(*order).select(
+        *keys, "kind", "text").write.mode("overwrite").partitionBy(*keys, "kind").text(path)
 
 
 def write_documents(documents: DataFrame, keys: Sequence[str], column: str, path: str) -> None:
