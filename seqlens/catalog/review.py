@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqlens.catalog.base import TABLES_SQL, Tables, query
 from seqlens.functions.values import minutes_seconds
 from seqlens.operators import review as R
+from seqlens.session import cut_lineage
 from seqlens.sources import readers
 
 CH = ["chapter_id"]
@@ -232,8 +233,8 @@ _VERDICT_SQL = """
           GROUP BY 1) v ON v.chapter_id = s.chapter_id"""
 
 
-def _verdicts(t: Tables):
-    m = _matched(t).groupBy("chapter_id").agg(
+def _verdicts(t: Tables, matched=None):
+    m = (_matched(t) if matched is None else matched).groupBy("chapter_id").agg(
         F.array_compact(F.array(F.when(F.max("new_type"), "new_type"), F.when(F.max(F.col("net") > 0), "worsened")))
         .alias("vetoes")
     )
@@ -253,7 +254,8 @@ def experiment_verdict(t: Tables):
     JOIN (SELECT chapter_id, count(*) FILTER (severity = 'high') AS high FROM v_faults GROUP BY 1) c ON c.chapter_id = v.chapter_id
     LEFT JOIN (SELECT chapter_id, count(*) AS n FROM v_matched GROUP BY 1) a ON a.chapter_id = v.chapter_id""")
 def experiment_report(t: Tables):
-    docs = R.experiment_report(_verdicts(t), R.severity_counts(t.faults(), CH), _matched(t), CH)
+    matched = cut_lineage(_matched(t))  # the verdicts and the report both read it
+    docs = R.experiment_report(_verdicts(t, matched), R.severity_counts(t.faults(), CH), matched, CH)
     at = lambda path: F.get_json_object("report", path)
     return docs.select(
         "chapter_id", at("$.verdict").alias("verdict"), at("$.score.delta").cast("bigint").alias("delta"),

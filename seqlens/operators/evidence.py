@@ -595,6 +595,24 @@ def mood_vote(texts: DataFrame, keys: Sequence[str], text: str, cues: dict[str,
     )
 
 
+def derive_mood(scenes: DataFrame, scripts: DataFrame, keys: Sequence[str], override: str | None = None) -> DataFrame:
+    """(keys, mood, why) of every script: the override, the script's own mood, the vote, or the default.
+
+    scenes: (keys, narration, caption, keywords array); scripts: (keys, title, music_mood), one row
+    per script. Narrations, captions, keywords and the title vote.
+    """
+    keys = list(keys)
+    said = F.concat_ws(" ", "narration", "caption", F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " "))
+    texts = scenes.select(*keys, said.alias("text")).unionByName(scripts.select(*keys, F.col("title").alias("text")))
+    rows = scripts.select(*keys, "music_mood").join(mood_vote(texts, keys, "text"), keys, "left")
+    own, voted = F.coalesce("music_mood", F.lit("")) != "", F.coalesce("n_hits", F.lit(0)) > 0
+    mood = F.when(own, F.col("music_mood")).otherwise(F.coalesce("mood", F.lit(DEFAULT_MOOD)))
+    why = F.when(own, "script").when(voted, "vote").otherwise("default")
+    if override:
+        mood, why = F.lit(override), F.lit("override")
+    return rows.select(*keys, mood.alias("mood"), why.alias("why"))
+
+
 # Capitalised words that are no names.
 NAME_STOP = (
     "This", "That", "Then", "There", "They", "When", "Where", "What", "With", "From", "Above", "Below", "After", "Before",

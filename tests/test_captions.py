@@ -1,10 +1,11 @@
-"""Caption files, short-form captions and verdicts given twice."""
+"""Caption files, short-form captions, verdicts given twice and moods."""
 
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from seqlens.operators import evidence as E
 from seqlens.operators import review as R
 from seqlens.operators import timeline as L
 from seqlens.sources import writers
@@ -44,3 +45,13 @@ def test_two_verdicts_do_not_double_a_fault(spark):
     verdicts = spark.createDataFrame([("c", 1, "dismiss", []), ("c", 1, "drop", ["p1"])], "c string, scene int, decision string, panels array<string>")
     updated, left = R.apply_verdicts(faults, panels, verdicts, ["c"])
     assert [r.severity for r in updated.collect()] == ["resolved_drop"] and [r.panel for r in left.collect()] == ["p2"]
+
+
+def test_moods_by_the_real_cues(spark):
+    scenes = spark.createDataFrame(
+        [(1, "They fight and clash.", "a duel", ["tears"]), (2, "nothing", None, None), (3, "fight", "", ["war"]), (4, "war", "grief", ["sad"])],
+        "s int, narration string, caption string, keywords array<string>")
+    scripts = spark.createDataFrame([(1, "x", None), (2, "x", ""), (3, "x", "Chill"), (4, "Loneliness", None), (5, "no scenes", None)], "s int, title string, music_mood string")
+    got = {r.s: (r.mood, r.why) for r in E.derive_mood(scenes, scripts, ["s"]).collect()}
+    assert got == {1: ("Action", "vote"), 2: ("Cinematic", "default"), 3: ("Chill", "script"), 4: ("Sad", "vote"), 5: ("Cinematic", "default")}
+    assert {(r.mood, r.why) for r in E.derive_mood(scenes, scripts, ["s"], "Epic").collect()} == {("Epic", "override")}
