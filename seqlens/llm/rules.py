@@ -39,29 +39,22 @@ def _share(a: str, b: str) -> Column:
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
-#: What a rule measures; a document is rejected above the cutoff.
-RULES: dict[str, tuple[Column, tuple[float, ...]]] = {}
-
-
 def rules() -> dict[str, tuple[Column, tuple[float, ...]]]:
-    if not RULES:
-        RULES.update({
-            "symbols per word": (_share("n_symbols", "n_words"), (3.0, 2.0, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05)),
-            "capitals share": (_share("n_upper", "word_chars"), (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1)),
-            "exclamations per word": (_share("n_exclaim", "n_words"), (3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.4, 0.3, 0.2, 0.1, 0.05)),
-            "repeated words share": (_share("n_repeat_words", "n_words"), (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05)),
-            "repeated lines share": (_share("n_dup_lines", "n_lines"), (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1)),
-            "word length": (_share("word_chars", "n_words"), (40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0, 9.0)),
-        })
-    return RULES
+    """What each rule measures and its ladder of cutoffs; a document is rejected above the cutoff."""
+    return {
+        "symbols per word": (_share("n_symbols", "n_words"), (3.0, 2.0, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05)),
+        "capitals share": (_share("n_upper", "word_chars"), (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1)),
+        "exclamations per word": (_share("n_exclaim", "n_words"), (3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.4, 0.3, 0.2, 0.1, 0.05)),
+        "repeated words share": (_share("n_repeat_words", "n_words"), (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05)),
+        "repeated lines share": (_share("n_dup_lines", "n_lines"), (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1)),
+        "word length": (_share("word_chars", "n_words"), (40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0, 9.0)),
+    }
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
     """P(X <= k) for n trials of chance p, exact but for rounding."""
     if k >= n:
         return 1.0
-    if n <= 0 or k < 0:
-        return 1.0 if n <= 0 else 0.0
     i = np.arange(k, dtype=np.float64)
     steps = np.log((n - i) / (i + 1)) + np.log(p) - np.log1p(-p)
     logs = n * np.log1p(-p) + np.concatenate([[0.0], np.cumsum(steps)])
