@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters after which a chunk is closed, and the distinct pre-tokens a bucket of a chunk should hold on average.
-CHUNK_CHARS = 6_000_000
+#: Characters and documents after which a chunk is closed.
+CHUNK_CHARS = 4_000_000
 CHUNK_DOCUMENTS = 20_000
 
 PACKED = ("chunk long, ids array<long>, counts array<long>, bytes array<long>, "

@@ -100,7 +100,7 @@ class Hashed(dict):
         self.mask = (1 << bits) - 1
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) >= 300_000:  # only a memory of what was worked out before
+        if len(self) >= 150_000:  # only a memory of what was worked out before
             self.clear()
         found = self[word] = (zlib.crc32(b"w" + word) & self.mask, zlib.crc32(b"s" + shape(word).encode()) & self.mask)
         return found
