@@ -77,25 +77,30 @@ def hidden(word: str) -> bool:
 
 
 class Measure(dict):
-    """Word to the number of its property row; rows are few, words are many."""
+    """Word to the number of its row in ``table``; rows are few, words are many."""
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
-        self.lexicon, self.rows, self.known = lexicon, [], {}
+        self.lexicon, self.known, self.table = lexicon, {}, np.zeros((1024, 10))
 
     def __missing__(self, word: str) -> int:
-        weights = [w for t in terms_of(word) if (w := self.lexicon.get(t)) is not None]
-        weight = round(max(weights), 1) if weights else 0.0
-        hide = hidden(word)
+        plainly = word.islower() and word.isalpha()  # nothing to strip, to count or to uncover
+        core = word if plainly else bare(word)
+        get, form = self.lexicon.get, core if plainly else plain(core)
+        weight = max(get(form, 0.0), *(get(form[:n] + "-", 0.0) for n in (4, 5, 6) if len(form) > n), 0.0)
+        weight = round(weight, 1)
+        hide = not plainly and hidden(word)
         row = (
-            weight, float(weight > 0), float(bare(word) in SECOND_PERSON), float(sum(map(str.isupper, word))),
-            float(len(word) > 1 and word.isupper()), float(sum(c in _PUNCTUATION for c in word)), float(word.count("!")),
-            float(hide), float(hide and weight > 0), float(len(word)))
+            weight, float(weight > 0), float(core in SECOND_PERSON), 0.0 if plainly else float(sum(map(str.isupper, word))),
+            float(not plainly and len(word) > 1 and word.isupper()), 0.0 if plainly else float(sum(c in _PUNCTUATION for c in word)),
+            float(word.count("!")), float(hide), float(hide and weight > 0), float(len(word)))
         at = self.known.get(row)
         if at is None:
-            at = self.known[row] = len(self.rows)
-            self.rows.append(row)
-        if len(self) >= 400_000:  # only a memory of what was worked out before
+            at = self.known[row] = len(self.known)
+            if at == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[at] = row
+        if len(self) >= 150_000:  # only a memory of what was worked out before
             self.clear()
         self[word] = at
         return at
@@ -106,7 +111,7 @@ def features_of(text: str, measure: Measure, near: int) -> list[float]:
     if not words:
         return [0.0] * len(FEATURES)
     at = np.fromiter(map(measure.__getitem__, words), np.int64, len(words))
-    p = np.array(measure.rows)[at] if len(measure.rows) < 256 else np.array([measure.rows[i] for i in at.tolist()])
+    p = measure.table[at]
     n, sums = len(words), p.sum(axis=0)
     chars = max(1.0, sums[9])
     hits, second = np.flatnonzero(p[:, 1]), np.flatnonzero(p[:, 2])
