@@ -207,7 +207,10 @@ def links(
 
 
 def components(prints: DataFrame, errors: int, parts: int, other_errors: int | None = None) -> DataFrame:
-    """``prints`` (doc_id, fp, other) with ``component_id``, the smallest doc_id reachable over links."""
+    """``prints`` (doc_id, fp, other) with ``component_id``, the smallest doc_id reachable over links, and ``root``.
+
+    ``root`` is the component itself, a point's id; components of null or repeated ids may share their smallest doc_id.
+    """
     # copies fold to one point before anything is paired
     points = cut_lineage(prints.groupBy("fp", "other").agg(F.min("doc_id").alias("least")).withColumn(
         "id", F.monotonically_increasing_id()))
@@ -216,8 +219,10 @@ def components(prints: DataFrame, errors: int, parts: int, other_errors: int | N
     roots = connected_components(edges.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")), touched, [])
     linked = roots.select("id", "root").join(points.select("id", "fp", "other", "least"), "id")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "root").select("id", "component_id")
-    labels = points.join(named, "id", "left").select("fp", "other", F.coalesce("component_id", "least").alias("component_id"))
+    named = linked.join(least, "root").select("id", "root", "component_id")
+    labels = points.join(named, "id", "left").select(
+        "fp", "other", F.coalesce("root", "id").alias("root"),
+        F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     return prints.join(labels, ["fp", "other"])
 
 
@@ -248,7 +253,7 @@ def without_near_copies(
     both = fingerprints(docs.withColumn("h", F.xxhash64("text")), search_width, width)
     prints = cut_lineage(both.select("doc_id", "h", "fp", "other"))
     grouped = components(prints, search_errors, parts, differing)
-    kept = grouped.groupBy("component_id").agg(
+    kept = grouped.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k")).select("k.doc_id", "k.h")
     kept = cut_lineage(kept.withColumnRenamed("doc_id", "__id").withColumnRenamed("h", "__h"))
     staying = docs.withColumn("__key", F.xxhash64("text")).join(

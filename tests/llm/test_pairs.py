@@ -96,6 +96,14 @@ def test_one_of_each_near_group_stays(frame, odd):
     assert "payload" in got.columns and got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_null_and_repeated_ids_do_not_join_unrelated_texts(frame, odd):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{rng.integers(0, 3000)}" for _ in range(300)) for _ in range(7)]
+    rows = [*[(None, t) for t in texts[:4]], (None, texts[0]), *[(7, t) for t in texts[4:]], (7, texts[4])]
+    got = simhash.without_near_copies(odd(frame(rows)))
+    assert sorted(map(str, [(r.doc_id, r.text) for r in got.collect()])) == sorted(map(str, {(r[0], r[1]) for r in rows}))
+
+
 def plain_repeats(rows, width):
     words = [(r[1] or "").encode().split() for r in rows]
     seen = Counter(tuple(w[i:i + width]) for w in words for i in range(len(w) - width + 1))
