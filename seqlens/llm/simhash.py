@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlens.llm.common import cut_lineage
+from seqlens.llm.common import cut_lineage, small
 from seqlens.plans.rounds import connected_components
 
 BITS = 64
@@ -31,23 +31,35 @@ LEAST_DEPTH = 5
 LEAVES = 32_000
 #: Pairs of nodes that a task follows at a time.
 PORTION = 500_000
+#: Leaf pairs that a task looks at a time, about.
+LEAF_PAIRS = 1_000_000
+#: Documents whose sets are compared word for word that are still broadcast by id.
+BROADCAST = 1_000_000
+#: Odd factors that put 32-bit hashes in 128 orders.
+_ORDERS = np.random.default_rng(42).integers(0, 1 << 32, 2 * BITS, dtype=np.uint32) | np.uint32(1)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint_of(text: bytes, width: int = 3) -> int:
-    """64-bit SimHash of the word shingles of one text: bit set if over half of the shingle hashes set it."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the word shingles of one text, in order; a text of fewer words is one shingle."""
     import xxhash
 
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - width + 1)
-    hashes = np.fromiter(
+    return np.fromiter(
         (hashed(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[min(width, len(words)) - 1:].tolist(), strict=True)),
         np.uint64, n)
+
+
+def fingerprint_of(text: bytes, width: int = 3) -> int:
+    """64-bit SimHash of the word shingles of one text: bit set if over half of the shingle hashes set it."""
+    hashes = shingle_hashes(text, width)
+    n = len(hashes)
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, 65_536):
         part = hashes[at:at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -55,24 +67,50 @@ def fingerprint_of(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * counts > n).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, other_width: int | None = None) -> DataFrame:
-    """doc_id (and ``h`` where there is one) and ``fp``, the fingerprint as a signed 64-bit number.
+def set_bits(hashes: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit fingerprints of a set of hashes: a bit is that of the set's least hash in one of 128 orders.
 
-    With ``other_width`` there is a second one, ``other``. Null texts count as empty: fingerprint zero.
+    A bit differs with probability (1 - J) / 2 between sets of Jaccard similarity J, so at 0.8 a fingerprint
+    differs in 6.4 bits, with a deviation of 2.4.
     """
-    columns = [c for c in docs.columns if c in ("doc_id", "h")]
-    widths = [width] if other_width is None else [width, other_width]
+    if not len(hashes):
+        return 0, 0
+    low = hashes.astype(np.uint32)
+    least = np.full(2 * BITS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 4_096):
+        least = np.minimum(least, (_ORDERS[:, None] * low[at:at + 4_096]).min(axis=1))
+    a, b = np.packbits(least * np.uint32(0x9E3779B1) >> np.uint32(31) == 1).view(">i8")
+    return int(a), int(b)
+
+
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id and ``fp``, the SimHash as a signed 64-bit number. Null texts count as empty: fingerprint zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ((t.as_py() or "").encode() for t in batch.column(1))
+            found = np.fromiter((fingerprint_of(t, width) for t in texts), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+
+
+def set_prints(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, ``h``, ``digest`` of the set of shingles and its fingerprints ``fp`` and ``other``. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            texts = [(t.as_py() or "").encode() for t in batch.column(batch.num_columns - 1)]
-            found = [
-                pa.array(np.fromiter((fingerprint_of(t, w) for t in texts), np.uint64, len(texts)).view(np.int64)) for w in widths]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [*columns, *["fp", "other"][:len(widths)]])
+            found = np.zeros((batch.num_rows, 3), np.int64)
+            for i, text in enumerate(batch.column(2)):
+                own = np.unique(shingle_hashes((text.as_py() or "").encode(), width))
+                found[i] = np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64), *set_bits(own)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], *(pa.array(found[:, c]) for c in range(3))], ["doc_id", "h", "digest", "fp", "other"])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in columns), *[f"{c} long" for c in ["fp", "other"][:len(widths)]]])
-    return docs.select(*columns, "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "h", "text").mapInArrow(
+        run, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, digest long, fp long, other long")
 
 
 def budget_at(depth: int, errors: int, parts: int) -> int:
@@ -127,14 +165,17 @@ def follow(left: np.ndarray, right: np.ndarray, depth: int, errors: int, parts:
         depth, (a0, a1, b0, b1, errs) = waiting.pop()
         done = ((a1 - a0 == 1) & (b1 - b0 == 1)) | (depth == BITS)
         if done.any():
-            n = ((a1 - a0) * (b1 - b0))[done]
-            nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            width = np.repeat((b1 - b0)[done], n)
-            x, y = np.repeat(a0[done], n) + nth // width, np.repeat(b0[done], n) + nth % width
-            near = np.bitwise_count(left[x] ^ right[y]) <= errors
-            if same:
-                near &= x < y
-            yield x[near], y[near]
+            la0, lb0, wide = a0[done], b0[done], (b1 - b0)[done]
+            ends = np.cumsum((a1 - a0)[done] * wide)
+            for at in range(0, int(ends[-1]), LEAF_PAIRS):
+                nth = np.arange(at, min(at + LEAF_PAIRS, int(ends[-1])))
+                of = np.searchsorted(ends, nth, "right")
+                nth -= np.concatenate([[0], ends[:-1]])[of]
+                x, y = la0[of] + nth // wide[of], lb0[of] + nth % wide[of]
+                near = np.bitwise_count(left[x] ^ right[y]) <= errors
+                if same:
+                    near &= x < y
+                yield x[near], y[near]
         a0, a1, b0, b1, errs = (v[~done] for v in (a0, a1, b0, b1, errs))
         if not len(errs):
             continue
@@ -206,15 +247,20 @@ def links(
     return pairs.groupBy("turn", "low", "high").applyInArrow(run, "a long, b long")
 
 
-def components(prints: DataFrame, errors: int, parts: int, other_errors: int | None = None) -> DataFrame:
+def components(prints: DataFrame, errors: int, parts: int, other_errors: int | None = None, either: bool = False) -> DataFrame:
     """``prints`` (doc_id, fp, other) with ``component_id``, the smallest doc_id reachable over links, and ``root``.
 
     ``root`` is the component itself, a point's id; components of null or repeated ids may share their smallest doc_id.
+    With ``either`` two points link as well if it is their ``other`` that differs in at most ``errors`` bits.
     """
     # copies fold to one point before anything is paired
     points = cut_lineage(prints.groupBy("fp", "other").agg(F.min("doc_id").alias("least")).withColumn(
         "id", F.monotonically_increasing_id()))
-    edges = cut_lineage(links(points.select("fp", "other", "id"), errors, parts, other_errors))
+    edges = links(points.select("fp", "other", "id"), errors, parts, other_errors)
+    if either:
+        turned_round = points.select(F.col("other").alias("fp"), F.col("fp").alias("other"), "id")
+        edges = edges.unionByName(links(turned_round, errors, parts, other_errors))
+    edges = cut_lineage(edges)
     touched = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     roots = connected_components(edges.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")), touched, [])
     linked = roots.select("id", "root").join(points.select("id", "fp", "other", "least"), "id")
@@ -239,21 +285,81 @@ def near_duplicates(docs: DataFrame, width: int = 3, errors: int = 3, parts: int
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def linked_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """A number per set, equal for sets connected by pairs of a Jaccard similarity of ``similarity`` or more.
+
+    Every set is compared with all those that are not yet connected to it. Each set is sorted and without repeats.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    label, open_ = np.full(len(sets), -1, np.int64), np.arange(len(sets))
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, marked = np.cumsum(size) - size, np.zeros(len(names) + 1, bool)
+    where: list[int] = []
+    while len(open_):
+        if not where:  # the next component
+            where, open_ = [int(open_[0])], open_[1:]
+            label[where[0]] = where[0]
+        i = where.pop()
+        least, most = np.minimum(size[open_], size[i]), np.maximum(size[open_], size[i])
+        like = np.zeros(len(open_), bool)
+        may = np.flatnonzero((least >= similarity * most * (1 - 1e-9)) & (least > 0))
+        if len(may):
+            mine = flat[starts[i]:starts[i] + size[i]]
+            marked[mine] = True
+            n = size[open_[may]]
+            for part in np.split(np.arange(len(may)), np.flatnonzero(np.diff(np.cumsum(n) // 4_000_000)) + 1):
+                m = n[part]
+                before = np.cumsum(m) - m
+                at = np.arange(int(m.sum())) + np.repeat(starts[open_[may[part]]] - before, m)
+                both = np.add.reduceat(marked[flat[at]].astype(np.int64), before)
+                like[may[part]] = both / (m + size[i] - both) >= similarity
+            marked[mine] = False
+        where += open_[like].tolist()
+        label[open_[like]] = label[i]
+        open_ = open_[~like]
+    return label
+
+
+def verified(docs: DataFrame, chosen: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(root, digest, label): which sets of shingles under a root are connected by pairs of ``similarity`` or more.
+
+    docs: doc_id, h, text; chosen: root, digest and the doc_id and h of one document that has the set.
+    """
+    chosen = small(chosen.withColumnsRenamed({"doc_id": "__id", "h": "__h"}), chosen.count(), BROADCAST)
+    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("root", "digest", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(shingle_hashes((t.as_py() or "").encode(), width)).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.binary())], ["root", "digest", "own"])
+
+    def run(group: pa.Table) -> pa.Table:
+        own = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("own")]
+        return group.select(["root", "digest"]).append_column("label", pa.array(linked_sets(own, similarity)))
+
+    one = texts.mapInArrow(sets, "root long, digest long, own binary").groupBy("root", "digest").agg(F.first("own").alias("own"))
+    return one.groupBy("root").applyInArrow(run, "root long, digest long, label long")
+
+
 def without_near_copies(
-    docs: DataFrame, width: int = 5, differing: int = 9, search_width: int = 2, search_errors: int = 8, parts: int = 8,
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, search_errors: int = 10, other_errors: int = 16, parts: int = 8,
 ) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest id.
 
-    Two documents are near copies if their fingerprints over ``width``-word shingles differ
-    in at most ``differing`` of 64 bits; 9 bits are an angle whose cosine is 0.90, the value for two sets of
-    equal size with a Jaccard similarity of 0.82. They are sought by fingerprints over ``search_width``-word
-    shingles within ``search_errors`` bits, which an edit moves less. Documents without words have zero for both. Of
+    Two documents are near copies if the sets of their ``width``-word shingles have a Jaccard similarity of
+    ``similarity`` or more. Pairs are sought by two fingerprints of the set, of which one differs in at most
+    ``search_errors`` of 64 bits and the other in at most ``other_errors``: at 0.8 that leaves out three pairs of a thousand. All sets
+    that hang together by such pairs are then compared themselves. Documents without words are copies of each other. Of
     rows with equal ids and texts one stays; a null id stays only if no other is in its group.
     """
-    both = fingerprints(docs.withColumn("h", F.xxhash64("text")), search_width, width)
-    prints = cut_lineage(both.select("doc_id", "h", "fp", "other"))
-    grouped = components(prints, search_errors, parts, differing)
-    kept = grouped.groupBy("root").agg(
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    prints = cut_lineage(set_prints(keyed, width))
+    grouped = cut_lineage(components(prints, search_errors, parts, other_errors, either=True).select("doc_id", "h", "digest", "root"))
+    several = grouped.groupBy("root").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("root")
+    chosen = cut_lineage(grouped.join(several, "root", "left_semi").groupBy("root", "digest").agg(
+        F.min(F.struct("doc_id", "h")).alias("k")).select("root", "digest", "k.doc_id", "k.h"))
+    labels = cut_lineage(verified(keyed, chosen, width, similarity))
+    kept = grouped.join(labels, ["root", "digest"], "left").groupBy("root", "label").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k")).select("k.doc_id", "k.h")
     kept = cut_lineage(kept.withColumnRenamed("doc_id", "__id").withColumnRenamed("h", "__h"))
     staying = docs.withColumn("__key", F.xxhash64("text")).join(

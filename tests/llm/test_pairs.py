@@ -104,6 +104,50 @@ def test_null_and_repeated_ids_do_not_join_unrelated_texts(frame, odd):
     assert sorted(map(str, [(r.doc_id, r.text) for r in got.collect()])) == sorted(map(str, {(r[0], r[1]) for r in rows}))
 
 
+def five_words(text):
+    words = text.split()
+    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+
+
+def similar(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_copies_are_those_of_similarity_08(frame):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(120):
+        text = [f"w{rng.integers(0, 3000)}" for _ in range(250)]
+        other = list(text)
+        for at in rng.choice(250, int(rng.integers(3, 9)), replace=False):
+            other[at] = "changed"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+    like = [similar(five_words(rows[2 * i][1]), five_words(rows[2 * i + 1][1])) for i in range(120)]
+    assert sum(x < 0.8 for x in like) > 20 and sum(0.8 <= x < 0.85 for x in like) > 20
+    kept = {r.doc_id for r in simhash.without_near_copies(frame(rows)).collect()}
+    assert {i for i in range(120) if 2 * i + 1 not in kept} == {i for i in range(120) if like[i] >= 0.8}
+
+
+def test_linked_sets_are_those_of_plain_pairs():
+    rng = np.random.default_rng(10)
+    sets = [np.unique(rng.integers(0, 14, int(rng.integers(1, 30)))).astype(np.uint64) for _ in range(150)] + [np.zeros(0, np.uint64)]
+    plain = [set(x.tolist()) for x in sets]
+    groups, _ = plain_components(sets, lambda i, j: similar(plain[i], plain[j]) >= 0.8)
+    found = defaultdict(list)
+    for i, label in enumerate(simhash.linked_sets(sets, 0.8).tolist()):
+        found[label].append(i)
+    assert sorted(found.values()) == sorted(groups.values()) and len(groups) > 20
+
+
+def test_leaf_pairs_come_in_portions(monkeypatch):
+    leaves = np.sort(np.array([5] * 30 + [6] * 20 + [1 << 60] * 3, np.uint64))
+    monkeypatch.setattr(simhash, "LEAF_PAIRS", 70)
+    found = [list(zip(x.tolist(), y.tolist(), strict=True)) for x, y in simhash.follow(leaves, leaves, 0, 2, 1)]
+    pairs = [p for part in found for p in part]
+    want = {(i, j) for j in range(53) for i in range(j) if int(leaves[i] ^ leaves[j]).bit_count() <= 2}
+    assert len(pairs) == len(want) and set(pairs) == want and max(map(len, found)) <= 70
+
+
 def plain_repeats(rows, width):
     words = [(r[1] or "").encode().split() for r in rows]
     seen = Counter(tuple(w[i:i + width]) for w in words for i in range(len(w) - width + 1))
