@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqlens.llm import bpe, iblt, mixing, quality, rules, simhash, substrings, token_counts, toxicity, warc
+from seqlens.llm import (
+    alignment, bpe, iblt, mixing, negatives, partenum, quality, rules, simhash, substrings, token_counts, toxicity, warc,
+)
 from seqlens.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +93,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+@llm_query("op11_ngram_jaccard", partenum.NEAR_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_documents(table(spark, sf_dir, "documents"))
+
+
+@llm_query("op12_hard_negatives", negatives.NEGATIVES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@llm_query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 @llm_query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
