@@ -245,13 +245,35 @@ def _assigned(t: Tables):
     names = F.array(*[F.lit(m) for m in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")])
     plan = plan.withColumn("mood", F.element_at(names, F.col("m"))).join(moods.withColumnRenamed("p_type", "mood"), "mood", "left_semi")
     # every mood offers the same few names, so the plans must avoid repeats
-    tracks = _tracks(t).select("mood", "track_id", "title", "artists", F.md5("title").alias("md5"), "downloads", "ord")
+    tracks = _tracks(t).select(
+        "mood", "track_id", F.when(F.col("track_id") % 11 > 0, F.col("title")).alias("title"),
+        F.when(F.col("track_id") % 13 > 0, F.col("artists")).alias("artists"), F.md5("title").alias("md5"), "downloads", "ord")
     return plan, K.distinct_assignment(plan, tracks, ["plan_id"])
 
 
-@query("distinct_assignment")
+#: The serial rule: a recursion per distinct list of moods takes the tracks, a second one settles equal contents.
+_ASSIGNED_SQL = """WITH RECURSIVE moods AS (SELECT DISTINCT p_type AS mood FROM part),
+    plan AS (SELECT o_custkey AS plan_id, o_orderkey AS ord, ['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD'][o_orderkey % 6 + 1] AS mood FROM orders),
+    once AS (SELECT plan_id, mood, min(ord) AS ord FROM plan SEMI JOIN moods USING (mood) GROUP BY 1, 2),
+    plans AS (SELECT plan_id, list(mood ORDER BY ord) AS moods FROM once GROUP BY 1),
+    offer AS (SELECT p.p_type AS mood, list({'track': p.p_partkey,
+                  'names': CASE WHEN p.p_partkey % 13 = 0 THEN CAST([] AS VARCHAR[]) ELSE [lower(p.p_brand) || '/' || coalesce(CASE WHEN p.p_partkey % 11 > 0 THEN lower(p.p_name) END, '')] END,
+                  'h': md5(p.p_name)} ORDER BY popularity DESC, p.p_partkey) AS cands
+              FROM part p JOIN v_candidates c ON c.source_id = p.p_partkey GROUP BY 1),
+    first AS (SELECT moods, 0 AS i, CAST([] AS VARCHAR[]) AS used, CAST([] AS STRUCT(track BIGINT, names VARCHAR[], h VARCHAR)[]) AS picks FROM (SELECT DISTINCT moods FROM plans)
+        UNION ALL SELECT moods, i + 1, list_concat(used, coalesce(pick.names, [])), list_append(picks, pick)
+        FROM (SELECT r.*, list_filter(o.cands, lambda x: NOT list_has_any(x.names, r.used))[1] AS pick FROM first r JOIN offer o ON o.mood = r.moods[i + 1] WHERE i < len(r.moods))),
+    settled AS (SELECT moods, 0 AS n, used, picks, CAST([] AS VARCHAR[]) AS seen, CAST([] AS BIGINT[]) AS took FROM first WHERE i = len(moods)
+        UNION ALL SELECT moods, n + 1, list_concat(used, coalesce(pick.names, [])), picks, CASE WHEN pick IS NULL THEN seen ELSE list_append(seen, pick.h) END, list_append(took, pick.track)
+        FROM (SELECT s.*, CASE WHEN s.picks[n + 1] IS NULL OR NOT list_contains(s.seen, s.picks[n + 1].h) THEN s.picks[n + 1]
+                ELSE list_filter(list_filter(o.cands, lambda x: NOT list_has_any(x.names, s.used))[1:6], lambda x: NOT list_contains(s.seen, x.h))[1] END AS pick
+              FROM settled s JOIN offer o ON o.mood = s.moods[n + 1] WHERE n < len(s.moods)))
+    SELECT plan_id, unnest(p.moods) AS mood, unnest(s.took) AS track_id FROM plans p JOIN settled s ON s.moods = p.moods AND s.n = len(s.moods)"""
+
+
+@query("distinct_assignment", _ASSIGNED_SQL)
 def distinct_assignment(t: Tables):
-    """Customers' orders as music plans; contents repeat under many names. Tested against a plain model."""
+    """Customers' orders as music plans; contents repeat under many names, some tracks have no title, some no artists."""
     return _assigned(t)[1]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seqlens.functions.text import slugify
 from seqlens.functions.values import chapter_label
 from seqlens.plans.scan import ranked_positions
+from seqlens.session import cut_lineage
 
 # Genres that hold viewers, and the score's parts.
 HIGH_RETENTION = (
@@ -223,17 +224,18 @@ def top_track(tracks: DataFrame, keys: Sequence[str], pick: int = 0) -> DataFram
 
 
 def useful_tracks(tracks: DataFrame, moods: int, tries: int) -> DataFrame:
-    """The tracks that a plan of ``moods`` moods can come to, with their ``rank`` in the mood and ``names``.
+    """The tracks that a plan of ``moods`` moods can come to, with their ``rank`` in the mood, ``names`` and place ``again`` among equal names.
 
     A taken name only blocks tracks of its own title, and a plan takes at most two tracks
     per mood; so behind 2 * moods titles and ``tries`` more there is always a free
     track, and of tracks with the same title and artists only the first ``tries`` are ever tried.
     """
-    artists = F.array_sort(F.array_distinct(F.transform("artists", lambda a: F.lower(F.trim(a)))))
+    named = F.filter(F.coalesce("artists", F.array().cast("array<string>")), lambda a: F.coalesce(a, F.lit("")) != "")
+    artists = F.array_sort(F.array_distinct(F.transform(named, lambda a: F.lower(F.trim(a)))))
     order = [F.desc(F.coalesce("downloads", F.lit(0))), "ord"]
-    named = tracks.withColumns({"__title": F.lower(F.trim("title")), "__artists": artists})
+    named = tracks.withColumns({"__title": F.lower(F.trim(F.coalesce("title", F.lit("")))), "__artists": artists})
     same = Window.partitionBy("mood", "__title", "__artists").orderBy(*order)
-    named = named.withColumn("__again", F.row_number().over(same)).filter(F.col("__again") <= max(tries, 1)).drop("__again")
+    named = named.withColumn("__again", F.row_number().over(same)).filter(F.col("__again") <= max(tries, 1))
     # titles in the order of their first track
     first = named.groupBy("mood", "__title").agg(F.min_by(F.struct(
         (-F.coalesce("downloads", F.lit(0))).alias("d"), "ord"), F.struct((-F.coalesce("downloads", F.lit(0))).alias("d"), "ord")).alias("at"))
@@ -242,7 +244,7 @@ def useful_tracks(tracks: DataFrame, moods: int, tries: int) -> DataFrame:
     kept = named.join(titles.select("mood", "__title"), ["mood", "__title"], "left_semi")
     names = F.transform("__artists", lambda a: F.concat(a, F.lit("\u0001"), F.col("__title")))
     return kept.select("*", F.row_number().over(Window.partitionBy("mood").orderBy(*order)).alias("rank"), names.alias("names")).drop(
-        "__title", "__artists")
+        "__title", "__artists").withColumnRenamed("__again", "again")
 
 
 def distinct_assignment(plan: DataFrame, tracks: DataFrame, keys: Sequence[str], tries: int = 6) -> DataFrame:
@@ -251,42 +253,51 @@ def distinct_assignment(plan: DataFrame, tracks: DataFrame, keys: Sequence[str],
     plan: (keys, ord, mood); tracks: (mood, track_id, title, artists, md5, downloads,
     ord). First every mood in plan order takes its best track of which no (artist,
     title) was taken by an earlier mood; then a mood whose content hash was seen tries
-    up to ``tries`` further tracks; failing that it stays empty. The fold runs inside
-    the plan's row, over the tracks that a plan with so many moods can come to.
+    up to ``tries`` further tracks; failing that it stays empty. A missing title counts as empty, and
+    a track without artists takes no name and is never blocked by one.
+
+    What a plan gets depends on its moods in order alone. So every distinct list of moods is folded once,
+    over the tracks that a plan with so many moods can come to, and its plans join it. The fold keeps ranks, not tracks.
     """
     keys = list(keys)
     first = plan.filter(F.coalesce("mood", F.lit("")) != "").groupBy(*keys, "mood").agg(F.min("ord").alias("ord"))
-    moods = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    ranked = useful_tracks(tracks, moods, tries)
-    lists = ranked.groupBy("mood").agg(F.array_sort(F.collect_list(F.struct("rank", "track_id", "names", "md5"))).alias("cands"))
-    rows = first.join(lists, "mood", "left").groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("ord", "mood", "cands"))).alias("__moods"))
-    track = rows.schema["__moods"].dataType.elementType["cands"].dataType.elementType.simpleString()
-    slot = f"struct<mood:string,cands:array<{track}>,pick:{track}>"
-    names = F.array().cast("array<string>")
-    none = F.lit(None).cast(track)
-    free = lambda cands, used: F.filter(F.coalesce(cands, F.array().cast(f"array<{track}>")), lambda t: ~F.arrays_overlap(used, t["names"]))
-    add = lambda used, t, new: F.when(t.isNull(), used).otherwise(F.concat(used, new))
-
-    def choose(st: Column, x: Column) -> Column:
-        pick = F.get(free(x["cands"], st["used"]), F.lit(0))
-        row = F.struct(x["mood"].alias("mood"), x["cands"].alias("cands"), pick.alias("pick"))
-        return F.struct(add(st["used"], pick, pick["names"]).alias("used"), F.concat(st["rows"], F.array(row)).alias("rows"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("ord", "mood"))), lambda m: m["mood"])
+    plans = cut_lineage(first.groupBy(*keys).agg(in_order.alias("__moods")))
+    lists = plans.select("__moods").distinct()
+    ranked = useful_tracks(tracks, plans.agg(F.max(F.size("__moods"))).first()[0] or 0, tries)
+    offers = ranked.groupBy("mood").agg(F.array_sort(F.collect_list(F.struct("rank", "track_id", "names", "md5", "again"))).alias("cands"))
+    # of equal names the first one is free if any is
+    offers = offers.withColumn("heads", F.transform(F.filter("cands", lambda t: t["again"] == 1), lambda t: F.struct(t["rank"], t["names"])))
+    slots = lists.select("__moods", F.posexplode("__moods").alias("nth", "mood")).join(offers, "mood", "left").groupBy("__moods").agg(
+        F.array_sort(F.collect_list(F.struct("nth", "cands", "heads"))).alias("__slots"))
+    names, none = F.array().cast("array<string>"), F.lit(None).cast("int")
+    free = lambda offered, used: F.filter(offered, lambda t: ~F.exists(t["names"], lambda n: F.array_contains(used, n)))
+    at = lambda slot, rank: F.get(slot["cands"], rank - 1)
+    more = lambda have, new: F.when(new.isNull(), have).otherwise(F.concat(have, new))
+
+    def fold(st: Column, slot: Column) -> Column:
+        pick = F.get(free(slot["heads"], st["used"]), F.lit(0))
+        return F.struct(more(st["used"], pick["names"]).alias("used"), F.concat(st["ranks"], F.array(pick["rank"])).alias("ranks"))
 
     def settle(st: Column, x: Column) -> Column:
-        known = F.array_contains(st["seen"], x["pick"]["md5"])
-        options = F.filter(F.slice(free(x["cands"], st["used"]), 1, tries), lambda t: ~F.array_contains(st["seen"], t["md5"]))
-        pick = F.when(x["pick"].isNull(), none).when(~known, x["pick"]).otherwise(F.get(options, F.lit(0)))
-        row = F.struct(x["mood"].alias("mood"), x["cands"].alias("cands"), pick.alias("pick"))
+        slot, pick = x["slot"], at(x["slot"], x["rank"])
+        known = F.coalesce(F.array_contains(st["seen"], pick["md5"]), F.lit(False))
+        others = F.filter(F.slice(free(slot["cands"], st["used"]), 1, tries), lambda t: ~F.coalesce(F.array_contains(st["seen"], t["md5"]), F.lit(False)))
+        rank = F.when(x["rank"].isNull(), none).when(known, F.get(others, F.lit(0))["rank"]).otherwise(x["rank"])
+        new = at(slot, rank)
         return F.struct(
-            add(st["seen"], pick, F.array(pick["md5"])).alias("seen"), add(st["used"], pick, pick["names"]).alias("used"),
-            F.concat(st["rows"], F.array(row)).alias("rows"))
-
-    empty = F.array().cast(f"array<{slot}>")
-    rows = rows.withColumn("__first", F.aggregate("__moods", F.struct(names.alias("used"), empty.alias("rows")), choose))
-    start = F.struct(names.alias("seen"), F.col("__first.used").alias("used"), empty.alias("rows"))
-    rows = rows.select(*keys, F.explode(F.aggregate("__first.rows", start, settle, lambda s: s["rows"])).alias("__row"))
-    return rows.select(*keys, "__row.mood", F.col("__row.pick.track_id").alias("track_id"))
+            more(st["seen"], F.when(new["md5"].isNotNull(), F.array(new["md5"]))).alias("seen"), more(st["used"], new["names"]).alias("used"),
+            F.concat(st["ranks"], F.array(rank)).alias("ranks"))
+
+    ranks = F.array().cast("array<int>")
+    chosen = slots.withColumn("__first", F.aggregate("__slots", F.struct(names.alias("used"), ranks.alias("ranks")), fold))
+    start = F.struct(names.alias("seen"), F.col("__first.used").alias("used"), ranks.alias("ranks"))
+    pairs = F.zip_with("__slots", "__first.ranks", lambda slot, rank: F.struct(slot.alias("slot"), rank.alias("rank")))
+    settled = chosen.withColumn("__ranks", F.aggregate(pairs, start, settle, lambda st: st["ranks"]))
+    took = F.zip_with("__slots", "__ranks", lambda slot, rank: at(slot, rank)["track_id"])
+    once = cut_lineage(settled.select("__moods", took.alias("__took")))
+    done = plans.join(once, "__moods").select(*keys, F.explode(F.arrays_zip(F.col("__moods").alias("mood"), F.col("__took").alias("track_id"))).alias("t"))
+    return done.select(*keys, "t.mood", "t.track_id")
 
 
 def attribution_list(plan: DataFrame, keys: Sequence[str]) -> DataFrame:
