@@ -10,19 +10,23 @@ from pyspark.sql import functions as F
 from seqlens.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], rows_per_task: int | None = None) -> DataFrame:
     """(keys, id, root): smallest id reachable from each node, per group.
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014): the
     number of rounds grows with the logarithm of the component size, and every
     node's neighbours are only aggregated with ``min``, never collected. It is done when
-    a round leaves the set of pairs, known by its size and hash, as it was.
+    a round leaves the set of pairs, known by its size and hash, as it was. There are never more
+    pairs than at first, so with ``rows_per_task`` the tables of a round have as many partitions as the first pairs ask for.
     """
     keys = list(keys)
     pairs = cut_lineage(
         edges.select(*keys, F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v"))
         .filter("u <> v").distinct()
     )
+    tasks = pairs.count() // rows_per_task + 1 if rows_per_task else None
+    if tasks:
+        pairs = pairs.coalesce(tasks)
     seen = None
     while True:
         both = pairs.unionByName(pairs.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,7 +35,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]
             both.filter("v > u").join(low, [*keys, "u"])
             .select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        large = cut_lineage(large.filter("u <> v").distinct())
+        large = large.filter("u <> v").distinct()
+        large = cut_lineage(large.coalesce(tasks) if tasks else large)
         low = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         hooked = large.join(low, [*keys, "u"])
         small = (
@@ -39,7 +44,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]
             .unionByName(hooked.select(*keys, F.col("v").alias("u"), F.col("m").alias("v")))
             .filter("u <> v").distinct()
         )
-        small = cut_lineage(small)
+        small = cut_lineage(small.coalesce(tasks) if tasks else small)
         pairs = small
         mark = pairs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*keys, "u", "v")).alias("x")).first()
         if mark == seen:
