@@ -249,7 +249,8 @@ def packed(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     yield close()
                     ids, rows, places, chars, seq = [], [], [], 0, seq + 1
         if ids:
-            merge(waiting)
+            if waiting:
+                merge(waiting)
             yield close()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _PACKED)

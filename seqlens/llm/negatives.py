@@ -180,7 +180,7 @@ def hard_negatives(
         dims = batch.column("dims")[r].as_py()
         ids, labels, vectors = unpacked(*(batch.column(c)[r] for c in ("ids", "labels", "vectors")), dims)
         block = batch.column("anchors")[r].values
-        mine = np.array([np.frombuffer(v.as_buffer(), np.int64) for v in block.field("vector")], np.int64).reshape(-1, dims)
+        mine = np.array([np.frombuffer(v.as_buffer(), np.int64) for v in block.field("vector")], np.int64).reshape(len(block), dims)
         return batch.column("chunk")[r].as_py(), ids, labels, vectors, block, mine
 
     def positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,6 +43,8 @@ PORTION, PARTS = 1_000_000, 64
 BLOCK = 500
 #: Documents whose sets are compared that are still broadcast by id.
 BROADCAST = 1_000_000
+#: Rows of keys that a task reads at least; smaller tables are gathered in fewer tasks.
+ROWS_PER_TASK = 50_000
 _CODE_BITS = 10
 
 
@@ -85,6 +87,12 @@ def signatures(own: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, int]
                 break
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, in as many partitions as its rows ask for."""
+    df = cut_lineage(df)
+    return df.coalesce(df.count() // ROWS_PER_TASK + 1)
+
+
 def digest_of(own: np.ndarray) -> int:
     import xxhash
 
@@ -245,22 +253,22 @@ def near_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     no shingles and link with nothing. Rows with equal ids stay separate rows; a null id never names a component
     unless nothing else is in it; other columns are ignored; an empty table gives no rows. Sets are known by a 64-bit digest.
     """
-    documents = cut_lineage(prints(docs, width))
-    shared = cut_lineage(shared_signatures(docs, width, percent))
-    lost = cut_lineage(shared.filter("common").groupBy("d", "code").agg(F.count(F.lit(1)).alias("h"), F.max("need").alias("need")))
-    pairs = cut_lineage(rare_pairs(shared, lost))
+    documents = gathered(prints(docs, width))
+    shared = gathered(shared_signatures(docs, width, percent))
+    lost = gathered(shared.filter("common").groupBy("d", "code").agg(F.count(F.lit(1)).alias("h"), F.max("need").alias("need")))
+    pairs = gathered(rare_pairs(shared, lost))
     # those with too few rare signatures to be found by them
     loose = shared.filter("common").join(lost.filter("h >= need").select("d", "code"), ["d", "code"], "left_semi").select("sig", "d")
-    loose = cut_lineage(loose)
+    loose = gathered(loose)
     star = loose.join(loose.groupBy("sig").agg(F.min("d").alias("least")), "sig").filter("d <> least")
-    groups = cut_lineage(connected_components(
-        star.select(F.col("least").alias("id_a"), F.col("d").alias("id_b")), loose.select(F.col("d").alias("id")).distinct(), []
+    groups = gathered(connected_components(
+        star.select(F.col("least").alias("id_a"), F.col("d").alias("id_b")), loose.select(F.col("d").alias("id")).distinct(), [], ROWS_PER_TASK
     ).select("root", F.col("id").alias("d")))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("d")).unionByName(groups.select("d")).distinct()
     sets = cut_lineage(sets_of(docs, documents, wanted, width))
-    edges = cut_lineage(similar(pairs, sets, percent).unionByName(near_in_blocks(groups, sets, percent)))
+    edges = gathered(similar(pairs, sets, percent).unionByName(near_in_blocks(groups, sets, percent)))
     touched = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    roots = connected_components(edges.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")), touched, [])
+    roots = connected_components(edges.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")), touched, [], ROWS_PER_TASK)
     classes = documents.filter("d IS NOT NULL").groupBy("d").agg(F.min("doc_id").alias("least")).join(
         roots.withColumnRenamed("id", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
     named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("d", "component_id")
