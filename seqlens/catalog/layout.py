@@ -137,15 +137,44 @@ def box_clusters(t: Tables):
     return G.box_clusters(cut_lineage(_part_boxes(t)), CH, 4.0, 64.0)
 
 
-@query("merge_duplicate_boxes")
+#: The serial rule, one box a step: the last of ``todo`` goes to the first of ``kept`` that it doubles.
+_MERGED_SQL = """WITH RECURSIVE r AS (
+    SELECT chapter_id, list({'id': box_id, 'x': x, 'y': y, 'w': CAST(w AS DOUBLE), 'h': CAST(h AS DOUBLE)} ORDER BY box_id) AS todo,
+           CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[]) AS kept, FALSE AS changed FROM v_part_boxes GROUP BY 1
+    UNION ALL
+    SELECT chapter_id, CASE WHEN a IS NULL THEN kept ELSE todo[1:len(todo) - 1] END,
+           CASE WHEN a IS NULL THEN [] WHEN hit > 0 THEN list_concat(list_append(kept[1:hit - 1], {'id': least(a.id, kept[hit].id), 'x': least(a.x, kept[hit].x), 'y': least(a.y, kept[hit].y),
+               'w': greatest(a.x + a.w, kept[hit].x + kept[hit].w) - least(a.x, kept[hit].x), 'h': greatest(a.y + a.h, kept[hit].y + kept[hit].h) - least(a.y, kept[hit].y)}), kept[hit + 1:])
+           ELSE list_append(kept, a) END, CASE WHEN a IS NULL THEN FALSE ELSE changed OR hit > 0 END
+    FROM (SELECT *, coalesce(list_position(list_transform(kept, lambda o: least(a.x + a.w, o.x + o.w) > greatest(a.x, o.x) AND least(a.y + a.h, o.y + o.h) > greatest(a.y, o.y)
+                 AND (least(a.x + a.w, o.x + o.w) - greatest(a.x, o.x)) * (least(a.y + a.h, o.y + o.h) - greatest(a.y, o.y)) >= CAST(0.6 AS DOUBLE) * least(a.w * a.h, o.w * o.h)), TRUE), 0) AS hit
+          FROM (SELECT *, todo[len(todo)] AS a FROM r WHERE len(todo) > 0 OR changed)))
+    SELECT chapter_id, b.id AS box_id, b.x AS x, b.y AS y, b.w AS w, b.h AS h
+    FROM (SELECT chapter_id, unnest(kept) AS b FROM r WHERE len(todo) = 0 AND NOT changed)"""
+
+
+@query("merge_duplicate_boxes", _MERGED_SQL)
 def merge_duplicate_boxes(t: Tables):
-    """Lines of a part as boxes; tested against a plain model."""
+    """Lines of a part as boxes."""
     return G.merge_duplicate_boxes(_part_boxes(t), CH, 64.0)
 
 
-@query("nms")
+_NMS_SQL = """WITH RECURSIVE r AS (
+    SELECT chapter_id, 0 AS i, list({'id': box_id, 'x': x, 'y': y, 'w': w, 'h': h} ORDER BY score DESC, box_id) AS todo,
+           CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[]) AS kept FROM v_part_boxes GROUP BY 1
+    UNION ALL
+    SELECT chapter_id, i + 1, todo, CASE WHEN len(list_filter(kept, lambda o: common(a, o) / ((a.w + 1) * (a.h + 1) + (o.w + 1) * (o.h + 1) - common(a, o)) > CAST(0.7 AS DOUBLE))) > 0
+        THEN kept ELSE list_append(kept, a) END
+    FROM (SELECT *, todo[i + 1] AS a FROM r WHERE i < len(todo)))
+    SELECT b.chapter_id, b.box_id, b.x, b.y, b.w, b.h, b.score FROM v_part_boxes b
+    JOIN (SELECT chapter_id, unnest(kept).id AS box_id FROM r WHERE i = len(todo)) k USING (chapter_id, box_id)"""
+_NMS_SQL = _NMS_SQL.replace(
+    "common(a, o)", "(greatest(least(a.x + a.w, o.x + o.w) - greatest(a.x, o.x) + 1, 0) * greatest(least(a.y + a.h, o.y + o.h) - greatest(a.y, o.y) + 1, 0))")
+
+
+@query("nms", _NMS_SQL)
 def nms(t: Tables):
-    """Lines of a part as scored boxes; tested against a plain greedy model."""
+    """Lines of a part as scored boxes."""
     return G.nms(cut_lineage(_part_boxes(t)), CH, cell=64.0)
 
 
@@ -331,9 +360,13 @@ def importance_weights(t: Tables):
     return rows.select("chapter_id", "pos", F.round("weight", 9).alias("weight"), F.round("hero", 9).alias("hero"))
 
 
-@query("reading_order")
+@query("reading_order", """WITH RECURSIVE a AS (SELECT chapter_id, min(y) AS top FROM v_part_boxes WHERE chapter_id % 2 = 0 GROUP BY 1
+        UNION ALL SELECT a.chapter_id, (SELECT min(b.y) FROM v_part_boxes b WHERE b.chapter_id = a.chapter_id AND b.y - a.top > CAST(0.08 AS DOUBLE) * 400.0) FROM a WHERE a.top IS NOT NULL),
+    b AS (SELECT b.*, a.top FROM v_part_boxes b ASOF LEFT JOIN (SELECT * FROM a WHERE top IS NOT NULL) a ON a.chapter_id = b.chapter_id AND b.y >= a.top)
+    SELECT chapter_id, box_id, row_number() OVER (PARTITION BY chapter_id ORDER BY CASE WHEN chapter_id % 2 = 0 THEN top ELSE y END,
+        CASE WHEN chapter_id % 2 = 0 THEN -x ELSE 0 END, CASE WHEN chapter_id % 2 = 0 THEN y ELSE 0 END, box_id) - 1 AS position FROM b""")
 def reading_order(t: Tables):
-    """Lines of a part as boxes on a page of 400; odd parts are strips. Tested against a plain model."""
+    """Lines of a part as boxes on a page of 400; odd parts are strips."""
     boxes = _part_boxes(t)
     pages = boxes.select("chapter_id").distinct().select(
         "chapter_id", F.when(F.col("chapter_id") % 2 == 0, "manga").otherwise("webtoon").alias("mode"), F.lit(400.0).alias("page_h"))

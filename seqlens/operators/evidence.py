@@ -40,26 +40,52 @@ def usable_reads(reads: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def longest_shared_run(pairs: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    """Longest common contiguous word run of two word arrays per pair.
+    """Longest common contiguous word run of two word arrays per pair: (keys, words, chars, start_a, start_b).
 
-    Words meet on (pair, word); runs are diagonals without gaps. Most words win,
-    then the earliest start in a, then in b. Pairs without a shared word are absent.
+    Most words win, then the earliest start in a, then in b. Pairs without a shared word are absent. ``keys`` tell pairs apart.
+
+    Inside a pair's row, hashes of all stretches of 1, 2, 4, ... words are made from those of half the length. A
+    stretch of a shared length leaves shared stretches of every smaller one, so the length is found from the highest power of two
+    down, each tried by one comparison of two sets of hashes: n log n steps for n words, however often a word repeats.
     """
-    keys = list(keys)
-    left = pairs.select(*keys, F.posexplode(a).alias("pa", "word"))
-    right = pairs.select(*keys, F.posexplode(b).alias("pb", "word"))
-    met = left.join(right, [*keys, "word"]).withColumn("diag", F.col("pa") - F.col("pb"))
-    along = Window.partitionBy(*keys, "diag").orderBy("pa")
-    runs = met.withColumn("run", F.col("pa") - F.row_number().over(along)).groupBy(*keys, "diag", "run").agg(
-        F.count(F.lit(1)).alias("words"),
-        (F.sum(F.length("word")) + F.count(F.lit(1)) - 1).alias("chars"),
-        F.min("pa").alias("start_a"), F.min("pb").alias("start_b"),
-    )
-    best = F.max_by(
-        F.struct("words", "chars", "start_a", "start_b"),
-        F.struct("words", (-F.col("start_a")).alias("na"), (-F.col("start_b")).alias("nb")),
-    )
-    return runs.groupBy(*keys).agg(best.alias("r")).select(*keys, "r.*")
+    met = pairs.filter(F.arrays_overlap(a, b)).withColumn("__run", shared_run(F.col(a), F.col(b)))
+    return met.select(*keys, "__run.*")
+
+
+def shared_run(a: Column, b: Column) -> Column:
+    """words, chars, start_a and start_b of the longest run of words that two arrays share; they must share one."""
+    longs, none = "array<bigint>", F.array().cast("array<bigint>")
+    powers = (F.floor(F.log2(F.least(F.size(a), F.size(b)).cast("double"))) + 1).cast("int")
+
+    def both(left: Column, right: Column, by: Column) -> Column:
+        """Hashes of stretches of ``left`` with what lies ``by`` words on in ``right``."""
+        n = F.size(right) - by
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.get(left, i), F.get(right, i + by)))).otherwise(none)
+
+    def doubled(words: Column) -> Column:
+        """Hashes of all stretches of 1, 2, 4, ... words."""
+        single = F.array(F.transform(words, lambda w: F.xxhash64(w))).cast(f"array<{longs}>")
+        steps = F.slice(F.sequence(F.lit(0), powers - 1), 2, powers)
+        return F.aggregate(steps, single, lambda made, p: F.concat(
+            made, F.array(both(F.get(made, p - 1), F.get(made, p - 1), F.pow(F.lit(2), p - 1).cast("int"))).cast(f"array<{longs}>")))
+
+    def longer(st: Column, p: Column) -> Column:
+        tried = [F.when(st["n"] == 0, F.get(st[f"{c}s"], p)).otherwise(both(st[c], F.get(st[f"{c}s"], p), st["n"])).alias(c) for c in "ab"]
+        keep = lambda t: F.when(F.arrays_overlap(t["a"], t["b"]), F.struct(
+            (st["n"] + F.pow(F.lit(2), p).cast("int")).alias("n"), t["a"].alias("a"), t["b"].alias("b"), st["as"].alias("as"), st["bs"].alias("bs"))).otherwise(st)
+        return F.get(F.transform(F.array(F.struct(*tried)), keep), F.lit(0))
+
+    start = F.struct(F.lit(0).alias("n"), none.alias("a"), none.alias("b"), doubled(a).alias("as"), doubled(b).alias("bs")).cast(
+        f"struct<n:int,a:{longs},b:{longs},as:array<{longs}>,bs:array<{longs}>>")
+
+    def told(st: Column) -> Column:
+        shared = F.get(F.array_intersect(st["a"], st["b"]), F.lit(0))  # in the order of a
+        at = [(F.array_position(st[c], shared) - 1).cast("int").alias(f"start_{c}") for c in "ab"]
+        chars = lambda r: F.aggregate(F.slice(a, r["start_a"] + 1, r["n"]), F.lit(0).cast("bigint"), lambda n, w: n + F.length(w)) + r["n"] - 1
+        return F.get(F.transform(F.array(F.struct(st["n"].alias("n"), *at)), lambda r: F.struct(
+            r["n"].cast("bigint").alias("words"), chars(r).alias("chars"), r["start_a"].alias("start_a"), r["start_b"].alias("start_b"))), F.lit(0))
+
+    return F.aggregate(F.reverse(F.sequence(F.lit(0), powers - 1)), start, longer, told)
 
 
 def relevance(narr_tokens: Column, narr_names: Column, unit_tokens: Column, unit_names: Column) -> Column:

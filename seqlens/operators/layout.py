@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from seqlens.operators.evidence import nearest_by_number
 from seqlens.operators.timeline import anchor_chain
 from seqlens.plans.ranges import box_pairs, interval_join
 from seqlens.plans.rounds import connected_components
-from seqlens.plans.scan import ordinal_block, ranked_positions
+from seqlens.plans.scan import ordinal_block, ranked_positions, scan
 from seqlens.session import cut_lineage
 
 # Size limits, overlap limits, weights.
@@ -94,71 +96,147 @@ def box_clusters(boxes: DataFrame, keys: Sequence[str], pad: float = CLUSTER_PAD
     return connected_components(pairs.filter(strict), nodes, keys).withColumnRenamed("root", "cluster")
 
 
-def merge_duplicate_boxes(boxes: DataFrame, keys: Sequence[str], cell: float = 128.0) -> DataFrame:
-    """J17 a: replace pairs sharing 60 % of the smaller box by their union until none is left.
+def closed_groups(boxes: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
+    """``boxes`` with ``__root``: a number of the stretch of rows that a box lies in, so that boxes of two stretches never meet, united or not.
 
-    Every round merges all pairs that are each other's first partner, so no box is
-    in two merges at once; only groups that merged take part in the next round.
+    A stretch begins at a box that no box above it reaches. The farthest end above is known per block of ``cell`` rows first and
+    then within the block, so a unit of any number of boxes is spread over tasks.
     """
     keys = list(keys)
-    cols = ["x", "y", "w", "h"]
-    live = cut_lineage(boxes.select(*keys, "box_id", *[F.col(c).cast("double").alias(c) for c in cols]))
-    settled: list[DataFrame] = []
+    rows = cut_lineage(boxes.withColumns({"__y": F.col("y").cast("double"), "__end": (F.col("y") + F.col("h")).cast("double")}).withColumn(
+        "__block", F.floor(F.col("__y") / F.lit(cell)).cast("bigint")))
+    across = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, "__block").agg(F.max("__end").alias("__far")).select(*keys, "__block", F.max("__far").over(across).alias("__above"))
+    inside = Window.partitionBy(*keys, "__block").orderBy("__y", "box_id").rowsBetween(Window.unboundedPreceding, -1)
+    known = rows.join(ends.hint("merge"), [*keys, "__block"]).withColumn("__far", F.greatest("__above", F.max("__end").over(inside)))
+    begins = F.when(F.col("__far").isNull() | (F.col("__far") <= F.col("__y")), 1).otherwise(0)
+    return scan(known.withColumn("__begin", begins), keys, ["__y", "box_id"], F.col("__block"), running={"__root": F.col("__begin")}).drop(
+        "__y", "__end", "__block", "__above", "__far", "__begin")
+
+
+def united(boxes: list[tuple[float, ...]]) -> list[list[float]]:
+    """Boxes (id, x, y, w, h) after serial merging: the last one goes to the first kept box with which it shares 60 % of the smaller, until nothing changes."""
     while True:
-        pairs = box_pairs(live, keys, "box_id", cell)
-        shared = box_intersection(F.col("box_a"), F.col("box_b"))
-        small = F.least(F.col("box_a.w") * F.col("box_a.h"), F.col("box_b.w") * F.col("box_b.h"))
-        pairs = cut_lineage(pairs.filter((shared > 0) & (shared >= SAME_BOX * small)))
-        if pairs.isEmpty():
-            for part in settled:
-                live = live.unionByName(part)
-            return live
-        ends = pairs.select(*keys, F.col("id_a").alias("id"), F.col("id_b").alias("to")).unionByName(
-            pairs.select(*keys, F.col("id_b").alias("id"), F.col("id_a").alias("to")))
-        first = ends.groupBy(*keys, "id").agg(F.min("to").alias("to"))
-        mutual = first.filter("id < to").join(first.select(*keys, F.col("id").alias("to"), F.col("to").alias("id")), [*keys, "id", "to"])
-        joined = pairs.join(mutual.select(*keys, F.col("id").alias("id_a"), F.col("to").alias("id_b")), [*keys, "id_a", "id_b"])
-        a, b = F.col("box_a"), F.col("box_b")
-        x, y = F.least(a["x"], b["x"]), F.least(a["y"], b["y"])
-        union = joined.select(
-            *keys, F.col("id_a").alias("box_id"), x.alias("x"), y.alias("y"),
-            (F.greatest(a["x"] + a["w"], b["x"] + b["w"]) - x).alias("w"), (F.greatest(a["y"] + a["h"], b["y"] + b["h"]) - y).alias("h"))
-        used = joined.select(*keys, F.explode(F.array("id_a", "id_b")).alias("box_id"))
-        after = cut_lineage(live.join(used, [*keys, "box_id"], "left_anti").unionByName(union))
-        touched = pairs.select(*keys).distinct()
-        settled.append(after.join(touched, keys, "left_anti"))
-        live = after.join(touched, keys, "left_semi")
+        kept: list[list[float]] = []
+        for name, x, y, w, h in reversed(boxes):
+            for k in kept:
+                across, down = min(x + w, k[1] + k[3]) - max(x, k[1]), min(y + h, k[2] + k[4]) - max(y, k[2])
+                if across > 0 and down > 0 and across * down >= SAME_BOX * min(w * h, k[3] * k[4]):
+                    left, top = min(x, k[1]), min(y, k[2])
+                    k[:] = min(name, k[0]), left, top, max(x + w, k[1] + k[3]) - left, max(y + h, k[2] + k[4]) - top
+                    break
+            else:
+                kept.append([name, x, y, w, h])
+        if len(kept) == len(boxes):
+            return kept
+        boxes = kept
+
+
+def merge_duplicate_boxes(boxes: DataFrame, keys: Sequence[str], cell: float = 128.0) -> DataFrame:
+    """J17 a: (keys, box_id, x, y, w, h) with duplicates united in the serial order of ``box_id``.
+
+    Boxes are taken from the last to the first; one that shares 60 % of the smaller box with a kept one is united with the first
+    such, else it is kept; this is repeated over the kept boxes until none is united. A union has the smallest id of its boxes. Stretches of
+    rows that no box leaves are folded apart, each in one row: a stretch holds what overlaps in one place of one unit.
+    """
+    keys = list(keys)
+    cols = ["box_id", "x", "y", "w", "h"]
+    rows = closed_groups(boxes.select(*keys, "box_id", *[F.col(c).cast("double").alias(c) for c in cols[1:]]), keys, cell)
+    rows = cut_lineage(rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "__root"))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            left = [united([tuple(b[c] for c in cols) for b in held]) for held in batch["__held"]]
+            out = batch.loc[batch.index.repeat([len(x) for x in left]), keys].reset_index(drop=True)
+            yield pd.concat([out, pd.DataFrame([b for x in left for b in x], columns=cols)], axis=1)
+
+    held = rows.filter("__n > 1").groupBy(*keys, "__root").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("__held"))
+    folded = held.select(*keys, "__held").mapInPandas(run, rows.select(*keys, *cols).schema)
+    return rows.filter("__n = 1").select(*keys, *cols).unionByName(folded)
+
+
+#: Boxes of a group of overlapping ones that one task settles at a time, and rounds of local winners before groups are looked for.
+SETTLE_BOXES, LOCAL_ROUNDS = 20_000, 3
 
 
 def nms(boxes: DataFrame, keys: Sequence[str], limit: float = NMS_IOU, cell: float = 128.0) -> DataFrame:
     """Greedy suppression: drop boxes overlapping a kept box of higher score.
 
-    Rounds over the overlap graph: undecided boxes with no undecided better
-    neighbour are kept and their neighbours dropped. With a strict order (score
-    descending, then id) this is exactly the greedy result.
+    The order is strict (score descending, then id), so the result is the serial one. Equal rectangles fold to their best box
+    before boxes are paired. First, boxes without an undecided better neighbour are kept and their neighbours
+    dropped, for a few rounds. What long chains leave is settled by group of boxes that hang together: the best ``SETTLE_BOXES`` boxes
+    of a group in one task, whose survivors strike their neighbours among the rest at once. So a chain of n boxes takes
+    about n / SETTLE_BOXES rounds.
     """
     keys = list(keys)
-    scored = boxes.select(*keys, F.col("box_id").alias("id"), "score")
-    pairs = box_pairs(boxes, keys, "box_id", cell, grow=1.0)
+    rect = ["x", "y", "w", "h"]
+    best = F.struct(F.col("score").alias("s"), (-F.col("box_id")).alias("i"))
+    first = boxes.groupBy(*keys, *rect).agg(F.max_by(F.struct("box_id", "score"), best).alias("b"))
+    single = first.select(*keys, *rect, "b.*")
+    scored = cut_lineage(single)
+    if limit >= 1:  # even equal boxes stay then
+        return boxes
+    pairs = box_pairs(scored, keys, "box_id", cell, grow=1.0)
     pairs = pairs.filter(iou(F.col("box_a"), F.col("box_b"), plus=1.0) > limit).select(*keys, "id_a", "id_b")
-    side = lambda tag: scored.select(*keys, F.col("id").alias(f"id_{tag}"), F.col("score").alias(f"s_{tag}"))
+    side = lambda tag: scored.select(*keys, F.col("box_id").alias(f"id_{tag}"), F.col("score").alias(f"s_{tag}"))
     edges = pairs.join(side("a"), [*keys, "id_a"]).join(side("b"), [*keys, "id_b"])
     a_wins = (F.col("s_a") > F.col("s_b")) | ((F.col("s_a") == F.col("s_b")) & (F.col("id_a") < F.col("id_b")))
     edges = cut_lineage(edges.select(
         *keys, F.when(a_wins, F.col("id_a")).otherwise(F.col("id_b")).alias("better"),
         F.when(a_wins, F.col("id_b")).otherwise(F.col("id_a")).alias("worse")))
-    dropped = None
+    dropped, rounds = [], 0
     while not edges.isEmpty():
-        beaten = edges.select(*keys, F.col("worse").alias("better")).distinct()
-        tops = edges.select(*keys, "better").distinct().join(beaten, [*keys, "better"], "left_anti")
-        out = cut_lineage(edges.join(tops, [*keys, "better"], "left_semi").select(*keys, F.col("worse").alias("id")).distinct())
-        dropped = out if dropped is None else dropped.unionByName(out)
-        gone = lambda col: out.withColumnRenamed("id", col)
-        edges = edges.join(gone("worse"), [*keys, "worse"], "left_anti").join(gone("better"), [*keys, "better"], "left_anti")
-        edges = cut_lineage(edges.join(tops, [*keys, "better"], "left_anti"))
-    if dropped is None:
-        return boxes
-    return boxes.join(dropped.withColumnRenamed("id", "box_id"), [*keys, "box_id"], "left_anti")
+        if rounds < LOCAL_ROUNDS:
+            beaten = edges.select(*keys, F.col("worse").alias("better")).distinct()
+            kept = edges.select(*keys, "better").distinct().join(beaten, [*keys, "better"], "left_anti")
+            decided = kept
+        else:
+            decided = cut_lineage(settled_heads(edges, scored, keys))
+            kept = decided.filter("keep").select(*keys, F.col("id").alias("better"))
+            decided = decided.select(*keys, F.col("id").alias("better"))
+        out = edges.join(kept, [*keys, "better"], "left_semi").select(*keys, F.col("worse").alias("id")).distinct()
+        out = cut_lineage(out)
+        dropped.append(out)
+        gone = out.select(*keys, F.col("id").alias("better")).unionByName(decided.select(*keys, "better")).distinct()
+        edges = edges.join(out.withColumnRenamed("id", "worse"), [*keys, "worse"], "left_anti").join(gone, [*keys, "better"], "left_anti")
+        edges, rounds = cut_lineage(edges), rounds + 1
+    left = scored.select(*keys, "box_id")
+    for out in dropped:
+        left = left.join(out.withColumnRenamed("id", "box_id"), [*keys, "box_id"], "left_anti")
+    return boxes.join(left, [*keys, "box_id"], "left_semi")
+
+
+def settled_heads(edges: DataFrame, scored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, id, keep) of the best ``SETTLE_BOXES`` boxes of every group of boxes that hang together by ``edges`` (better, worse).
+
+    What is not among the best is beaten by none but better boxes, so the serial rule holds within them.
+    """
+    keys = list(keys)
+    ends = edges.select(*keys, F.explode(F.array("better", "worse")).alias("id")).distinct()
+    roots = cut_lineage(connected_components(edges.select(*keys, F.col("better").alias("id_a"), F.col("worse").alias("id_b")), ends, keys))
+    ranked = roots.join(scored.select(*keys, F.col("box_id").alias("id"), "score"), [*keys, "id"])
+    order = Window.partitionBy(*keys, "root").orderBy(F.desc("score"), "id")
+    heads = cut_lineage(ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SETTLE_BOXES).select(*keys, "root", "id", "rank"))
+    inner = edges.withColumnRenamed("better", "id").join(heads.select(*keys, "root", "id", F.col("rank").alias("hi")), [*keys, "id"]).drop("id").join(
+        heads.select(*keys, F.col("id").alias("worse"), F.col("rank").alias("lo")), [*keys, "worse"]).select(*keys, "root", "hi", "lo")
+    # the boxes of a group come as edges to themselves
+    rows = inner.unionByName(heads.select(*keys, "root", F.col("rank").alias("hi"), F.col("rank").alias("lo")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, ends in zip(batch.index, batch["__ends"], strict=True):
+                hi, lo = np.array([(e["hi"], e["lo"]) for e in ends], np.int64).T
+                keep, starts = np.ones(hi.max() + 1, bool), np.searchsorted(hi, np.arange(hi.max() + 2))
+                for rank in range(1, len(keep)):
+                    if keep[rank]:
+                        struck = lo[starts[rank]:starts[rank + 1]]
+                        keep[struck[struck != rank]] = False
+                out = batch.loc[[i] * (len(keep) - 1), [*keys, "root"]].reset_index(drop=True)
+                yield out.assign(rank=np.arange(1, len(keep), dtype=np.int32), keep=keep[1:])
+
+    ends = rows.groupBy(*keys, "root").agg(F.sort_array(F.collect_list(F.struct("hi", "lo"))).alias("__ends"))
+    done = ends.mapInPandas(run, heads.select(*keys, "root", "rank").withColumn("keep", F.lit(True)).schema)
+    return heads.join(done, [*keys, "root", "rank"]).select(*keys, "id", "keep")
 
 
 def hash_groups(items: DataFrame) -> DataFrame:

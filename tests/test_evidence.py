@@ -38,6 +38,14 @@ def test_longest_run_is_difflibs(spark):
             assert k not in got
 
 
+def test_longest_run_of_thousands_of_equal_words(spark):
+    same = ["ha"] * 5000
+    rows = [(1, same, same), (2, same + ["x"], ["y"] + same[:3000]), (3, ["a", "b", "c"], ["c", "a", "b"])]
+    got = {r.k: (r.words, r.start_a, r.start_b, r.chars) for r in E.longest_shared_run(
+        spark.createDataFrame(rows, "k int, a array<string>, b array<string>"), ["k"], "a", "b").collect()}
+    assert got == {1: (5000, 0, 0, 14_999), 2: (3000, 0, 1, 8999), 3: (2, 0, 1, 3)}
+
+
 def test_text_expressions(spark):
     df = spark.createDataFrame([(1, "he says: “Don't go!” then SHOUTED 'let's run' but wrote \"nothing here\"", "The Dragon met Mira's Über friend", "10.JPG")], "i int, q string, t string, f string")
     r = df.select(
