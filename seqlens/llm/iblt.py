@@ -4,8 +4,8 @@ A sketch has three sub-tables of cells; a digest falls into one cell of each and
 its count, its xor of digests and its xor of check hashes. Subtracting the sketches of
 two versions cancels what they share. Peeling takes the cells left with one digest,
 notes it, and removes it from its other cells, sub-table after sub-table, so a digest is
-never noted twice in one step. What does not empty is tried again with four times the
-cells.
+never noted twice in one step. The printed fingerprints are subtracted first; what they
+do not settle gets a sketch of its size, and what that does not empty four times the cells.
 
 All of it is DataFrame operations. Texts are shuffled once, by document; the exploded
 cells stay in the partition of their document through every step.
@@ -25,15 +25,19 @@ LEAST_ID = -(1 << 63)
 
 @dataclass(frozen=True)
 class Sketch:
-    """base_cells: per sub-table of the printed fingerprint. cells, share: least cells per sub-table for a comparison, and
-    cells per paragraph of both versions. growth: of a retry. steps: of peeling. long, run: a longer paragraph is cut to runs of so many words."""
+    """base_cells, base_steps: per sub-table of the printed fingerprint, and steps of peeling it. cells, share: least cells per
+    sub-table of a larger sketch, and cells per paragraph of both versions (half as many for the edited text, of which two
+    thirds are shared). growth: of a retry. steps: of peeling. spread: partitions of texts against
+    those of a shuffle, as the cells of a text take several times its memory. long, run: a longer paragraph is cut to runs of so many words."""
 
     base_cells: int = 4
+    base_steps: int = 6
     cells: int = 32
     share: float = 2 / 3
     growth: int = 4
     steps: int = 15
     long: int = 200
+    spread: int = 4
     run: int = 12
 
 
@@ -55,21 +59,53 @@ def check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit("check"))
 
 
-def cell_of(digest: Column, sub: int, cells: Column) -> Column:
-    return F.pmod(F.xxhash64(digest, F.lit(sub)), cells).cast("int")
+def cell_of(digest: Column, sub: int | Column, cells: Column) -> Column:
+    return F.pmod(F.xxhash64(digest, F.lit(sub) if isinstance(sub, int) else sub), cells).cast("int")
 
 
-def printed(digests_: Column, sketch: Sketch) -> Column:
-    """The base sketch as text: for every cell its count, xor of digests and xor of checks, in hex."""
-    cells = []
-    for sub in range(3):
-        for i in range(sketch.base_cells):
-            inside = F.filter(digests_, lambda d: cell_of(d, sub, F.lit(sketch.base_cells)) == i)  # noqa: B023
-            xor = F.aggregate(inside, F.lit(0).cast("bigint"), lambda a, d: a.bitwiseXOR(d))
-            checks = F.aggregate(inside, F.lit(0).cast("bigint"), lambda a, d: a.bitwiseXOR(check(d)))
-            cells.append(F.concat(
-                F.lpad(F.hex(F.size(inside)), 8, "0"), F.lpad(F.hex(xor), 16, "0"), F.lpad(F.hex(checks), 16, "0")))
-    return F.lower(F.concat(*cells))
+def base_cells(digests_: Column, sketch: Sketch) -> Column:
+    """The base sketch: per cell, sub-table after sub-table, its count ``n``, xor of digests ``key`` and xor of checks ``chk``."""
+    zero = F.lit(0).cast("bigint")
+
+    def cell(sub: int, at: int) -> Column:
+        inside = F.filter(digests_, lambda d: cell_of(d, sub, F.lit(sketch.base_cells)) == at)
+        return F.struct(
+            F.size(inside).alias("n"), F.aggregate(inside, zero, lambda a, d: a.bitwiseXOR(d)).alias("key"),
+            F.aggregate(inside, zero, lambda a, d: a.bitwiseXOR(check(d))).alias("chk"))
+
+    return F.array(*[cell(sub, at) for sub in range(3) for at in range(sketch.base_cells)])
+
+
+def printed(cells: Column) -> Column:
+    """A base sketch as text: the cells' numbers in hex."""
+    return F.lower(F.array_join(F.transform(cells, lambda c: F.concat(
+        F.lpad(F.hex(c.n), 8, "0"), F.lpad(F.hex(c.key), 16, "0"), F.lpad(F.hex(c.chk), 16, "0"))), ""))
+
+
+def without(cell: Column, other: Column) -> Column:
+    """One cell less another."""
+    return F.struct(
+        (cell.n - other.n).alias("n"), cell.key.bitwiseXOR(other.key).alias("key"), cell.chk.bitwiseXOR(other.chk).alias("chk"))
+
+
+def settled(cells: Column, other: Column, sketch: Sketch) -> Column:
+    """Number of differing digests of two base sketches: subtracted and peeled, null if they do not empty."""
+    base = sketch.base_cells
+    sub_of = lambda i: F.floor(i / base).cast("int")
+
+    def peel(state: Column, step: Column) -> Column:
+        taken = F.filter(state.cells, lambda c, i: (
+            (sub_of(i) == step % 3) & (F.abs(c.n) == 1) & (c.chk == check(c.key))
+            & (cell_of(c.key, step % 3, F.lit(base)) == i % base)))
+        left = F.transform(state.cells, lambda c, i: F.aggregate(
+            F.filter(taken, lambda t: cell_of(t.key, sub_of(i), F.lit(base)) == i % base), c, without))
+        return F.struct(left.alias("cells"), (state.noted + F.size(taken)).alias("noted"))
+
+    start = F.struct(F.zip_with(cells, other, without).alias("cells"), F.lit(0).alias("noted"))
+    empty = lambda c: (c.n == 0) & (c.key == 0) & (c.chk == 0)
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(sketch.base_steps - 1)), start, peel,
+        lambda end: F.when(F.forall(end.cells, empty), end.noted))
 
 
 def previous_ids(ids: DataFrame) -> DataFrame:
@@ -93,13 +129,14 @@ def previous_ids(ids: DataFrame) -> DataFrame:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(k, next_k, need, next_h): the next id in descending order, after the last the first; how many of the next text's
-    code points are needed, and which of the rows of the next id stands for it."""
+    """(k, next_k, need, rows, next_h): the next id in descending order, after the last the first; how many of the next text's
+    code points are needed, how many rows the id has, and which of the rows of the next id stands for it."""
     ids = cut_lineage(docs.groupBy("k").agg(
-        F.max(F.floor(F.length("text") / 3)).cast("int").alias("need"), F.min(F.xxhash64("text")).alias("h")))
+        F.max(F.floor(F.length("text") / 3)).cast("int").alias("need"), F.min(F.xxhash64("text")).alias("h"),
+        F.count(F.lit(1)).alias("rows")))
     top = ids.agg(F.max("k")).first()[0]
     order = previous_ids(ids.select("k")).select("k", F.coalesce("before", F.lit(top)).alias("next_k"))
-    return cut_lineage(ids.join(order, "k").select("k", "need", "next_k").join(
+    return cut_lineage(ids.join(order, "k").select("k", "need", "rows", "next_k").join(
         ids.select(F.col("k").alias("next_k"), F.col("h").alias("next_h")), "next_k"))
 
 
@@ -108,9 +145,14 @@ def edited_versions(docs: DataFrame, chain: DataFrame, sketch: Sketch) -> DataFr
 
     docs: k, text. Rows of one id with the same text become one row with its number of copies.
     """
-    shaped = docs.withColumn("h", F.xxhash64("text")).repartition("k")
-    # everything is dealt by k alone from here on (hence the hints), so only the senders' short pieces are shuffled again
-    unique = shaped.groupBy("k", "h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    unique = docs.withColumn("h", F.xxhash64("text"))
+    if chain.filter("rows > 1").isEmpty():
+        # everything is dealt by k alone from here on (hence the hints), so only the senders' short pieces are shuffled again
+        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        unique = unique.repartition(partitions * sketch.spread, "k").withColumn("copies", F.lit(1).cast("bigint"))
+    else:
+        # rows of one id are dealt by their texts first; what then meets the id's one sender is a join that splits skewed ids
+        unique = unique.groupBy("k", "h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     sent = (
         unique.select("k", "h", "text", "copies")
         .join(chain.select(F.col("next_k").alias("k"), "next_h", "need", F.col("k").alias("to")).hint("merge"), "k")
@@ -130,62 +172,76 @@ def edited_versions(docs: DataFrame, chain: DataFrame, sketch: Sketch) -> DataFr
 def differences(versions: DataFrame, sketch: Sketch, times: int) -> DataFrame:
     """k, h, pair, differing (null if the sketch did not empty). pair 0: edited text, 1: next document.
 
-    versions: k, h and the digests own, changed, next, dealt by k. times: cells against the first attempt.
+    versions: k, h and the digests own, changed, next, dealt by k. The printed fingerprints
+    are subtracted first; only pairs that they do not settle get a sketch of their own size.
+    times: cells against the first attempt.
+
+    A cell is one row under its ``slot``: pair, sub-table, binary logarithm of the cells and
+    place, packed. Sub-table 3 has one cell, the number of digests noted so far.
     """
 
-    def cells(other: str) -> Column:
-        wanted = F.greatest(F.lit(float(sketch.cells)), (F.size("own") + F.size(other)) * F.lit(sketch.share))
-        return (F.pow(F.lit(2.0), F.ceil(F.log2(wanted))) * times).cast("int")
+    def power(other: str, share: float) -> Column:
+        wanted = F.greatest(F.lit(float(sketch.cells)), (F.size("own") + F.size(other)) * F.lit(share))
+        return F.ceil(F.log2(wanted * times)).cast("bigint")
+
+    def slot(pair: Column, sub: int, log2: Column, at: Column) -> Column:
+        return F.shiftleft(pair * 4 + sub, 40) + F.shiftleft(log2, 32) + at
 
+    cells = lambda log2: F.pow(F.lit(2.0), log2).cast("bigint")
+    place = lambda key, sub, log2: F.pmod(F.xxhash64(key, F.lit(sub)), cells(log2))
     entry = lambda pair, sign: lambda d: F.struct(
-        F.lit(pair).alias("pair"), F.lit(sign).alias("sign"), d.alias("key"))
-    entries = F.concat(
-        F.transform("own", entry(0, 1)), F.transform("changed", entry(0, -1)),
-        F.transform("own", entry(1, 1)), F.transform("next", entry(1, -1)))
-    # a cell -1 in every pair carries the number of digests noted so far
-    noted = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(0).alias("sign"), F.lit(None).cast("bigint").alias("key")) for p in (0, 1)])
-    rows = (
-        versions.select("k", "h", cells("changed").alias("c0"), cells("next").alias("c1"), F.explode(F.concat(entries, noted)).alias("e"))
-        .select("k", "h", "e.*", F.when(F.col("e.pair") == 0, F.col("c0")).otherwise(F.col("c1")).alias("cells"))
-    )
-    cell = lambda sub, at, n, key, chk: F.struct(
-        F.lit(sub).cast("int").alias("sub"), at.cast("int").alias("at"), n.cast("int").alias("n"), key.alias("key"), chk.alias("chk"))
-    zero = F.lit(0).cast("bigint")
-    key = F.col("key")
-    state = rows.select("k", "h", "pair", "cells", F.explode(F.when(
-        key.isNull(), F.array(cell(-1, F.lit(0), F.lit(0), zero, zero)),
+        F.lit(pair).cast("bigint").alias("pair"), F.lit(sign).alias("sign"), d.alias("key"))
+
+    def side(pair: int, other: str) -> Column:
+        base = F.col(f"base{pair}")
+        start = F.struct(F.lit(pair).cast("bigint").alias("pair"), F.coalesce(base, F.lit(0)).alias("sign"), F.lit(None).cast("bigint").alias("key"))
+        open_ = F.concat(F.transform("own", entry(pair, 1)), F.transform(other, entry(pair, -1)))
+        return F.concat(F.array(start), F.when(base.isNull(), open_).otherwise(F.slice(open_, 1, 0)))
+
+    first = [base_cells(F.col(c), sketch) for c in ("own", "changed", "next")]
+    known = versions.select("k", "h", "own", "changed", "next", F.array(*first).alias("p")).select(
+        "k", "h", "own", "changed", "next",
+        *[settled(F.col("p")[0], F.col("p")[i + 1], sketch).alias(f"base{i}") for i in (0, 1)])
+    rows = known.select(
+        "k", "h", power("changed", sketch.share / 2).alias("c0"), power("next", sketch.share).alias("c1"),
+        F.explode(F.concat(side(0, "changed"), side(1, "next"))).alias("e"),
+    ).select("k", "h", "e.*", F.when(F.col("e.pair") == 0, F.col("c0")).otherwise(F.col("c1")).alias("log2"))
+    cell = lambda slot_, n, key, chk: F.struct(
+        slot_.alias("slot"), n.cast("int").alias("n"), key.alias("key"), chk.alias("chk"))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1)
+    key, pair, log2 = F.col("key"), F.col("pair"), F.col("log2")
+    state = rows.select("k", "h", F.explode(F.when(
+        key.isNull(), F.array(cell(slot(pair, 3, zero, zero), F.col("sign"), zero, zero)),
     ).otherwise(F.array(*[
-        cell(s, cell_of(key, s, F.col("cells")), F.col("sign"), key, check(key)) for s in range(3)]))).alias("c")).select(
-        "k", "h", "pair", "cells", "c.*")
+        cell(slot(pair, s, log2, place(key, s, log2)), F.col("sign"), key, check(key)) for s in range(3)]))).alias("c")).select(
+        "k", "h", "c.*")
+    pair = F.shiftright("slot", 42)
+    sub = F.shiftright("slot", 40).bitwiseAND(F.lit(3).cast("bigint"))
+    log2 = F.shiftright("slot", 32).bitwiseAND(F.lit(255).cast("bigint"))
+    at = F.col("slot").bitwiseAND(F.lit((1 << 32) - 1))
 
     def folded(df: DataFrame) -> DataFrame:
         return (
-            df.groupBy("k", "h", "pair", "cells", "sub", "at")
+            df.groupBy("k", "h", "slot")
             .agg(F.sum("n").cast("int").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk"))
-            .filter((F.col("sub") == -1) | (F.col("n") != 0) | (F.col("key") != 0) | (F.col("chk") != 0))
+            .filter((sub == 3) | (F.col("n") != 0) | (key != 0) | (F.col("chk") != 0))
         )
 
     state = folded(state)
     for step in range(sketch.steps):
-        sub = step % 3
-        pure = (
-            (F.col("sub") == sub) & (F.abs("n") == 1) & (F.col("chk") == check(key))
-            & (F.col("at") == cell_of(key, sub, F.col("cells"))))
-        taken = [cell(s, cell_of(key, s, F.col("cells")), -F.col("n"), key, F.col("chk")) for s in range(3) if s != sub]
-        state = folded(state.select("k", "h", "pair", "cells", F.explode(F.when(
-            pure, F.array(cell(-1, F.lit(0), F.lit(1), zero, zero), *taken),
-        ).otherwise(F.array(cell_same()))).alias("c")).select("k", "h", "pair", "cells", "c.*"))
-    return state.groupBy("k", "h", "pair").agg(
-        F.sum(F.when(F.col("sub") == -1, F.col("n"))).alias("noted"),
-        F.count(F.when(F.col("sub") >= 0, 1)).alias("left"),
+        now = step % 3
+        pure = (sub == now) & (F.abs("n") == 1) & (F.col("chk") == check(key)) & (at == place(key, now, log2))
+        taken = [cell(slot(pair, s, log2, place(key, s, log2)), -F.col("n"), key, F.col("chk")) for s in range(3) if s != now]
+        same = F.struct("slot", "n", "key", "chk")
+        state = folded(state.select("k", "h", F.explode(F.when(
+            pure, F.array(cell(slot(pair, 3, zero, zero), one, zero, zero), *taken),
+        ).otherwise(F.array(same))).alias("c")).select("k", "h", "c.*"))
+    return state.groupBy("k", "h", pair.cast("int").alias("pair")).agg(
+        F.sum(F.when(sub == 3, F.col("n"))).alias("noted"),
+        F.count(F.when(sub < 3, 1)).alias("left"),
     ).select("k", "h", "pair", F.when(F.col("left") == 0, F.col("noted")).alias("differing"))
 
 
-def cell_same() -> Column:
-    """The row's own cell, unchanged."""
-    return F.struct("sub", "at", "n", "key", "chk")
-
-
 def likeness(own: Column, other: Column, differing: Column) -> Column:
     """Shared paragraphs against all paragraphs of both; two texts without any are alike."""
     return F.when(own + other == 0, F.lit(1.0)).otherwise((own + other - differing) / (own + other + differing).cast("double"))
@@ -213,7 +269,8 @@ def fingerprint_edits(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
             F.max(F.when(F.col("pair") == 1, F.col("differing"))).alias("d1"))
         facts = versions.select(
             "k", "h", "copies", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"),
-            F.unhex(printed(F.col("own"), sketch)).alias("print"), F.unhex(printed(F.col("changed"), sketch)).alias("print2"),
+            F.unhex(printed(base_cells(F.col("own"), sketch))).alias("print"),
+            F.unhex(printed(base_cells(F.col("changed"), sketch))).alias("print2"),
             F.size("own").alias("n_own"), F.size("changed").alias("n_changed"), F.size("next").alias("n_next"))
         got = cut_lineage(facts.join(
             by_pair, (F.col("k") == F.col("k2")) & (F.col("h").bitwiseXOR(F.col("h2")) == 0)).drop("k2", "h2"))
