@@ -179,6 +179,35 @@ def frame_hash_exempt(t: Tables):
     return R.frame_hash_exempt(f.filter("arm = 'experiment'"), marks, CH, WINDOW).select("chapter_id", "ord", "exempt")
 
 
+@query("frame_proofs", """
+    WITH e AS (SELECT *, printf('%.3f', t) AS t_key FROM v_faults WHERE arm = 'experiment'),
+    l AS (SELECT DISTINCT chapter_id FROM v_faults WHERE arm = 'baseline' AND chapter_id % 3 = 0),
+    s AS (SELECT chapter_id, t_key, bool_or(severity <> 'low') AS proof FROM e
+          WHERE chapter_id % 2 = 0 AND t IS NOT NULL GROUP BY 1, 2)
+    SELECT e.chapter_id, e.ord,
+           CASE WHEN l.chapter_id IS NOT NULL THEN 'live' WHEN s.t_key IS NOT NULL THEN 'archived' ELSE 'none' END AS origin,
+           CASE WHEN l.chapter_id IS NULL THEN coalesce(s.proof, false) ELSE EXISTS (
+               SELECT 1 FROM v_faults b WHERE b.arm = 'baseline' AND b.chapter_id = e.chapter_id AND b.frame_md5 = e.frame_md5
+               AND b.t BETWEEN greatest(0, e.t - 21600) AND e.t + 21600) END AS exempt
+    FROM e LEFT JOIN l ON l.chapter_id = e.chapter_id
+    LEFT JOIN s ON s.chapter_id = e.chapter_id AND s.t_key = e.t_key""")
+def frame_proofs(t: Tables):
+    """Every third chapter still has its frames; even ones have an archive of the same window, odd ones of another."""
+    f = t.faults()
+    cur = f.filter("arm = 'experiment'")
+    marks = f.filter("arm = 'baseline' AND chapter_id % 3 = 0").select("chapter_id", F.col("frame_md5").alias("md5"), "t")
+    exempt = F.col("severity") != "low"
+    pair = F.struct(
+        "t", exempt.alias("frame_hash_exempt"), F.when(exempt, F.struct(F.col("frame_md5"))).alias("frame_hash_proof"))
+    made = F.when(F.col("chapter_id") % 2 == 0, float(WINDOW)).otherwise(6.0)
+    report = F.to_json(F.struct(F.struct(
+        F.struct(made.alias("window_s")).alias("frame_hash"),
+        F.array(F.struct(F.array(pair).alias("pairs_added"))).alias("annotated_vetoes"),
+    ).alias("matched_vetoes")))
+    archive = R.sidecar_from_reports(cur.select("chapter_id", "ord", report.alias("report")), ["chapter_id", "ord"]).drop("ord")
+    return R.frame_proofs(cur, marks, archive, CH, WINDOW).select("chapter_id", "ord", "origin", "exempt")
+
+
 @query("default_vetoes", "SELECT * FROM v_defaults")
 def default_vetoes(t: Tables):
     return R.default_vetoes(t.faults(), CH).select(

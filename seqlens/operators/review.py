@@ -153,6 +153,32 @@ def frame_hash_exempt(
     return swept.select("__fault.*", hit.alias("exempt")).unionByName(rest.withColumn("exempt", F.lit(False)))
 
 
+def frame_proofs(
+    faults: DataFrame, frames: DataFrame, sidecar: DataFrame, keys: Sequence[str], window: float
+) -> DataFrame:
+    """J10 with archived proofs: ``exempt`` and its ``origin`` per fault.
+
+    A group with live baseline ``frames`` is decided by them alone (origin ``live``), so a
+    stale archive never hides a change. Elsewhere the archived ``sidecar`` of S10 or S14
+    (t_key, md5, window_md5s, window_s) answers for the times it holds (``archived``), if it was
+    made with the same window; what it does not hold is not exempt (``none``), nor is a
+    fault without a time. Of several archived rows for one time any proof counts.
+    """
+    keys = list(keys)
+    groups = frames.select(*keys).distinct().withColumn("__live", F.lit(True))
+    tagged = faults.join(groups, keys, "left")
+    live = frame_hash_exempt(tagged.filter("__live").drop("__live"), frames, keys, window).withColumn("origin", F.lit("live"))
+    usable = sidecar.filter(F.abs(F.col("window_s") - F.lit(float(window))) <= 1e-9)
+    proof = F.coalesce(F.array_contains("window_md5s", F.col("md5")), F.lit(False))
+    known = usable.groupBy(*keys, F.col("t_key").alias("__t_key")).agg(F.max(proof).alias("__proof"))
+    rest = tagged.filter("__live is null").drop("__live").withColumn("__t_key", F.when(F.col("t").isNotNull(), time_key("t")))
+    archived = rest.join(known, [*keys, "__t_key"], "left").withColumns({
+        "exempt": F.coalesce("__proof", F.lit(False)),
+        "origin": F.when(F.col("__proof").isNotNull(), "archived").otherwise("none"),
+    }).drop("__t_key", "__proof")
+    return live.unionByName(archived)
+
+
 def default_vetoes(faults: DataFrame, keys: Sequence[str], arm: str = "arm") -> DataFrame:
     """A5: new and worsened fault types per group, sorted; U2 is its ``new_types``."""
     both = faults.groupBy(*keys, "type").agg(
@@ -258,29 +284,31 @@ def hash_window_sidecar(
     near = interval_join(spans, marks, keys, ("t0", "t1"), ("b0", "b1"), max(window * 2, 1.0))
     sets = near.groupBy(*keys, "t_key").agg(F.array_sort(F.collect_set("base_md5")).alias("window_md5s"))
     own = frames.select(*keys, F.col("t_key"), "md5").groupBy(*keys, "t_key").agg(F.min("md5").alias("md5"))
-    return times.join(own, [*keys, "t_key"], "left").join(sets, [*keys, "t_key"], "left").withColumn(
-        "window_md5s", F.coalesce("window_md5s", F.array().cast("array<string>"))
-    )
+    return times.join(own, [*keys, "t_key"], "left").join(sets, [*keys, "t_key"], "left").withColumns({
+        "window_md5s": F.coalesce("window_md5s", F.array().cast("array<string>")), "window_s": F.lit(float(window)),
+    })
 
 
 def sidecar_from_reports(reports: DataFrame, keys: Sequence[str], column: str = "report") -> DataFrame:
     """Rebuild the hash sidecar from archived reports.
 
     Only exempt pairs with a proof carry an md5; every other time keeps an empty window.
+    ``window_s`` is the window the report was made with.
     """
     schema = (
         "struct<matched_vetoes:struct<frame_hash:struct<window_s:double>,annotated_vetoes:array<struct<"
         "pairs_added:array<struct<t:double,frame_hash_exempt:boolean,frame_hash_proof:struct<frame_md5:string>>>>>>>"
     )
     parsed = reports.select(*keys, F.from_json(column, schema)["matched_vetoes"].alias("m"))
-    rows = parsed.select(*keys, F.posexplode("m.annotated_vetoes").alias("i", "v")).select(
-        *keys, "i", F.posexplode("v.pairs_added").alias("j", "p")
+    rows = parsed.select(*keys, F.col("m.frame_hash.window_s").alias("w"), F.posexplode("m.annotated_vetoes").alias("i", "v")).select(
+        *keys, "w", "i", F.posexplode("v.pairs_added").alias("j", "p")
     ).filter(F.col("p.t").isNotNull())
     proof = F.when(F.col("p.frame_hash_exempt"), F.col("p.frame_hash_proof.frame_md5"))
-    rows = rows.select(*keys, time_key("p.t").alias("t_key"), proof.alias("md5"), F.struct("i", "j").alias("at"))
+    rows = rows.select(*keys, "w", time_key("p.t").alias("t_key"), proof.alias("md5"), F.struct("i", "j").alias("at"))
     return rows.groupBy(*keys, "t_key").agg(
         F.max_by("md5", F.when(F.col("md5").isNotNull(), F.col("at"))).alias("md5"),
         F.array_sort(F.collect_set("md5")).alias("window_md5s"),
+        F.max("w").alias("window_s"),
     )
 
 

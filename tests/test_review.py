@@ -135,3 +135,24 @@ def test_query_equals_sql(spark, name):
     df = QUERIES[name](spark, folder)
     assert sorted(df.columns) == sorted(cols)
     assert sorted(map(repr, (tuple(r) for r in df.select(*cols).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_archived_proofs_stand_in_for_missing_frames(spark):
+    faults = spark.createDataFrame(
+        [("a", 1.0, "x"), ("a", 9.0, "y"), ("b", 1.0, "x"), ("b", 2.0, "y"), ("b", 3.0, None), ("b", None, "x"), ("c", 1.0, "x"), ("d", 1.0, "x")],
+        "ch string, t double, frame_md5 string")
+    frames = spark.createDataFrame([("a", 1.5, "x")], "ch string, t double, md5 string")
+    rows = [("a", "9.000", "y", ["y"], 2.0), ("b", "1.000", "x", ["w", "x"], 2.0), ("b", "1.000", None, [], 2.0),
+            ("b", "2.000", "z", ["y"], 2.0), ("c", "1.000", "x", ["x"], 2.5)]
+    sidecar = spark.createDataFrame(rows, "ch string, t_key string, md5 string, window_md5s array<string>, window_s double")
+    got = R.frame_proofs(faults, frames, sidecar, ["ch"], 2.0)
+    assert got.columns == ["ch", "t", "frame_md5", "exempt", "origin"]
+    assert {tuple(r) for r in got.collect()} == {
+        ("a", 1.0, "x", True, "live"), ("a", 9.0, "y", False, "live"), ("b", 1.0, "x", True, "archived"), ("b", 2.0, "y", False, "archived"),
+        ("b", 3.0, None, False, "none"), ("b", None, "x", False, "none"), ("c", 1.0, "x", False, "none"), ("d", 1.0, "x", False, "none")}
+    again = R.hash_window_sidecar(
+        faults.filter("ch = 'b'").withColumn("ord", F.monotonically_increasing_id()),
+        spark.createDataFrame([("b", "1.000", "x")], "ch string, t_key string, md5 string"),
+        spark.createDataFrame([("b", 2.5, "x")], "ch string, t double, md5 string"), ["ch"], 2.0)
+    kept = R.frame_proofs(faults, frames, again, ["ch"], 2.0).filter("exempt").select("ch", "t", "origin").collect()
+    assert {tuple(r) for r in kept} == {("a", 1.0, "live"), ("b", 1.0, "archived")}
