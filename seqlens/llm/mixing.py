@@ -2,10 +2,11 @@
 
 Sizes and hashes are narrow columns, cut once. The water level is found by rounds
 of one fixed-size aggregate over the table of sources. A source's fractional
-repetition goes to the documents that come first by a seeded hash: sums over the
-hash's leading digits find the boundary bucket, and only that bucket is ordered.
+repetition goes to the documents that come first by a seeded hash of id and text: sums
+over the hash's leading digits find the boundary bucket, and only that bucket is ordered.
 The decision for a document is then a comparison with its source's row, so the
-texts are never shuffled.
+texts are not shuffled, but for the one text of each source on which the boundary
+falls: its copies fold to one row, and as many of them as fit are taken.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ class Mix:
     digits: int = 3
 
 
-def order_key(mix: Mix, doc_id: str = "doc_id") -> Column:
-    """32 hex digits; equal ids share a key and are taken together."""
-    return F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(str(mix.seed))))
+def order_key(mix: Mix) -> Column:
+    """32 hex digits; rows with equal ids and texts share a key."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text_of()), F.lit(str(mix.seed))))
 
 
 def water_fill(sources: DataFrame, mix: Mix) -> DataFrame:
@@ -66,7 +67,7 @@ def plan_mix(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame, i
 
     documents: doc_id, size, key and the null-safe source columns, cut. sources: per
     source ``source_size``, ``target``, ``whole`` repetitions and ``edge``: documents
-    whose key is at most ``edge`` get one repetition more.
+    whose key is below ``edge``, and ``extra`` of those whose key equals it, get one repetition more.
     """
     sized = cut_lineage(docs.select(
         "doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_name"),
@@ -98,54 +99,71 @@ def plan_mix(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame, i
     taken = (
         sized.withColumn("bucket", F.substring("key", 1, mix.digits))
         .join(small(open_bucket, n, MOST_BROADCAST), [*by, "bucket"])
-        .groupBy(*by, "bucket", "start", "rest", "key").agg(F.sum("size").alias("words"))
+        .groupBy(*by, "start", "rest", "key").agg(F.sum("size").alias("words"), F.max("size").alias("one"))
         .withColumn("from", F.col("start") + F.coalesce(F.sum("words").over(inside), F.lit(0)))
-        .groupBy(*by).agg(
-            F.max(F.when(2 * F.col("from") + F.col("words") <= 2 * F.col("rest"), F.col("key"))).alias("last"),
-            F.first("bucket").alias("first"))
-        .select(*by, F.coalesce("last", "first").alias("edge"))
+        .filter(F.col("from") + F.col("words") > F.col("rest"))
+        .groupBy(*by).agg(F.min_by(F.struct("key", "from", "rest", "one"), "key").alias("e"))
+        .select(*by, F.col("e.key").alias("edge"),
+                F.floor((F.col("e.rest") - F.col("e.from")) / F.col("e.one") + 0.5).cast("bigint").alias("extra"))
     )
     edges = F.when(F.col("rest") > 0, F.coalesce("edge", F.lit("g"))).otherwise("")
-    return sized, filled.join(taken, by, "left").withColumn("edge", edges), n
-
-
-def repetitions() -> Column:
-    return F.col("whole") + (F.col("key") <= F.col("edge")).cast("bigint")
+    return sized, filled.join(taken, by, "left").withColumns(
+        {"edge": edges, "extra": F.coalesce("extra", F.lit(0).cast("bigint"))}), n
 
 
 def mix_counts(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """doc_id, size, source_size, target, taken: words the mix takes of each document, repeats counted.
 
-    Null texts have size 0; null sources form the last source; rows with equal ids are
-    taken alike; an empty table gives no rows. Other columns are ignored. A document
-    takes 0 to ``epochs`` repetitions, and a source's sum is within half a document of its target.
+    Null texts have size 0; null sources form the last source; null ids are ids like any
+    other; rows with equal ids, texts and sources differ by one repetition at most; an empty
+    table gives no rows. Other columns are ignored. A document takes 0 to ``epochs``
+    repetitions, and a source's sum is within half a document of its target.
     """
     sized, sources, n = plan_mix(docs, mix)
-    return sized.join(small(sources, n, MOST_BROADCAST), ["no_source", "source_name"]).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * repetitions()).alias("taken"))
+    joined = sized.join(small(sources, n, MOST_BROADCAST), ["no_source", "source_name"])
+    kept = ["doc_id", "size", "source_size", "target"]
+    apart = joined.filter("key != edge").select(
+        *kept, (F.col("size") * (F.col("whole") + (F.col("key") < F.col("edge")).cast("bigint"))).alias("taken"))
+    ties = joined.filter("key = edge").groupBy("no_source", "source_name", *kept, "whole", "extra").agg(F.count(F.lit(1)).alias("copies"))
+    return apart.unionByName(
+        ties.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+        .select(*kept, (F.col("size") * (F.col("whole") + (F.col("copy") <= F.col("extra")).cast("bigint"))).alias("taken")))
 
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The documents of the mix with their own columns, each as often as it is repeated."""
+    """The documents of the mix with their own columns, each as often as it is repeated.
+
+    Nulls, equal rows and empty tables as in :func:`mix_counts`; of rows that agree in id,
+    text and source but not elsewhere, those that get one repetition more are told by a
+    hash of all columns. Columns of any name go through.
+    """
     _, sources, n = plan_mix(docs, mix)
     plan = small(cut_lineage(sources.select(
-        F.col("no_source").alias("__no"), F.col("source_name").alias("__name"), "whole", "edge")), n, MOST_BROADCAST)
-    plan = plan.select("__no", "__name", F.struct("whole", "edge").alias("__plan"))
-    times = F.col("__plan.whole") + (order_key(mix) <= F.col("__plan.edge")).cast("bigint")
+        F.col("no_source").alias("__no"), F.col("source_name").alias("__name"), "whole", "edge", "extra")), n, MOST_BROADCAST)
+    plan = plan.select("__no", "__name", F.struct("whole", "edge", "extra").alias("__plan"))
     joined = docs.join(
         plan, (F.col("source").isNull() == F.col("__no")) & (F.coalesce("source", F.lit("")) == F.col("__name")))
-    return (
-        joined.withColumn("__times", times).filter("__times > 0")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
-        .select(*docs.columns)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = joined.withColumn("__key", order_key(mix))
+    whole, edge = F.col("__plan.whole"), F.col("__plan.edge")
+    apart = keyed.filter(F.col("__key") != edge).withColumn("__times", whole + (F.col("__key") < edge).cast("bigint"))
+    before = Window.partitionBy("__no", "__name").orderBy("__hash").rowsBetween(Window.unboundedPreceding, -1)
+    ties = (
+        keyed.filter(F.col("__key") == edge).groupBy(*own, "__no", "__name", "__plan").agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__hash", F.xxhash64(*own))
+        .withColumn("__left", F.col("__plan.extra") - F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        .withColumn("__times", whole * F.col("__n") + F.greatest(F.lit(0), F.least("__n", "__left")))
     )
+    repeat = lambda df: df.filter("__times > 0").withColumn(
+        "__copy", F.explode(F.expr("sequence(1L, __times)"))).select(*own)
+    return repeat(apart).unionByName(repeat(ties))
 
 
 #: DuckDB SQL for the repetitions of each document of table {docs}; {columns} go through.
 PLAN_SQL = r"""
     m_sized AS (
         SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-               md5(coalesce(doc_id::VARCHAR, '') || ':42') AS key FROM {docs}),
+               md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':42') AS key FROM {docs}),
     m_sources AS (
         SELECT source, sum(size)::BIGINT AS source_size,
                (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM m_sized GROUP BY source),
@@ -163,17 +181,19 @@ PLAN_SQL = r"""
         FROM m_sources, m_level),
     m_whole AS (
         SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM m_filled),
-    m_keys AS (SELECT source, key, sum(size) AS words FROM m_sized GROUP BY ALL),
+    m_keys AS (SELECT source, key, sum(size) AS words, max(size) AS one, count(*) AS copies FROM m_sized GROUP BY ALL),
     m_from AS (
         SELECT k.*, whole, target - whole * source_size AS rest,
                coalesce(sum(words) OVER (PARTITION BY k.source ORDER BY key
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
         FROM m_keys k JOIN m_whole s ON k.source IS NOT DISTINCT FROM s.source),
     m_times AS (
-        SELECT source, key, whole + (rest > 0 AND 2 * start + words <= 2 * rest)::BIGINT AS times FROM m_from)
+        SELECT source, key, whole, CASE WHEN rest <= 0 OR start >= rest THEN 0 WHEN start + words <= rest THEN copies
+                                        ELSE floor((rest - start) / one + 0.5)::BIGINT END AS extra FROM m_from),
+    m_rows AS (SELECT *, row_number() OVER (PARTITION BY source, key) AS copy FROM m_sized)
 """
 
 MIX_SQL = "WITH" + PLAN_SQL.replace("{docs}", "documents") + """
-SELECT doc_id, size, source_size, target, (size * times)::BIGINT AS taken
-FROM m_sized d JOIN m_whole s ON d.source IS NOT DISTINCT FROM s.source
+SELECT doc_id, size, source_size, target, (size * (t.whole + (copy <= extra)::BIGINT))::BIGINT AS taken
+FROM m_rows d JOIN m_whole s ON d.source IS NOT DISTINCT FROM s.source
 JOIN m_times t ON d.source IS NOT DISTINCT FROM t.source AND d.key = t.key"""

@@ -50,6 +50,29 @@ def test_mix_of_odd_rows(frame, odd, odd_rows):
     assert mixing.mix_counts(frame([])).count() == 0 and mixing.mix_documents(frame([])).count() == 0
 
 
+def test_mix_with_null_and_repeated_ids(frame, odd):
+    rng = np.random.default_rng(22)
+    text = lambda: " ".join(f"w{rng.integers(0, 999)}" for _ in range(int(rng.integers(1, 20))))
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, text(), "en", "abc"[i % 7 % 3]) for i in range(900)]
+    rows += [(5, "one two three four", "en", "a")] * 400
+    words = lambda t: len(t.split())
+    sizes = [sum(words(r[1]) for r in rows if r[3] == n) for n in "abc"]
+    want = dict(zip(sizes, plain_targets(sizes, [1, 2, 3]), strict=True))
+    got = mixing.mix_counts(odd(frame(rows))).collect()
+    assert len(got) == len(rows) and len(want) == 3
+    for size, target in want.items():
+        assert abs(sum(g.taken for g in got if g.source_size == size) - target) <= 20
+    mixed = mixing.mix_documents(odd(frame(rows))).collect()
+    assert sum(words(r.text) for r in mixed) == sum(g.taken for g in got)
+    for n, size in zip("abc", sizes, strict=True):
+        assert sum(words(r.text) for r in mixed if r.source == n) == sum(g.taken for g in got if g.source_size == size)
+    # copies of one text, and nothing else, around the edge
+    same = frame([(1, "a b", "en", "x")] * 50 + [(2, "c", "en", "y")] * 200)
+    taken = mixing.mix_counts(same).collect()
+    for n, target in zip((100, 200), plain_targets([100, 200], [1, 2]), strict=True):
+        assert abs(sum(g.taken for g in taken if g.source_size == n) - target) <= 2
+
+
 def test_archive_round_trip(spark, odd):
     big, odd_text = "x" * 1200, "é\r\n\r\n" * 300
     rows = [(1, "u1", big), (5, "u5", big), (3, None, big), (2, "u\r\n2", "small"), (4, "u4", "small"), (6, "u6", None), (7, "u7", ""),
