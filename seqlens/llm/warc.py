@@ -7,6 +7,8 @@ gives the original records. All of it is Spark tables in the shared folder.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from seqlens.llm.common import cut_lineage, text_of
 LEAST_REVISIT = 1000
 #: Copies of a payload that one task puts together; more are dealt over more copies of the stored payload.
 COPIES_PER_SALT = 500
+#: Fixed value of the format: a revisit whose payload has the digest of the record it refers to.
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -24,34 +28,45 @@ def page_records(pages: DataFrame) -> DataFrame:
         F.col("page_id").alias("record_key"), F.col("url").alias("uri"), F.encode(text_of("html"), "UTF-8").alias("payload"))
 
 
-def header_block(record_type: Column, refers_to: Column) -> Column:
+def record_id(key: Column) -> Column:
+    """``<urn:page:key>`` with the key URL-encoded, ``<urn:none>`` for a null key."""
+    return F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(key.cast("string")), F.lit(">")), F.lit("<urn:none>"))
+
+
+def header_block(record_type: Column, refers_to: Column, date: str) -> Column:
     """The bytes before a record's payload: WARC fields, then an HTTP status block for the page."""
     crlf = "\r\n"
-    key = F.coalesce(F.col("record_key").cast("string"), F.lit("none"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html; charset=utf-8{crlf}Content-Length: "),
                     F.col("payload_bytes").cast("string"), F.lit(crlf + crlf))
     block = F.octet_length(http) + F.when(record_type == "revisit", 0).otherwise(F.col("payload_bytes"))
     return F.encode(F.concat(
         F.lit(f"WARC/1.1{crlf}WARC-Type: "), record_type,
-        F.lit(f"{crlf}WARC-Record-ID: <urn:page:"), key,
-        F.lit(f">{crlf}WARC-Target-URI: "), F.regexp_replace(F.coalesce("uri", F.lit("")), r"[\r\n]+", " "),
+        F.lit(f"{crlf}WARC-Record-ID: "), record_id(F.col("record_key")),
+        F.lit(f"{crlf}WARC-Date: {date}{crlf}WARC-Target-URI: "), F.regexp_replace(F.coalesce("uri", F.lit("")), r"[\r\n]+", " "),
         F.lit(f"{crlf}WARC-Payload-Digest: sha1:"), F.col("sha1"),
         F.when(record_type == "revisit", F.concat(
-            F.lit(f"{crlf}WARC-Refers-To: <urn:page:"), F.coalesce(refers_to.cast("string"), F.lit("none")), F.lit(">"),
+            F.lit(f"{crlf}WARC-Profile: {SAME_PAYLOAD}{crlf}WARC-Refers-To: "), record_id(refers_to),
         )).otherwise(""),
         F.lit(f"{crlf}Content-Type: application/http; msgtype=response{crlf}Content-Length: "), block.cast("string"),
         F.lit(crlf + crlf), http,
     ), "UTF-8")
 
 
-def write_archive(records: DataFrame, folder: str) -> None:
-    """Write ``headers`` and ``payloads`` under ``folder``.
+def field(name: str, pattern: str) -> Column:
+    """What ``pattern``'s group finds in the header field ``name``; null if the field is missing or other."""
+    found = F.regexp_extract_all(F.decode("header", "UTF-8"), F.lit(rf"\r\n{name}: {pattern}\r\n"), F.lit(1))
+    return F.get(found, F.lit(0))
+
+
+def write_archive(records: DataFrame, folder: str, date: str | None = None) -> None:
+    """Write ``headers`` and ``payloads`` under ``folder``. date: WARC-Date of the records, the time of the call if not given.
 
     records: record_key, uri, payload (bytes). Of equal payloads of LEAST_REVISIT bytes or
     more the record with the largest key is the response and the others are revisits
     that refer to it. A null payload counts as empty; a null key sorts first; records with
     equal keys and payloads are all responses if their key is the largest.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     stored = records.withColumn("payload", F.coalesce("payload", F.lit(b""))).withColumn("digest", F.sha2("payload", 256))
     # fixed-width sums only: hot payloads combine before the shuffle, and no payload is shuffled
     facts = stored.groupBy("digest").agg(
@@ -64,8 +79,7 @@ def write_archive(records: DataFrame, folder: str) -> None:
     refers = F.when(revisit, F.col("first_key"))
     (
         described.join(facts, "digest").select(
-            "record_key", "digest", kind.alias("record_type"), refers.alias("refers_to"), "copies",
-            header_block(kind, refers).alias("header"))
+            "record_key", "digest", "copies", header_block(kind, refers, date).alias("header"))
         .write.mode("overwrite").parquet(f"{folder}/headers")
     )
     # one record per digest brings its bytes: the one with the largest key; equal keys fold by digest
@@ -83,20 +97,33 @@ def write_archive(records: DataFrame, folder: str) -> None:
 
 
 def read_archive(spark, folder: str) -> DataFrame:
-    """record_key, record_type, refers_to, header, payload of every record, payloads verified against their digest.
+    """record_key, record_type, refers_to, sha1, header, payload of every record.
 
-    A payload with more than COPIES_PER_SALT records is dealt out in as many copies as
-    its records need, so a payload shared by a third of all records is put together by many tasks.
-    A stored payload that does not match its digest stops the read.
+    All but the payload is parsed from the header's bytes. A payload is checked against the
+    strong digest it is stored under and against the digest and the length in the record's header; what
+    does not match stops the read. A payload with more than COPIES_PER_SALT records is dealt
+    out in as many copies as its records need, so a payload shared by a third of all records is put
+    together by many tasks.
     """
     headers, payloads = spark.read.parquet(f"{folder}/headers"), spark.read.parquet(f"{folder}/payloads")
+    key_type = headers.schema["record_key"].dataType
     salts = F.ceil(F.col("copies") / COPIES_PER_SALT).cast("bigint")
-    checked = payloads.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(
-        F.raise_error(F.lit("a stored payload does not match its digest")).cast("binary")))
+    key = lambda name: F.url_decode(field(name, "<urn:page:([^>]*)>")).cast(key_type)
+    parsed = headers.select(
+        "digest", "header", F.pmod(F.xxhash64("header"), salts).alias("salt"),
+        key("WARC-Record-ID").alias("record_key"), key("WARC-Refers-To").alias("refers_to"),
+        F.regexp_extract(F.decode("header", "UTF-8"), r"^WARC/1\.1\r\nWARC-Type: (\w+)\r\n", 1).alias("record_type"),
+        field("WARC-Payload-Digest", "sha1:([0-9a-f]{40})").alias("sha1"),
+        F.regexp_extract(F.decode("header", "UTF-8"), r"\r\nContent-Length: (\d+)\r\n\r\n$", 1).cast("bigint").alias("length"))
+    stop = lambda text: F.raise_error(F.lit(text)).cast("binary")
+    checked = payloads.withColumn("payload", F.when(
+        F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(stop("a stored payload does not match its digest")))
     dealt = checked.select(
         "digest", "payload", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"))
-    salted = headers.withColumn("salt", F.pmod(F.xxhash64("record_key"), salts))
-    return salted.join(dealt, ["digest", "salt"]).select("record_key", "record_type", "refers_to", "header", "payload")
+    agrees = (F.sha1("payload") == F.col("sha1")) & (F.octet_length("payload") == F.col("length"))
+    return parsed.join(dealt, ["digest", "salt"]).select(
+        "record_key", "record_type", "refers_to", "sha1", "header",
+        F.when(agrees, F.col("payload")).otherwise(stop("a payload does not match its record's header")).alias("payload"))
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
