@@ -36,11 +36,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded text; one row per repetition."""
+    """doc_id, n_tokens, the digests of the ids and of the decoded text, and the ids themselves; one row per repetition."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.encode_decode(docs, path, public_tokenizers.PATTERN, with_ids=False).drop("ids_le")
+    return bpe.digests(bpe.encode_decode(docs, path, public_tokenizers.PATTERN))
 
 
 STAGES = [

@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from seqlens.llm import pieces
 
@@ -124,8 +125,13 @@ def replay(words: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int]) -
     return counts, ids[kept].astype(np.uint32)
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, and its ids as ``ids_le`` (little-endian unsigned 32-bit).
+def digests(encoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids_le: the ids' digest is taken of the ids as they come out."""
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), "decoded_sha256", "ids_le")
+
+
+def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_le (little-endian unsigned 32-bit) of every text, and decoded_sha256 of what they decode to.
 
     Null texts count as empty (no ids). Rows with equal or null ids stay separate rows;
     other columns are ignored; an empty table gives no rows. No special tokens. The
@@ -152,7 +158,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = Tru
             lengths, answers = pieces.answers_of(row, replies)
             starts = np.cumsum(lengths) - lengths
             numbers = pieces.unsqueezed(row["numbers"], np.uint32).astype(np.int64)
-            at, tokens, ids_sha, decoded_sha, ids_le = 0, [], [], [], []
+            at, tokens, decoded_sha, ids_le = 0, [], [], []
             for n in row["counts"]:
                 part = numbers[at:at + n]
                 at += n
@@ -165,18 +171,17 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = Tru
                 ids[of] = answers[pieces.gather(starts[part[new] - 65536], took[new])]
                 coded = ids.astype("<u4").tobytes()
                 tokens.append(len(ids))
-                ids_le.append(coded if with_ids else None)
-                ids_sha.append(hashlib.sha256(coded).hexdigest())
+                ids_le.append(coded)
                 decoded_sha.append(hashlib.sha256(decode_ids(coded, start_of, length_of, all_bytes)).hexdigest())
             out.append(pa.table({
                 "doc_id": pa.array(row["ids"], pa.int64()), "n_tokens": pa.array(tokens, pa.int64()),
-                "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string()),
+                "decoded_sha256": pa.array(decoded_sha, pa.string()),
                 "ids_le": pa.array(ids_le, pa.binary())}))
         return pa.concat_tables(out)
 
     packer = pieces.pack(lambda: _known(path), split, pieces.bucket_count(docs), tally=False)
     return pieces.exchanged(
-        docs, packer, work, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids_le binary")
+        docs, packer, work, finish, "doc_id long, n_tokens long, decoded_sha256 string, ids_le binary")
 
 
 def decode_ids(coded: bytes, start_of: np.ndarray, length_of: np.ndarray, all_bytes: np.ndarray) -> bytes:

@@ -54,9 +54,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.encode_decode(
-        table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False,
-    ).drop("ids_le")
+    return bpe.digests(bpe.encode_decode(
+        table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 @llm_query("op5_warc", warc.PAGES_SQL)
@@ -65,7 +64,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archive(warc.page_records(table(spark, sf_dir, "pages")), folder)
     return warc.read_archive(spark, folder).select(
         F.col("record_key").alias("page_id"), F.octet_length("payload").cast("bigint").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
+        F.col("sha1").alias("payload_digest"), "record_type", "refers_to")
 
 
 @llm_query("op6_quality_rules")
