@@ -362,6 +362,38 @@ def mood_vote(t: Tables):
     return E.mood_vote(t.documents, ["source", "lang"], "text", _MOOD_CUES)
 
 
+def _mood_sql() -> str:
+    """Counts of every mood's cues in a text whose words stand between marks."""
+    mark = "\x01"
+    counts = [
+        f"sum(len(regexp_extract_all(b, '{mark}{cue[2:-2].replace(' ', f'{mark} {mark}').replace('(', '(?:')}{mark}'))) AS n{i}"
+        for i, cue in enumerate(E.MOOD_CUES.values())]
+    votes = ", ".join(f"{{'m': '{m}', 'p': {E.MOODS.index(m)}, 'n': n{i}}}" for i, m in enumerate(E.MOOD_CUES))
+    return f"""
+    WITH x AS (SELECT chapter_id, lower(narration) AS b FROM v_script
+               UNION ALL SELECT DISTINCT chapter_id, ['never give up', 'a secret promise', 'Fast!', 'of'][chapter_id % 4 + 1] FROM v_script),
+    m AS (SELECT chapter_id, regexp_replace(lower(b), '([\\p{{L}}\\p{{N}}_]+)', '{mark}\\1{mark}', 'g') AS b FROM x),
+    c AS (SELECT chapter_id, {", ".join(counts)} FROM m GROUP BY 1),
+    v AS (SELECT chapter_id, unnest([{votes}]) AS s FROM c),
+    t AS (SELECT chapter_id, max(s.n) AS n, arg_max(s.m, s.n * 100 - s.p) AS mood FROM v GROUP BY 1)
+    SELECT chapter_id, CASE WHEN chapter_id % 5 = 0 THEN 'Calm' WHEN n > 0 THEN mood ELSE 'Cinematic' END AS mood,
+           CASE WHEN chapter_id % 5 = 0 THEN 'script' WHEN n > 0 THEN 'vote' ELSE 'default' END AS why
+    FROM t"""
+
+
+@query("derive_mood", _mood_sql())
+def derive_mood(t: Tables):
+    """The whole table of cues over narrations and titles; every fifth script names its mood."""
+    s = t.script()
+    none = F.lit(None).cast("string")
+    scenes = s.select("chapter_id", "narration", none.alias("caption"), F.array(none).alias("keywords"))
+    titles = F.array(*[F.lit(x) for x in ("never give up", "a secret promise", "Fast!", "of")])
+    scripts = s.select("chapter_id").distinct().select(
+        "chapter_id", F.get(titles, (F.col("chapter_id") % 4).cast("int")).alias("title"),
+        F.when(F.col("chapter_id") % 5 == 0, "Calm").alias("music_mood"))
+    return E.derive_mood(scenes, scripts, CH)
+
+
 @query("recurring_names", """
     WITH w AS (SELECT source, doc_id, unnest(l) AS name, unnest(range(0, len(l))) AS pos FROM (
                    SELECT source, doc_id, list_filter(string_split(regexp_replace(text, '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' '),
@@ -449,6 +481,46 @@ def load_script(t: Tables):
     return parts["scene_panels"].select("chapter_id", F.col("at").alias("scene"), "ord", "panel")
 
 
+def _script_parts(t: Tables):
+    """One document per scene with its narration, a sound on its first word and, on every third, a music section."""
+    at = F.col("scene")
+    first = F.get(F.filter(F.split("narration", r"\s+"), lambda w: w != ""), F.lit(0))
+    scene = F.struct(
+        "narration", F.when(at % 2 == 0, "fast").alias("pace"), (at % 5 == 0).alias("cta"),
+        F.array(F.struct(F.lit("thud").alias("cue"), first.alias("word"), (at % 4 / 4).alias("gain"))).alias("sfx_events"))
+    section = F.struct(F.lit("Epic").alias("mood"), at.cast("int").alias("from_scene"), F.concat(F.lit("t"), at.cast("string")).alias("track"))
+    doc = F.struct(F.when(at % 3 == 0, F.array(section)).alias("music_plan"), F.array(scene).alias("scenes"))
+    docs = t.script().select("chapter_id", F.col("scene").alias("at"), F.to_json(doc).alias("value"))
+    return readers.parse_script(docs, ["chapter_id", "at"])
+
+
+@query("script_scenes", """
+    SELECT chapter_id, scene, narration, CASE WHEN scene % 2 = 0 THEN 'fast' END AS pace, scene % 5 = 0 AS cta FROM v_script""")
+def script_scenes(t: Tables):
+    return _script_parts(t)["scenes"].select("chapter_id", F.col("at").alias("scene"), "narration", "pace", "cta")
+
+
+@query("script_words", """
+    SELECT chapter_id, scene, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM (
+        SELECT chapter_id, scene, list_filter(string_split_regex(narration, '\\s+'), lambda x: x <> '') AS w FROM v_script)""")
+def script_words(t: Tables):
+    return _script_parts(t)["words"].select("chapter_id", F.col("at").alias("scene"), F.col("pos").cast("bigint").alias("pos"), "word")
+
+
+@query("script_sfx_events", """
+    SELECT chapter_id, scene, 'thud' AS cue, list_filter(string_split_regex(narration, '\\s+'), lambda x: x <> '')[1] AS word,
+           CAST(scene % 4 AS DOUBLE) / 4 AS gain FROM v_script""")
+def script_sfx_events(t: Tables):
+    return _script_parts(t)["sfx_events"].select("chapter_id", F.col("at").alias("scene"), "cue", "word", "gain")
+
+
+@query("script_music_plan", """
+    SELECT chapter_id, CAST(scene AS INTEGER) AS from_scene, 'Epic' AS mood, 't' || CAST(scene AS VARCHAR) AS track
+    FROM v_script WHERE scene % 3 = 0""")
+def script_music_plan(t: Tables):
+    return _script_parts(t)["music_plan"].select("chapter_id", "from_scene", "mood", "track")
+
+
 @query("caption_events", """
     SELECT chapter_id, scene, pos, printf('%d:%02d:%02d.%02d', cs // 360000, cs // 6000 % 60, cs // 100 % 60, cs % 100) AS stamp
     FROM (SELECT *, CAST(round_even(w_start * 100, 0) AS BIGINT) AS cs FROM v_words)""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seqlens.catalog.base import TABLES_SQL, Tables, query
 from seqlens.functions import text as X
+from seqlens.functions.values import format_label
 from seqlens.operators import ranking as K
 from seqlens.session import cut_lineage
 from seqlens.sources import readers
@@ -393,3 +394,13 @@ def incremental_refresh_cache(t: Tables):
 def slugs(t: Tables):
     """X2 over whole texts."""
     return t.documents.select("doc_id", X.slugify(F.concat("source", F.lit("  "), F.col("lang"), F.lit("!"), F.col("text"))).alias("slug"))
+
+
+@query("format_labels", """
+    SELECT p_partkey AS source_id, CASE p_partkey % 5 WHEN 0 THEN 'manga' WHEN 1 THEN 'manhwa' WHEN 2 THEN 'manhua' WHEN 3 THEN 'FR' END AS label
+    FROM part""")
+def format_labels(t: Tables):
+    """Origins of titles, some without a usual word, some unknown."""
+    origins = F.array(*[F.lit(x) for x in ("JP", "KR", "CN", "FR", None)])
+    origin = F.get(origins, (F.col("p_partkey") % 5).cast("int"))
+    return t.part.select(F.col("p_partkey").alias("source_id"), format_label(origin).alias("label"))

@@ -106,7 +106,19 @@ def changed_scenes_by_version(t: Tables):
     return changed_scenes(old, new, CH)
 
 
+@query("scene_scores", """
+    SELECT chapter_id, scene, CAST(40 + CASE scene % 3 WHEN 0 THEN 30 WHEN 1 THEN -4 ELSE 0 END + CASE WHEN scene % 5 = 0 THEN 20 ELSE 0 END
+           + least(30, scene % 4 * 10) + least(20, 3 * len(regexp_extract_all(narration, '[!?]'))) AS BIGINT) AS units FROM v_script""")
+def scene_scores(t: Tables):
+    """Scores in twentieths, with the exclamation and question marks of the narration."""
+    at = F.col("scene")
+    pace = F.when(at % 3 == 0, "hype").when(at % 3 == 1, "quiet").otherwise("normal")
+    marks = F.regexp_count("narration", F.lit("[!?]"))
+    return t.script().select("chapter_id", "scene", L.scene_score_units(pace, at % 5 == 0, at % 4, marks).alias("units"))
+
+
 def _scored(t: Tables):
+    """Scenes of orders have no narration, so no marks; scene_scores counts those of narrated scenes."""
     s = t.scenes()
     units = L.scene_score_units(F.col("pace"), F.col("emphasis"), F.col("n_keywords"), F.lit(0))
     return s.withColumns({"units": units, "usable": ~((F.col("scene") == 0) | F.col("meta"))})

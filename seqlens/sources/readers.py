@@ -71,7 +71,10 @@ def parse_reads(batches: DataFrame, units: DataFrame, keys: Sequence[str]) -> Da
 
 
 def parse_script(files: DataFrame, keys: Sequence[str], column: str = "value") -> dict[str, DataFrame]:
-    """Script documents to scenes, scene_panels, sfx_events and music_plan."""
+    """Script documents to scenes, scene_panels, words, sfx_events and music_plan.
+
+    words are the narration's words in order; their times come with the spoken audio.
+    """
     keys = list(keys)
     doc = files.select(*keys, F.from_json(column, schemas.SCRIPT).alias("d"))
     scenes = doc.select(*keys, F.posexplode("d.scenes").alias("scene", "s"))
@@ -81,6 +84,8 @@ def parse_script(files: DataFrame, keys: Sequence[str], column: str = "value") -
     fields = ["narration", "caption", "pace", "motion", "ambience", "emphasis", "cta", "keywords"]
     return {
         "scenes": scenes.select(*keys, "scene", *[F.col(f"s.{f}").alias(f) for f in fields]),
+        "words": scenes.select(*keys, "scene", F.posexplode(
+            F.filter(F.split(F.coalesce("s.narration", F.lit("")), r"\s+"), lambda w: w != "")).alias("pos", "word")),
         "scene_panels": panels.withColumn("panel", F.element_at(F.split("ref", "/"), -1)),
         "sfx_events": scenes.select(*keys, "scene", F.posexplode("s.sfx_events").alias("ord", "e")).select(
             *keys, "scene", "ord", "e.*"
