@@ -431,26 +431,33 @@ def _segments(t: Tables, rows):
 
 @query("gutter_segments")
 def gutter_segments(t: Tables):
-    """Slices of at least 70 rows; tested against a plain model."""
+    """Slices of at least 70 rows; tested by properties of its result."""
     return _segments(t, cut_lineage(_rows(t)))
 
 
-def _text_rows(t: Tables):
-    return t.supplier.select(
-        F.col("s_suppkey").alias("chapter_id"), F.explode(F.sequence(F.lit(20), F.lit(520), F.lit(100))).alias("box_y0")
-    ).withColumn("box_y1", F.col("box_y0") + 30)
+TABLES_SQL["v_text_boxes"] = "SELECT chapter_id, unnest(range(20, max(y) + 1, 100)) AS b FROM v_rows GROUP BY chapter_id"
+TABLES_SQL["v_strip_units"] = """
+    SELECT *, median(h) OVER (PARTITION BY chapter_id) AS med FROM (
+        SELECT chapter_id, unit, unit * 13 AS y, CASE WHEN unit % 5 = 0 THEN 30 ELSE 13 END AS h
+        FROM (SELECT chapter_id, unnest(range(0, max(y) // 13 + 1)) AS unit FROM v_rows GROUP BY chapter_id))"""
+
+
+def _text_rows(rows):
+    """Text boxes of thirty rows, one every hundred rows down to the end of each strip."""
+    ends = rows.groupBy("chapter_id").agg(F.max("y").cast("bigint").alias("end")).filter("end >= 20")
+    return ends.select("chapter_id", F.explode(F.expr("sequence(20L, end, 100L)")).alias("box_y0")).withColumn("box_y1", F.col("box_y0") + 30)
 
 
 @query("forced_cuts")
 def forced_cuts(t: Tables):
-    """Slices above 90 rows cut at flat rows; tested against a plain model."""
+    """Slices above 90 rows cut at flat rows; tested by properties of its result."""
     rows = cut_lineage(_rows(t))
-    return S.forced_cuts(_segments(t, rows), S.row_energy(rows, CH, _text_rows(t)), CH, max_slice=90)
+    return S.forced_cuts(_segments(t, rows), S.row_energy(rows, CH, _text_rows(rows)), CH, max_slice=90)
 
 
 @query("snap_edges")
 def snap_edges(t: Tables):
-    """Tall slices grown over marks in the gutter; tested against a plain model."""
+    """Tall slices grown over marks in the gutter; tested by properties of its result."""
     rows = cut_lineage(_rows(t))
     return S.snap_edges(_segments(t, rows), rows, CH)
 
@@ -458,27 +465,28 @@ def snap_edges(t: Tables):
 @query("row_energy", """
     SELECT chapter_id, y, CAST(round(avg(rmax - rmin) OVER w, 6) AS DOUBLE) AS mean9,
            CAST(round(coalesce(2 * rmean - lag(rmean) OVER o - lead(rmean) OVER o, 0), 6) AS DOUBLE) AS lap,
-           EXISTS (SELECT 1 FROM (SELECT unnest([20, 120, 220, 320, 420, 520]) AS b) WHERE y >= b - 16 AND y < b + 30 + 16) AS forbidden
+           EXISTS (SELECT 1 FROM v_text_boxes x WHERE x.chapter_id = v_rows.chapter_id AND y >= b - 16 AND y < b + 30 + 16) AS forbidden
     FROM v_rows WINDOW o AS (PARTITION BY chapter_id ORDER BY y), w AS (PARTITION BY chapter_id ORDER BY y ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)""")
 def row_energy(t: Tables):
-    rows = S.row_energy(_rows(t), CH, _text_rows(t), block=128)
+    strips = _rows(t)
+    rows = S.row_energy(strips, CH, _text_rows(strips), block=128)
     return rows.select("chapter_id", "y", F.round("mean9", 6).alias("mean9"), F.round("lap", 6).alias("lap"), "forbidden")
 
 
 @query("cut_box_audit", """
-    WITH u AS (SELECT chapter_id, unnest(range(0, 40)) AS unit FROM (SELECT DISTINCT chapter_id FROM v_rows)),
-    v AS (SELECT chapter_id, unit, unit * 13 AS y, CASE WHEN unit % 5 = 0 THEN 30 ELSE 13 END AS h FROM u),
+    WITH v AS (SELECT * FROM v_strip_units),
     f AS (SELECT * FROM v WHERE unit > 0 AND NOT EXISTS (SELECT 1 FROM v_gutter g WHERE g.chapter_id = v.chapter_id AND g.gutter AND g.y BETWEEN v.y - 2 AND v.y + 2)),
-    e AS (SELECT chapter_id, unit, y, h, unnest(range(1, 12)) AS k FROM v WHERE h > 13 * 1.5),
+    e AS (SELECT chapter_id, unit, y, h, unnest(range(1, 12)) AS k FROM v WHERE h > med * 1.5),
     g AS (SELECT chapter_id, unit, CASE WHEN k <= 5 THEN 'top' ELSE 'bottom' END AS fault, CASE WHEN k <= 5 THEN y - k ELSE y + h + k - 6 END AS r FROM e),
     i AS (SELECT g.chapter_id, g.unit, g.fault, CASE WHEN g.fault = 'top' THEN max(r) ELSE min(r) END AS y
           FROM g JOIN v_gutter w ON w.chapter_id = g.chapter_id AND w.y = r AND w.gutter AND w.rmax - w.rmin > 40 WHERE r > 0 OR g.fault = 'bottom' GROUP BY 1, 2, 3)
-    SELECT chapter_id, unit, y, 'text' AS fault FROM f WHERE EXISTS (SELECT 1 FROM (SELECT unnest([20, 120, 220, 320, 420, 520]) AS b) WHERE y > b AND y < b + 30)
+    SELECT chapter_id, unit, y, 'text' AS fault FROM f WHERE EXISTS (SELECT 1 FROM v_text_boxes x WHERE x.chapter_id = f.chapter_id AND y > b AND y < b + 30)
     UNION ALL SELECT f.chapter_id, unit, f.y, 'art' FROM f JOIN v_rows w ON w.chapter_id = f.chapter_id AND w.y = f.y WHERE ink > 0.55
     UNION ALL SELECT chapter_id, unit, y, fault FROM i""")
 def cut_box_audit(t: Tables):
-    """Forty units of thirteen rows per strip, every fifth over-tall."""
+    """Units of thirteen rows down to the end of each strip, every fifth over-tall."""
     rows = cut_lineage(_rows(t))
-    units = rows.select("chapter_id").distinct().select("chapter_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(39).cast("bigint"))).alias("unit")).select(
+    ends = rows.groupBy("chapter_id").agg(F.max("y").cast("bigint").alias("end"))
+    units = ends.select("chapter_id", F.explode(F.expr("sequence(0L, end div 13)")).alias("unit")).select(
         "chapter_id", "unit", (F.col("unit") * 13).alias("y"), F.when(F.col("unit") % 5 == 0, 30).otherwise(13).alias("h"))
-    return S.cut_box_audit(units, rows, _text_rows(t), CH)
+    return S.cut_box_audit(units, rows, _text_rows(rows), CH)
