@@ -319,14 +319,20 @@ def popup_time(t: Tables):
 
 
 @query("checkpoint_times", """
-    SELECT chapter_id, 'hook' AS "check", max(t1) AS t, CAST(NULL AS VARCHAR) AS from_mood, CAST(NULL AS VARCHAR) AS to_mood
+    SELECT chapter_id, 'hook' AS "check", max(t1) AS t, CAST(NULL AS VARCHAR) AS from_mood, CAST(NULL AS VARCHAR) AS to_mood,
+           CAST(NULL AS VARCHAR) AS from_track, CAST(NULL AS VARCHAR) AS to_track
     FROM v_spans WHERE scene < 1 GROUP BY 1
-    UNION ALL SELECT m.chapter_id, 'music seam', t0, pm, mood
-    FROM (SELECT *, lag(mood) OVER (PARTITION BY chapter_id ORDER BY ord) AS pm FROM v_music) m
+    UNION ALL SELECT m.chapter_id, 'music seam', t0, pm, mood, lag_track, track
+    FROM (SELECT *, lag(mood) OVER w AS pm, lag(track) OVER w AS lag_track FROM (
+              SELECT m.*, CASE WHEN p.panel % 5 > 0 THEN 't' || CAST(p.panel AS VARCHAR) END AS track
+              FROM v_music m JOIN v_scenes p ON p.chapter_id = m.chapter_id AND p.scene = m.ord)
+          WINDOW w AS (PARTITION BY chapter_id ORDER BY ord)) m
     JOIN v_spans s ON s.chapter_id = m.chapter_id AND s.scene = m.from_scene WHERE pm IS NOT NULL""")
 def checkpoint_times(t: Tables):
     s = cut_lineage(_spans(t))
-    plan = s.filter("emphasis").select("chapter_id", F.col("scene").alias("ord"), F.col("pace").alias("mood"), F.col("scene").alias("from_scene"))
+    track = F.when(F.col("panel") % 5 > 0, F.concat(F.lit("t"), F.col("panel").cast("string")))
+    plan = s.filter("emphasis").select(
+        "chapter_id", F.col("scene").alias("ord"), F.col("pace").alias("mood"), F.col("scene").alias("from_scene"), track.alias("track"))
     return L.checkpoint_times(s, plan, CH)
 
 

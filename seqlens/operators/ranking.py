@@ -50,6 +50,7 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
         .when(c("fetchable"), -0.15).otherwise(-0.30)
     )
     num = lambda x: x.cast("string")
+    # The wording of reasons.
     reasons = F.array_compact(F.array(
         F.when(trend > 0.6, "surging in current trends"),
         F.when(pop > 0.6, "very large existing audience"),

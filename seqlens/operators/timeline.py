@@ -510,15 +510,17 @@ def popup_time(asks: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataF
 def checkpoint_times(spans: DataFrame, sections: DataFrame, keys: Sequence[str], hook: int = 1) -> DataFrame:
     """Spot-check rows: end of the hook, and every change of music.
 
-    sections: music plan rows (keys, ord, mood, from_scene).
+    sections: music plan rows (keys, ord, mood, from_scene, track). A change names the
+    moods and the tracks on both sides; either may be null.
     """
     keys = list(keys)
+    none = F.lit(None).cast("string")
     ends = spans.filter(F.col("scene") < hook).groupBy(*keys).agg(F.max("t1").alias("t")).select(
-        *keys, F.lit("hook").alias("check"), "t", F.lit(None).cast("string").alias("from_mood"), F.lit(None).cast("string").alias("to_mood")
-    )
-    steps = scan(sections, keys, ["ord"], ordinal_block("ord"), prev={"from_mood": F.col("mood"), "__had": F.lit(1)}).filter("__had = 1")
+        *keys, F.lit("hook").alias("check"), "t", *[none.alias(c) for c in ("from_mood", "to_mood", "from_track", "to_track")])
+    steps = scan(sections, keys, ["ord"], ordinal_block("ord"), prev={
+        "from_mood": F.col("mood"), "from_track": F.col("track"), "__had": F.lit(1)}).filter("__had = 1")
     seams = steps.join(spans.select(*keys, F.col("scene").alias("from_scene"), F.col("t0").alias("t")), [*keys, "from_scene"]).select(
-        *keys, F.lit("music seam").alias("check"), "t", "from_mood", F.col("mood").alias("to_mood")
+        *keys, F.lit("music seam").alias("check"), "t", "from_mood", F.col("mood").alias("to_mood"), "from_track", F.col("track").alias("to_track")
     )
     return ends.unionByName(seams)
 
