@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from seqlens.functions import text as X
 from seqlens.functions.similarity import ordered_share
 from seqlens.operators import evidence as E
+from seqlens.sources import readers
 
 WORDS = "the dragon king falls into fire and rises again with Mira while snow covers every tower".split()
 
@@ -196,3 +197,16 @@ def test_file_names_with_long_numbers_sort_by_value(spark):
     names = ["p9" + "0" * 24, "p1" + "0" * 25, "p002", "p10", "p9" + "0" * 23 + "1"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
     assert [r.name for r in df.orderBy(X.natural_key("name")).collect()] == ["p002", "p10", names[0], names[4], names[1]]
+
+
+def test_script_documents_without_parts(spark):
+    docs = spark.createDataFrame([
+        (1, '{"scenes": [{"narration": " Two  words ", "panel": "a/b.png"}, {"narration": null, "panels": []}, {}]}'),
+        (2, '{"scenes": [], "music_plan": [{"mood": "Epic", "from_scene": 3}]}'), (3, "no json"), (4, None)], "id int, value string")
+    parts = readers.parse_script(docs, ["id"])
+    rows = lambda name, *cols: {tuple(r) for r in parts[name].select("id", *cols).collect()}
+    assert rows("words", "scene", "pos", "word") == {(1, 0, 0, "Two"), (1, 0, 1, "words")}
+    assert rows("scene_panels", "scene", "ord", "panel") == {(1, 0, 0, "b.png")}
+    assert rows("scenes", "scene") == {(1, 0), (1, 1), (1, 2)}
+    assert rows("music_plan", "mood", "from_scene", "track") == {(2, "Epic", 3, None)}
+    assert rows("sfx_events") == set()
