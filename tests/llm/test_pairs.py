@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from seqlens.llm import iblt, simhash, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -226,6 +228,31 @@ def test_sketches_that_are_too_small_are_tried_larger(frame):
     assert sorted(edits_of(iblt.fingerprint_edits(frame(rows), small))) == sorted(plain_edits(rows))
 
 
+def test_printed_fingerprints_are_subtracted_first(spark):
+    rng = np.random.default_rng(8)
+    sets = []
+    for i in range(40):
+        own = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 12)]
+        sets.append((i, own, own[i % 7:] + [int(x) for x in rng.integers(-(1 << 62), 1 << 62, i % 5)], len(range(i % 7)) + i % 5))
+    df = spark.createDataFrame(sets, "i int, own array<long>, other array<long>, want int")
+    cells = lambda c: iblt.base_cells(F.col(c), iblt.Sketch())
+    got = df.select("want", iblt.settled(cells("own"), cells("other"), iblt.Sketch()).alias("got")).collect()
+    assert all(r.got in (None, r.want) for r in got)
+    assert all(r.got == r.want for r in got if r.want <= 2) and sum(r.got is not None for r in got) >= 30
+
+
+def test_sketches_of_repeated_ids(frame, odd):
+    rng = np.random.default_rng(9)
+    text = lambda: ". ".join(f"w{rng.integers(0, 40)} w{rng.integers(0, 40)}" for _ in range(int(rng.integers(1, 30))))
+    rows = [(7 if i % 2 else None if i % 5 == 0 else i, text()) for i in range(60)]
+    rows += rows[:9]
+    docs = frame(rows)
+    least = {r.doc_id: r.t for r in docs.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("t")).collect()}
+    # the last row of an id stands for it in the plain model
+    want = plain_edits(rows + list(least.items()))[:len(rows)]
+    assert sorted(map(str, edits_of(iblt.fingerprint_edits(odd(docs))))) == sorted(map(str, want))
+
+
 def test_previous_ids_over_blocks(spark, monkeypatch):
     rng = np.random.default_rng(6)
     ids = sorted({int(x) for x in rng.integers(-(1 << 62), 1 << 62, 300)} | set(range(40_000, 70_000)))
