@@ -558,12 +558,12 @@ def fault_runs(t: Tables):
     """Events as frame samples about ten hours apart."""
     kind = F.col("event_type")
     samples = t.events.select(
-        F.col("user_id").alias("chapter_id"),
+        F.col("user_id").alias("chapter_id"), "event_id",
         (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000) - 1704067200).cast("double").alias("t"),
         F.when(kind == "error", 4.0).when(kind == "view", 250.0).otherwise(100.0).alias("luma"),
         F.when(kind == "click", 0.01).otherwise(0.5).alias("frac"),
     )
-    return R.fault_runs(samples, CH, 36000.0).select("chapter_id", "type", "t", "t_end", "severity")
+    return R.fault_runs(samples, CH, 36000.0, ["event_id"]).select("chapter_id", "type", "t", "t_end", "severity")
 
 
 @query("upsert_evidence", """

@@ -156,3 +156,23 @@ def test_archived_proofs_stand_in_for_missing_frames(spark):
         spark.createDataFrame([("b", 2.5, "x")], "ch string, t double, md5 string"), ["ch"], 2.0)
     kept = R.frame_proofs(faults, frames, again, ["ch"], 2.0).filter("exempt").select("ch", "t", "origin").collect()
     assert {tuple(r) for r in kept} == {("a", 1.0, "live"), ("b", 1.0, "archived")}
+
+
+def test_hits_of_one_time_open_a_stretch_together(spark):
+    # (chapter, t, luma, event_id): blank is 250; the rest is empty. At 20 both types meet, in either order
+    rows = [(1, 0.0, 250.0, 0), (1, 20.0, 250.0, 1), (1, 20.0, 100.0, 2), (1, 40.0, 100.0, 3), (1, 60.0, 250.0, 4),
+            (2, 0.0, 250.0, 5), (2, 20.0, 100.0, 6), (2, 20.0, 250.0, 7), (2, 40.0, 250.0, 8),
+            (3, 0.0, 250.0, 9), (3, 0.0, 250.0, 10), (3, 20.0, 250.0, 11)]
+    samples = spark.createDataFrame([(g, t, luma, 0.01, n) for g, t, luma, n in rows], "g int, t double, luma double, frac double, event_id int")
+    got = sorted((r.g, r.type[0], r.t, r.t_end) for r in R.fault_runs(samples, ["g"], 30.0, ["event_id"]).collect())
+    assert got == [(1, "b", 0.0, 0.0), (1, "b", 20.0, 20.0), (1, "b", 60.0, 60.0), (1, "e", 20.0, 40.0),
+                   (2, "b", 0.0, 0.0), (2, "b", 20.0, 40.0), (2, "e", 20.0, 20.0), (3, "b", 0.0, 20.0)]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE s (g INT, t DOUBLE, luma DOUBLE, event_id INT)")
+    con.executemany("INSERT INTO s VALUES (?, ?, ?, ?)", rows)
+    con.sql("CREATE VIEW events AS SELECT g AS user_id, TIMESTAMP '2024-01-01' + to_seconds(CAST(t * 1200 AS BIGINT)) AS ts, event_id, "
+            "CASE WHEN luma > 200 THEN 'view' ELSE 'click' END AS event_type FROM s")
+    # the SQL with its ties settled by event_id
+    sql = oracles()["fault_runs"].replace("WINDOW w AS (PARTITION BY chapter_id ORDER BY t)", "WINDOW w AS (PARTITION BY chapter_id ORDER BY t, event_id)")
+    assert sql != oracles()["fault_runs"]
+    assert sorted((g, kind[0], t / 1200, end / 1200) for g, kind, t, end, _ in con.sql(sql).fetchall()) == got
