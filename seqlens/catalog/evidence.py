@@ -8,7 +8,7 @@ from seqlens.catalog.base import TABLES_SQL, Tables, query
 from seqlens.functions import text as X
 from seqlens.operators import evidence as E
 from seqlens.plans.scan import ordinal_block, scan
-from seqlens.session import cut_lineage
+from seqlens.session import cut_lineage, spread
 from seqlens.sources import readers, writers
 
 CH = ["chapter_id"]
@@ -108,7 +108,7 @@ def ambiguous_scenes(t: Tables):
 @query("verbatim_run_join", "SELECT chapter_id, scene, ord, words, chars, start_a, start_b FROM v_longest")
 def verbatim_run_join(t: Tables):
     pairs = t.scene_panels().join(t.script(), ["chapter_id", "scene"]).join(t.reads().select("chapter_id", "panel", "text"), ["chapter_id", "panel"])
-    pairs = pairs.select("chapter_id", "scene", "ord", X.plain_words("narration").alias("a"), X.plain_words("text").alias("b"))
+    pairs = spread(pairs, "chapter_id", "scene", "ord").select("chapter_id", "scene", "ord", X.plain_words("narration").alias("a"), X.plain_words("text").alias("b"))
     return E.longest_shared_run(pairs, ["chapter_id", "scene", "ord"], "a", "b").select(
         "chapter_id", "scene", "ord", "words", "chars", F.col("start_a").cast("bigint").alias("start_a"),
         F.col("start_b").cast("bigint").alias("start_b"),

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqlens.functions import text as X
-from seqlens.functions.similarity import QUOTE_FOUND, QUOTE_MAYBE, quote_score
+from seqlens.functions.similarity import QUOTE_FOUND, QUOTE_MAYBE, covered, quote_score
 from seqlens.plans.scan import asof, ordinal_block, scan
-from seqlens.session import cut_lineage
+from seqlens.session import cut_lineage, spread
 
 # Unit kinds that never go on screen, and text limits.
 HARD_KINDS = ("cover", "credits", "endmatter")
@@ -44,48 +47,51 @@ def longest_shared_run(pairs: DataFrame, keys: Sequence[str], a: str, b: str) ->
 
     Most words win, then the earliest start in a, then in b. Pairs without a shared word are absent. ``keys`` tell pairs apart.
 
-    Inside a pair's row, hashes of all stretches of 1, 2, 4, ... words are made from those of half the length. A
-    stretch of a shared length leaves shared stretches of every smaller one, so the length is found from the highest power of two
-    down, each tried by one comparison of two sets of hashes: n log n steps for n words, however often a word repeats.
+    Inside a pair's row, stretches of 1, 2, 4, ... words are numbered by the numbers of their halves, up to the first length of which
+    none is shared; the length is then found from the highest power of two down: n log n steps for n words, however often a word repeats.
     """
-    met = pairs.filter(F.arrays_overlap(a, b)).withColumn("__run", shared_run(F.col(a), F.col(b)))
-    return met.select(*keys, "__run.*")
-
-
-def shared_run(a: Column, b: Column) -> Column:
-    """words, chars, start_a and start_b of the longest run of words that two arrays share; they must share one."""
-    longs, none = "array<bigint>", F.array().cast("array<bigint>")
-    powers = (F.floor(F.log2(F.least(F.size(a), F.size(b)).cast("double"))) + 1).cast("int")
-
-    def both(left: Column, right: Column, by: Column) -> Column:
-        """Hashes of stretches of ``left`` with what lies ``by`` words on in ``right``."""
-        n = F.size(right) - by
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.get(left, i), F.get(right, i + by)))).otherwise(none)
-
-    def doubled(words: Column) -> Column:
-        """Hashes of all stretches of 1, 2, 4, ... words."""
-        single = F.array(F.transform(words, lambda w: F.xxhash64(w))).cast(f"array<{longs}>")
-        steps = F.slice(F.sequence(F.lit(0), powers - 1), 2, powers)
-        return F.aggregate(steps, single, lambda made, p: F.concat(
-            made, F.array(both(F.get(made, p - 1), F.get(made, p - 1), F.pow(F.lit(2), p - 1).cast("int"))).cast(f"array<{longs}>")))
-
-    def longer(st: Column, p: Column) -> Column:
-        tried = [F.when(st["n"] == 0, F.get(st[f"{c}s"], p)).otherwise(both(st[c], F.get(st[f"{c}s"], p), st["n"])).alias(c) for c in "ab"]
-        keep = lambda t: F.when(F.arrays_overlap(t["a"], t["b"]), F.struct(
-            (st["n"] + F.pow(F.lit(2), p).cast("int")).alias("n"), t["a"].alias("a"), t["b"].alias("b"), st["as"].alias("as"), st["bs"].alias("bs"))).otherwise(st)
-        return F.get(F.transform(F.array(F.struct(*tried)), keep), F.lit(0))
-
-    start = F.struct(F.lit(0).alias("n"), none.alias("a"), none.alias("b"), doubled(a).alias("as"), doubled(b).alias("bs")).cast(
-        f"struct<n:int,a:{longs},b:{longs},as:array<{longs}>,bs:array<{longs}>>")
-
-    def told(st: Column) -> Column:
-        shared = F.get(F.array_intersect(st["a"], st["b"]), F.lit(0))  # in the order of a
-        at = [(F.array_position(st[c], shared) - 1).cast("int").alias(f"start_{c}") for c in "ab"]
-        chars = lambda r: F.aggregate(F.slice(a, r["start_a"] + 1, r["n"]), F.lit(0).cast("bigint"), lambda n, w: n + F.length(w)) + r["n"] - 1
-        return F.get(F.transform(F.array(F.struct(st["n"].alias("n"), *at)), lambda r: F.struct(
-            r["n"].cast("bigint").alias("words"), chars(r).alias("chars"), r["start_a"].alias("start_a"), r["start_b"].alias("start_b"))), F.lit(0))
-
-    return F.aggregate(F.reverse(F.sequence(F.lit(0), powers - 1)), start, longer, told)
+    pairs = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return pairs.select(*keys, F.inline(shared_run(a, b)))
+
+
+def longest_run(a: Sequence[str], b: Sequence[str]) -> tuple[int, int, int, int] | None:
+    """words, chars, start_a and start_b of the longest run of words that two lists share; None if they share none."""
+    names: dict[str, int] = {}
+    one = [np.array([names.setdefault(w, len(names)) for w in words], np.int64) for words in (a, b)]
+
+    def joined(head: list[np.ndarray], tail: list[np.ndarray], by: int) -> list[np.ndarray] | None:
+        """Numbers of stretches of ``head`` with what lies ``by`` words on in ``tail``; None if the lists share none."""
+        if min(len(tail[0]), len(tail[1])) <= by:
+            return None
+        wide = max(int(t.max()) for t in tail) + 1
+        both = [h[:len(t) - by] * wide + t[by:] for h, t in zip(head, tail, strict=True)]
+        if not np.isin(both[0], both[1]).any():
+            return None
+        number = np.unique(np.concatenate(both), return_inverse=True)[1]
+        return [number[:len(both[0])], number[len(both[0]):]]
+
+    if not len(a) or not len(b) or not np.isin(one[0], one[1]).any():
+        return None
+    levels = [one]
+    while (twice := joined(levels[-1], levels[-1], 1 << len(levels) - 1)) is not None:
+        levels.append(twice)
+    at, n = levels[-1], 1 << len(levels) - 1
+    for power in range(len(levels) - 2, -1, -1):
+        if (longer := joined(at, levels[power], n)) is not None:
+            at, n = longer, n + (1 << power)
+    start_a = int(np.isin(at[0], at[1]).argmax())
+    start_b = int((at[1] == at[0][start_a]).argmax())
+    return n, sum(map(len, a[start_a:start_a + n])) + n - 1, start_a, start_b
+
+
+_RUN = ("words", T.LongType()), ("chars", T.LongType()), ("start_a", T.IntegerType()), ("start_b", T.IntegerType())
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(name, kind) for name, kind in _RUN])))
+def shared_run(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The run of two columns of words, or nothing: exploded, so that no filter on it has it worked out twice."""
+    runs = [longest_run(x, y) for x, y in zip(a, b, strict=True)]
+    return pd.Series([[] if r is None else [dict(zip([name for name, _ in _RUN], r, strict=True))] for r in runs], dtype=object)
 
 
 def relevance(narr_tokens: Column, narr_names: Column, unit_tokens: Column, unit_names: Column) -> Column:
@@ -142,7 +148,7 @@ def tier1_gate(
     rows = scene_panels.join(unit, [*keys, "panel"], "left").withColumns({
         "kind": F.coalesce("kind", F.lit("story")), "quality": F.coalesce("quality", F.lit("ok")),
     })
-    cards = rows.filter("kind = 'textonly'").join(script, [*keys, "scene"]).select(
+    cards = spread(rows.filter("kind = 'textonly'").join(script, [*keys, "scene"]), *on).select(
         *on, X.plain_words("narration").alias("a"), X.plain_words("__dtext").alias("b")
     )
     quoted = longest_shared_run(cards, on, "a", "b").filter(F.col("chars") >= QUOTE_CHARS).select(
@@ -219,11 +225,6 @@ def _score_words(text: Column | str) -> Column:
     return F.filter(F.split(plain, " +"), lambda w: w != "")
 
 
-def _covered(quote_words: Column, unit_words: Column) -> Column:
-    hit = F.size(F.filter(quote_words, lambda w: F.array_contains(unit_words, w)))
-    return hit / F.greatest(F.size(quote_words), F.lit(1))
-
-
 def singles_and_pairs(units: DataFrame, keys: Sequence[str], order: str, payload: Sequence[str], adjacent: bool) -> DataFrame:
     """Every unit text and every text of two neighbours.
 
@@ -255,7 +256,7 @@ def quote_match(quotes: DataFrame, kept: DataFrame, keys: Sequence[str]) -> Data
     options = singles_and_pairs(kept, [*keys, "scene"], "ord", ["panel"], adjacent=False)
     options = options.withColumn("u_words", F.array_distinct(_score_words("dtext")))
     trial = quotes.withColumn("q_words", _score_words("quote")).join(options, [*keys, "scene"])
-    trial = trial.filter(_covered(F.col("q_words"), F.col("u_words")) >= _COVER_FLOOR)
+    trial = spread(trial.filter(covered(F.col("q_words"), F.col("u_words")) >= _COVER_FLOOR), *on, "ord", "is_pair")
     scored = trial.select(*on, "ord", "is_pair", "panel", "next_panel", quote_score("quote", "dtext").alias("score"))
     best = scored.groupBy(*on).agg(F.max_by(
         F.struct("score", "is_pair", "panel", "next_panel"),
@@ -302,7 +303,7 @@ def quote_candidates(quotes: DataFrame, units: DataFrame, keys: Sequence[str]) -
     posts = units.select(*keys, "unit_id", F.explode("u_words").alias("word"))
     hits = rare.join(posts, [*keys, "word"]).select(*qid, "unit_id").distinct()
     pairs = hits.join(q.select(*qid, "quote", "q_words"), qid).join(units, [*keys, "unit_id"])
-    return pairs.filter(_covered(F.col("q_words"), F.col("u_words")) >= _COVER_FLOOR).drop("q_words", "u_words")
+    return pairs.filter(covered(F.col("q_words"), F.col("u_words")) >= _COVER_FLOOR).drop("q_words", "u_words")
 
 
 def quote_rescue(
@@ -318,7 +319,7 @@ def quote_rescue(
     able = reads.filter(~F.coalesce("kind", F.lit("story")).isin(*HARD_KINDS)).select(*keys, "read_pos", "panel", "dtext")
     options = singles_and_pairs(able, keys, "read_pos", ["panel"], adjacent=True)
     options = options.withColumn("unit_id", F.struct("read_pos", "is_pair"))
-    trial = quote_candidates(quotes, options, keys)
+    trial = spread(quote_candidates(quotes, options, keys), *on, "read_pos", "is_pair")
     scored = trial.select(
         *on, "read_pos", "is_pair", "panel", "next_panel", "next_read_pos", quote_score("quote", "dtext").alias("score")
     )
@@ -347,11 +348,12 @@ def drop_protection(
     rows = drops.join(appended.select(*on).distinct().withColumn("__app", F.lit(True)), on, "left")
     rows = rows.join(last, [*keys, "scene"], "left")
     texts = drops.select(*on).distinct().join(script, [*keys, "scene"]).join(reads.select(*keys, "panel", "dtext"), [*keys, "panel"])
+    texts = cut_lineage(spread(texts, *on))
     runs = longest_shared_run(
         texts.select(*on, X.anchor_words("narration").alias("a"), X.anchor_words("dtext").alias("b")), on, "a", "b"
     ).filter(F.col("chars") >= ANCHOR_CHARS).select(*on, F.lit(True).alias("__run"))
     said = texts.select(*on, "dtext", F.explode(X.anchored_quotes("narration")).alias("quote"))
-    said = said.filter(_covered(_score_words("quote"), F.array_distinct(_score_words("dtext"))) >= _COVER_FLOOR)
+    said = said.filter(covered(_score_words("quote"), F.array_distinct(_score_words("dtext"))) >= _COVER_FLOOR)
     said = said.filter(quote_score("quote", "dtext") >= QUOTE_FOUND).select(*on).distinct().withColumn("__said", F.lit(True))
     rows = rows.join(runs, on, "left").join(said, on, "left")
     return rows.select(*drops.columns, F.coalesce(

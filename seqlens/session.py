@@ -31,6 +31,13 @@ def local_session(cpus: int | str = "*", app: str = "seqlens", partitions: int =
     )
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` in as many tasks as the session shuffles into: for rows of few bytes that take long to work on, which AQE would gather in one task."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *columns)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` on shared storage so later steps do not recompute it.
 

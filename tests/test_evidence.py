@@ -6,9 +6,11 @@ import re
 
 from pyspark.sql import functions as F
 
+from seqlens.functions import similarity as S
 from seqlens.functions import text as X
 from seqlens.functions.similarity import ordered_share
 from seqlens.operators import evidence as E
+from seqlens.session import spread
 from seqlens.sources import readers
 
 WORDS = "the dragon king falls into fire and rises again with Mira while snow covers every tower".split()
@@ -210,3 +212,33 @@ def test_script_documents_without_parts(spark):
     assert rows("scenes", "scene") == {(1, 0), (1, 1), (1, 2)}
     assert rows("music_plan", "mood", "from_scene", "track") == {(2, "Epic", 3, None)}
     assert rows("sfx_events") == set()
+
+
+def test_longest_run_matches_brute_force():
+    def brute(a, b):
+        for n in range(min(len(a), len(b)), 0, -1):
+            for i in range(len(a) - n + 1):
+                for j in range(len(b) - n + 1):
+                    if a[i:i + n] == b[j:j + n]:
+                        return n, len(" ".join(a[i:i + n])), i, j
+
+    rng = random.Random(7)
+    for size in (1, 2, 4, 9) * 100:
+        a, b = ([rng.choice("abcdefghi"[:size]) * rng.randint(1, 2) for _ in range(rng.randint(0, 14))] for _ in "ab")
+        assert E.longest_run(a, b) == brute(a, b), (a, b)
+
+
+def test_bounded_quote_ratio_is_the_best_of_all_stretches():
+    rng, vocabulary = random.Random(3), ["the", "then", "a", "house", "horse", "hearse", "running", "runner", "sword", "word", "of", "off"]
+    for _ in range(60):
+        words, text = ([rng.choice(vocabulary) for _ in range(rng.randint(1, n))] for n in (12, 50))
+        share = sum(e - b for tag, b, e, _, _ in S._alike(words, text).get_opcodes() if tag == "equal") / len(words)
+        if S.CHARACTERS_FROM <= share < S.QUOTE_FOUND:
+            quote = " ".join(words)
+            share = max(share, max(S._alike(quote, part).ratio() for part in S._windows(len(quote), " ".join(text))))
+        assert S.ordered_share(words, text) == share, (words, text)
+
+
+def test_few_rows_of_long_texts_are_dealt_over_tasks(spark):
+    rows = spark.createDataFrame([(i, "text") for i in range(400)], "id int, text string").groupBy("id").agg(F.first("text"))
+    assert spread(rows, "id").select(F.spark_partition_id().alias("p")).distinct().count() > 1
