@@ -175,7 +175,7 @@ _NMS_SQL = _NMS_SQL.replace(
 @query("nms", _NMS_SQL)
 def nms(t: Tables):
     """Lines of a part as scored boxes."""
-    return G.nms(cut_lineage(_part_boxes(t)), CH, cell=64.0)
+    return G.nms(_part_boxes(t), CH, cell=64.0)
 
 
 @query("near_duplicate_hash", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -171,17 +172,15 @@ def nms(boxes: DataFrame, keys: Sequence[str], limit: float = NMS_IOU, cell: flo
     keys = list(keys)
     rect = ["x", "y", "w", "h"]
     best = F.struct(F.col("score").alias("s"), (-F.col("box_id")).alias("i"))
-    first = boxes.groupBy(*keys, *rect).agg(F.max_by(F.struct("box_id", "score"), best).alias("b"))
-    single = first.select(*keys, *rect, "b.*")
-    scored = cut_lineage(single)
     if limit >= 1:  # even equal boxes stay then
         return boxes
-    pairs = box_pairs(scored, keys, "box_id", cell, grow=1.0)
-    pairs = pairs.filter(iou(F.col("box_a"), F.col("box_b"), plus=1.0) > limit).select(*keys, "id_a", "id_b")
-    side = lambda tag: scored.select(*keys, F.col("box_id").alias(f"id_{tag}"), F.col("score").alias(f"s_{tag}"))
-    edges = pairs.join(side("a"), [*keys, "id_a"]).join(side("b"), [*keys, "id_b"])
-    a_wins = (F.col("s_a") > F.col("s_b")) | ((F.col("s_a") == F.col("s_b")) & (F.col("id_a") < F.col("id_b")))
-    edges = cut_lineage(edges.select(
+    rest = [c for c in boxes.columns if c not in (*keys, *rect)]
+    scored = cut_lineage(boxes.groupBy(*keys, *rect).agg(F.max_by(F.struct(*rest), best).alias("b")).select(*keys, *rect, "b.*").select(*boxes.columns))
+    pairs = box_pairs(scored, keys, "box_id", cell, grow=1.0, carry=["score"])
+    pairs = pairs.filter(iou(F.col("box_a"), F.col("box_b"), plus=1.0) > limit)
+    s_a, s_b = F.col("box_a.score"), F.col("box_b.score")
+    a_wins = (s_a > s_b) | ((s_a == s_b) & (F.col("id_a") < F.col("id_b")))
+    edges = cut_lineage(pairs.select(
         *keys, F.when(a_wins, F.col("id_a")).otherwise(F.col("id_b")).alias("better"),
         F.when(a_wins, F.col("id_b")).otherwise(F.col("id_a")).alias("worse")))
     dropped, rounds = [], 0
@@ -200,10 +199,10 @@ def nms(boxes: DataFrame, keys: Sequence[str], limit: float = NMS_IOU, cell: flo
         gone = out.select(*keys, F.col("id").alias("better")).unionByName(decided.select(*keys, "better")).distinct()
         edges = edges.join(out.withColumnRenamed("id", "worse"), [*keys, "worse"], "left_anti").join(gone, [*keys, "better"], "left_anti")
         edges, rounds = cut_lineage(edges), rounds + 1
-    left = scored.select(*keys, "box_id")
-    for out in dropped:
-        left = left.join(out.withColumnRenamed("id", "box_id"), [*keys, "box_id"], "left_anti")
-    return boxes.join(left, [*keys, "box_id"], "left_semi")
+    left = scored
+    if dropped:
+        left = left.join(reduce(DataFrame.unionByName, dropped).withColumnRenamed("id", "box_id"), [*keys, "box_id"], "left_anti")
+    return left
 
 
 def settled_heads(edges: DataFrame, scored: DataFrame, keys: Sequence[str]) -> DataFrame:

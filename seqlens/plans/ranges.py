@@ -42,18 +42,18 @@ def interval_join(
     )
 
 
-def box_pairs(boxes: DataFrame, keys: Sequence[str], box_id: str, width: float, grow: float = 0.0) -> DataFrame:
+def box_pairs(boxes: DataFrame, keys: Sequence[str], box_id: str, width: float, grow: float = 0.0, carry: Sequence[str] = ()) -> DataFrame:
     """Pairs (a, b), a < b, of boxes x, y, w, h whose rectangles touch.
 
     Each box is listed in every grid cell it covers; a pair is kept only in the
-    first cell it shares. ``grow`` pads each rectangle on all sides.
+    first cell it shares. ``grow`` pads each rectangle on all sides; ``carry`` names more columns for the struct of a box.
     """
     keys = list(keys)
     g = F.lit(float(grow))
     cell = boxes.select(
         *keys,
         F.col(box_id).alias("id"),
-        F.struct("x", "y", "w", "h").alias("box"),
+        F.struct("x", "y", "w", "h", *carry).alias("box"),
         (F.col("x") - g).cast("double").alias("x0"),
         (F.col("y") - g).cast("double").alias("y0"),
         (F.col("x") + F.col("w") + g).cast("double").alias("x1"),
