@@ -63,10 +63,10 @@ def interval_remap(old: DataFrame, new: DataFrame, keys: Sequence[str], width: f
     pairs = interval_join(span(old, "old"), span(new, "new"), keys, ("old_y", "old_end"), ("new_y", "new_end"), width)
     shared = F.least("old_end", "new_end") - F.greatest("old_y", "new_y")
     pairs = pairs.withColumn("ov", shared).filter("ov > 0")
-    best = pairs.groupBy(*keys, "old").agg(F.max_by(
-        F.struct("new", "new_y"), F.struct("ov", (-F.col("new_y")).alias("a"), (-F.col("new")).alias("b"))).alias("b"))
-    inside = pairs.filter(F.col("ov") >= INSIDE_SHARE * F.col("new_h")).select(*keys, "old", "new", F.col("new_y").alias("y"))
-    strips = inside.unionByName(best.select(*keys, "old", F.col("b.new").alias("new"), F.col("b.new_y").alias("y"))).distinct()
+    # one shuffle by old unit: the best pair, the pairs inside and the distinct rows are all told there
+    place = F.row_number().over(Window.partitionBy(*keys, "old").orderBy(F.desc("ov"), "new_y", "new"))
+    chosen = pairs.select(*keys, "old", "new", "new_y", "ov", (F.col("ov") >= INSIDE_SHARE * F.col("new_h")).alias("inside")).withColumn("place", place)
+    strips = chosen.filter("inside OR place = 1").select(*keys, "old", "new", F.col("new_y").alias("y")).distinct()
     pages = old.filter("page IS NOT NULL").select(*keys, "page", F.col("unit").alias("old")).join(
         new.select(*keys, "page", F.col("unit").alias("new"), F.col("y").cast("double").alias("y")), [*keys, "page"]
     ).drop("page")
