@@ -398,7 +398,7 @@ _PLAN_SQL = """
     SELECT chapter_id, scene, count(*) AS checked, count(*) FILTER (NOT inside) AS violations, min(b) FILTER (NOT inside) AS first_at FROM r GROUP BY 1, 2""")
 def containment_audit(t: Tables):
     """A framing plan per scene in four modes; boxes are the lines of the part."""
-    s = t.scenes()
+    s = cut_lineage(t.scenes().select("chapter_id", "scene", "panel", "supp", "dur", "n_keywords"))
     mode = F.element_at(F.array(F.lit("scroll"), F.lit("anchor"), F.lit("crop"), F.lit("contain")), (F.col("scene") % 4 + 1).cast("int"))
     num = lambda v: F.lit(float(v))
     plans = s.select(
