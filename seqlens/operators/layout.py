@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from seqlens.functions.values import box_intersection, hamming, iou, upper_median
 from seqlens.operators.evidence import nearest_by_number
 from seqlens.operators.timeline import anchor_chain
+from seqlens.plans.batches import fold_groups
 from seqlens.plans.ranges import box_pairs, interval_join
 from seqlens.plans.rounds import connected_components
 from seqlens.plans.scan import ordinal_block, ranked_positions, scan
@@ -99,39 +100,89 @@ def box_clusters(boxes: DataFrame, keys: Sequence[str], pad: float = CLUSTER_PAD
 
 
 def closed_groups(boxes: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
-    """``boxes`` with ``__root``: a number of the stretch of rows that a box lies in, so that boxes of two stretches never meet, united or not.
+    """``boxes`` with ``__part``: a number of the blocks of ``cell`` rows that a box lies in, so that boxes of two parts never meet, united or not.
 
-    A stretch begins at a box that no box above it reaches. The farthest end above is known per block of ``cell`` rows first and
-    then within the block, so a unit of any number of boxes is spread over tasks.
+    A part begins at a block that no box of a block above reaches into; it holds one or more stretches. Only one row per block is looked at in
+    order, so a unit of any number of boxes is spread over tasks.
     """
     keys = list(keys)
-    rows = cut_lineage(boxes.withColumns({"__y": F.col("y").cast("double"), "__end": (F.col("y") + F.col("h")).cast("double")}).withColumn(
-        "__block", F.floor(F.col("__y") / F.lit(cell)).cast("bigint")))
-    across = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy(*keys, "__block").agg(F.max("__end").alias("__far")).select(*keys, "__block", F.max("__far").over(across).alias("__above"))
-    inside = Window.partitionBy(*keys, "__block").orderBy("__y", "box_id").rowsBetween(Window.unboundedPreceding, -1)
-    known = rows.join(ends.hint("merge"), [*keys, "__block"]).withColumn("__far", F.greatest("__above", F.max("__end").over(inside)))
-    begins = F.when(F.col("__far").isNull() | (F.col("__far") <= F.col("__y")), 1).otherwise(0)
-    return scan(known.withColumn("__begin", begins), keys, ["__y", "box_id"], F.col("__block"), running={"__root": F.col("__begin")}).drop(
-        "__y", "__end", "__block", "__above", "__far", "__begin")
-
-
-def united(boxes: list[tuple[float, ...]]) -> list[list[float]]:
-    """Boxes (id, x, y, w, h) after serial merging: the last one goes to the first kept box with which it shares 60 % of the smaller, until nothing changes."""
-    while True:
-        kept: list[list[float]] = []
-        for name, x, y, w, h in reversed(boxes):
-            for k in kept:
-                across, down = min(x + w, k[1] + k[3]) - max(x, k[1]), min(y + h, k[2] + k[4]) - max(y, k[2])
-                if across > 0 and down > 0 and across * down >= SAME_BOX * min(w * h, k[3] * k[4]):
-                    left, top = min(x, k[1]), min(y, k[2])
-                    k[:] = min(name, k[0]), left, top, max(x + w, k[1] + k[3]) - left, max(y + h, k[2] + k[4]) - top
-                    break
-            else:
-                kept.append([name, x, y, w, h])
-        if len(kept) == len(boxes):
-            return kept
-        boxes = kept
+    rows = cut_lineage(boxes.withColumn("__block", F.floor(F.col("y") / F.lit(cell)).cast("bigint")))
+    across = Window.partitionBy(*keys).orderBy("__block")
+    blocks = rows.groupBy(*keys, "__block").agg(F.min("y").alias("__top"), F.max(F.col("y") + F.col("h")).alias("__end"))
+    blocks = blocks.withColumn("__far", F.max("__end").over(across.rowsBetween(Window.unboundedPreceding, -1)))
+    part = F.sum(F.when(F.col("__far") > F.col("__top"), 0).otherwise(1)).over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.join(blocks.select(*keys, "__block", part.alias("__part")).hint("merge"), [*keys, "__block"]).drop("__block")
+
+
+def stretches(y: np.ndarray, end: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Number of the stretch of every box; boxes go downward in each group. A stretch begins at a box that no box above it reaches."""
+    ends, rank = np.unique(end, return_inverse=True)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(y)))) * len(ends)
+    far = ends[np.maximum.accumulate(group + rank) - group]
+    begins = np.append(True, far[:-1] <= y[1:])
+    begins[starts] = True
+    return np.cumsum(begins) - 1
+
+
+#: Cells (stretches times boxes kept) that are compared in one step.
+LANE_CELLS = 1 << 16
+
+
+def united(boxes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Boxes (id, x, y, w, h as rows) of many stretches after serial merging, and how many are left of each.
+
+    In a stretch the last box goes to the first kept box with which it shares 60 % of the smaller, until nothing changes. Stretches of
+    like length take their steps together.
+    """
+    sizes = np.diff(np.append(starts, boxes.shape[1]))
+    left: list[np.ndarray | None] = [None] * len(starts)
+    order = np.argsort(sizes, kind="stable")
+    alone = order[sizes[order] == 1]
+    for i in alone:
+        left[i] = boxes[:, starts[i]:starts[i] + 1]
+    at = len(alone)
+    while at < len(order):
+        width = int(sizes[order[at]])
+        upto = at + 1
+        while upto < len(order) and sizes[order[upto]] <= 2 * width and (upto - at + 1) * sizes[order[upto]] <= LANE_CELLS:
+            upto += 1
+        lanes = order[at:upto]
+        at = upto
+        width = int(sizes[lanes[-1]])
+        place = starts[lanes][:, None] + np.arange(width)
+        there = np.arange(width) < sizes[lanes][:, None]
+        todo, count = boxes[:, np.where(there, place, 0)], sizes[lanes].copy()
+        while len(lanes):
+            kept, n = _one_pass(todo, count)
+            settled = n == count
+            for j in np.flatnonzero(settled):
+                left[lanes[j]] = kept[:, j, :n[j]]
+            lanes, todo, count = lanes[~settled], kept[:, ~settled], n[~settled]
+    return np.concatenate(left, axis=1), np.array([x.shape[1] for x in left])
+
+
+def _one_pass(todo: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every lane's boxes from the last to the first, each united with the first kept one it doubles or kept: (kept, how many)."""
+    kept, n = np.zeros_like(todo), np.zeros(len(count), np.int64)
+    every, width = np.arange(len(count)), todo.shape[2]
+    for step in range(int(count.max())):
+        live = every[count > step]
+        box = todo[:, live, count[live] - 1 - step][:, :, None]
+        most = max(int(n[live].max()), 1)
+        k = kept[:, live, :most]
+        across = np.minimum(box[1] + box[3], k[1] + k[3]) - np.maximum(box[1], k[1])
+        down = np.minimum(box[2] + box[4], k[2] + k[4]) - np.maximum(box[2], k[2])
+        same = (across > 0) & (down > 0) & (across * down >= SAME_BOX * np.minimum(box[3] * box[4], k[3] * k[4])) & (np.arange(most) < n[live][:, None])
+        hit = same.any(axis=1)
+        own, one = live[~hit], box[:, ~hit, 0]
+        kept[:, own, n[own]] = one
+        n[own] += 1
+        lane, (name, x, y, w, h) = live[hit], box[:, hit, 0]
+        spot = same[hit].argmax(axis=1)
+        o = kept[:, lane, spot]
+        left, top = np.minimum(x, o[1]), np.minimum(y, o[2])
+        kept[:, lane, spot] = np.stack([np.minimum(name, o[0]), left, top, np.maximum(x + w, o[1] + o[3]) - left, np.maximum(y + h, o[2] + o[4]) - top])
+    return kept, n
 
 
 def merge_duplicate_boxes(boxes: DataFrame, keys: Sequence[str], cell: float = 128.0) -> DataFrame:
@@ -144,17 +195,21 @@ def merge_duplicate_boxes(boxes: DataFrame, keys: Sequence[str], cell: float = 1
     keys = list(keys)
     cols = ["box_id", "x", "y", "w", "h"]
     rows = closed_groups(boxes.select(*keys, "box_id", *[F.col(c).cast("double").alias(c) for c in cols[1:]]), keys, cell)
-    rows = cut_lineage(rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "__root"))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            left = [united([tuple(b[c] for c in cols) for b in held]) for held in batch["__held"]]
-            out = batch.loc[batch.index.repeat([len(x) for x in left]), keys].reset_index(drop=True)
-            yield pd.concat([out, pd.DataFrame([b for x in left for b in x], columns=cols)], axis=1)
 
-    held = rows.filter("__n > 1").groupBy(*keys, "__root").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("__held"))
-    folded = held.select(*keys, "__held").mapInPandas(run, rows.select(*keys, *cols).schema)
-    return rows.filter("__n = 1").select(*keys, *cols).unionByName(folded)
+    def fold(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        # ids go by their place in order, which a double holds whatever they are
+        known, place = np.unique(table.column("box_id").to_numpy(), return_inverse=True)
+        values = np.stack([place.astype(float), *[table.column(c).to_numpy() for c in cols[1:]]])
+        stretch = stretches(values[2], values[2] + values[4], starts)
+        order = np.lexsort([place, stretch])
+        firsts = np.flatnonzero(np.diff(stretch, prepend=-1))
+        left, n = united(values[:, order], firsts)
+        group = table.select(keys).take(pa.array(np.repeat(firsts, n)))
+        for name, column in zip(cols, [known[left[0].astype(np.int64)], *left[1:]], strict=True):
+            group = group.append_column(name, pa.array(column))
+        return group
+
+    return fold_groups(rows, [*keys, "__part"], ["y", "box_id"], fold, rows.select(*keys, *cols).schema)
 
 
 #: Boxes of a group of overlapping ones that one task settles at a time, and rounds of local winners before groups are looked for.
