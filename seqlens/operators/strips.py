@@ -21,6 +21,7 @@ SOFT_CAP, CLEAN_INK, INK_CEIL = 1.25, 0.20, 0.55
 CUT_LAMBDA, INK_WEIGHT = 4.0, 120.0
 CUT_PAD = 16
 OVER_TALL, SNAP_SPREAD, SNAP_GAP, SNAP_PAD = 1.5, 40, 8, 4
+STOP, INK, EDGE = 0, 1, 2
 
 
 def is_gutter() -> Column:
@@ -197,26 +198,31 @@ def snap_edges(slices: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataF
         "tall": (F.col("y1") - F.col("y0") > F.col("med") * OVER_TALL) & (F.col("n") > 1), "ceil": F.coalesce("ceil", "height"),
     })
     base = cut_lineage(base.select(*keys, "y0", "y1", "tall", "ceil"))
+    # a walk stays between a tall slice and its neighbours, so only marks there matter
+    sides = scan(base, keys, ["y0"], ordinal_block("y0"), prev={"above": F.col("y1")}, nxt={"below": F.col("tall")})
+    gaps = sides.select(*keys, F.explode(F.array(
+        F.struct(F.col("y1").alias("a"), F.col("ceil").alias("b"), (F.col("tall") | F.coalesce("below", F.lit(False))).alias("near")),
+        F.struct(F.lit(0).cast("bigint").alias("a"), F.col("y0").alias("b"), (F.col("tall") & F.col("above").isNull()).alias("near")))).alias("e"))
+    gaps = gaps.filter("e.near AND e.b > e.a").select(*keys, F.explode(F.sequence(F.col("e.a"), F.col("e.b") - 1)).alias("y"))
     marks = rows.select(
-        *keys, F.col("y").cast("bigint").alias("y"),
-        F.when(~is_gutter(), "stop").when(F.col("rmax") - F.col("rmin") > SNAP_SPREAD, "ink").alias("kind"),
+        *keys, F.col("y").cast("bigint").alias("y"), F.when(~is_gutter(), STOP).when(F.col("rmax") - F.col("rmin") > SNAP_SPREAD, INK).alias("kind"),
     ).filter("kind IS NOT NULL")
-    marks = cut_lineage(marks)
+    marks = cut_lineage(marks.join(gaps, [*keys, "y"]))
 
     def walk(edges: DataFrame, stops: DataFrame, sign: int) -> DataFrame:
         """Farthest chained mark from each edge: (keys, edge, reach)."""
-        spots = edges.select(*keys, F.col("edge").alias("y"), F.lit("edge").alias("kind"), F.lit(0).alias("rank")).unionByName(
-            stops.select(*keys, F.col("stop").alias("y"), F.lit("stop").alias("kind"), F.lit(1).alias("rank"))
+        spots = edges.select(*keys, F.col("edge").alias("y"), F.lit(EDGE).alias("kind"), F.lit(0).alias("rank")).unionByName(
+            stops.select(*keys, F.col("stop").alias("y"), F.lit(STOP).alias("kind"), F.lit(1).alias("rank"))
         ).unionByName(marks.withColumn("rank", F.lit(2)))
         spots = spots.withColumn("v", F.col("y") * sign)
         # at one position a boundary comes before the row itself; an edge after everything
-        spots = spots.withColumn("rank", F.when(F.col("kind") == "edge", 3).otherwise(F.col("rank")))
+        spots = spots.withColumn("rank", F.when(F.col("kind") == EDGE, 3).otherwise(F.col("rank")))
         runs = islands(
             spots, keys, ["v", "rank"], ordinal_block("v"), watch={"v": F.col("v"), "kind": F.col("kind")},
-            same=lambda p, c: (c("kind") == "ink") & p("kind").isin("ink", "edge") & (c("v") - p("v") <= SNAP_GAP + 1),
+            same=lambda p, c: (c("kind") == INK) & p("kind").isin(INK, EDGE) & (c("v") - p("v") <= SNAP_GAP + 1),
             aggs={"head": ("first", F.col("kind")), "from": ("min", F.col("v")), "to": ("max", F.col("v"))},
         )
-        return runs.filter("head = 'edge' AND to > from").select(
+        return runs.filter((F.col("head") == EDGE) & (F.col("to") > F.col("from"))).select(
             *keys, (F.col("from") * sign).alias("edge"), (F.col("to") * sign).alias("reach"))
 
     tall = base.filter("tall")
