@@ -6,10 +6,15 @@ rows: (keys, y, rmin, rmax, rmean, ink), y dense from 0.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
+from seqlens.plans.batches import fold_groups
 from seqlens.plans.ranges import interval_join
 from seqlens.plans.scan import islands, ordinal_block, scan
 from seqlens.session import cut_lineage
@@ -105,7 +110,8 @@ def row_energy(rows: DataFrame, keys: Sequence[str], boxes: DataFrame | None = N
     mean, ink, and whether a padded text box forbids a cut there.
 
     Rows near a block's edge are copied to the neighbour block, so the nine-row
-    frame never needs the whole strip in one task. boxes: (keys, box_y0, box_y1).
+    frame never needs the whole strip in one task; boxes are listed in every block they
+    cover and lie in the same window as the rows. boxes: (keys, box_y0, box_y1).
     """
     keys = list(keys)
     y = F.col("y")
@@ -114,72 +120,108 @@ def row_energy(rows: DataFrame, keys: Sequence[str], boxes: DataFrame | None = N
     places = F.array_compact(F.array(home, F.when(inside < 4, home - 1), F.when(inside >= block - 4, home + 1)))
     spread = rows.select(*keys, "y", "rmean", "ink", (F.col("rmax") - F.col("rmin")).cast("double").alias("spread"), home.alias("home"),
                          F.explode(places).alias("cell"))
+    if boxes is not None:
+        spans = boxes.select(*keys, (F.col("box_y0") - CUT_PAD).cast("bigint").alias("y"), (F.col("box_y1") + CUT_PAD - 1).cast("bigint").alias("until"))
+        cells = F.sequence(F.floor(F.col("y") / block).cast("bigint"), F.floor(F.col("until") / block).cast("bigint"))
+        spans = spans.filter("until >= y").withColumn("cell", F.explode(cells))
+        spread = spread.withColumn("y", y.cast("bigint")).unionByName(spans, allowMissingColumns=True)
+    # frames go by y, so boxes between the rows change nothing but the farthest end above
     near = Window.partitionBy(*keys, "cell").orderBy("y")
-    nine = near.rowsBetween(-4, 4)
-    up, down = F.lag("rmean").over(near), F.lead("rmean").over(near)
-    out = spread.withColumns({
-        "mean9": F.avg("spread").over(nine), "n9": F.count(F.lit(1)).over(nine),
-        "lap": F.coalesce(2 * F.col("rmean") - up - down, F.lit(0.0)),
-    }).filter("cell = home").drop("cell", "home")
-    if boxes is None:
-        return out.withColumn("forbidden", F.lit(False))
-    spans = boxes.select(*keys, (F.col("box_y0") - CUT_PAD).alias("f0"), (F.col("box_y1") + CUT_PAD - 1).alias("f1"))
-    spots = out.select(*keys, "y", F.col("y").alias("y_end"))
-    hit = interval_join(spots, spans, keys, ("y", "y_end"), ("f0", "f1"), 256.0).select(*keys, "y").distinct()
-    return out.join(hit.withColumn("forbidden", F.lit(True)), [*keys, "y"], "left").withColumn("forbidden", F.coalesce("forbidden", F.lit(False)))
-
-
-def forced_cuts(slices: DataFrame, energy: DataFrame, keys: Sequence[str], max_slice: int = MAX_SLICE, guard: bool = True) -> DataFrame:
+    nine = near.rangeBetween(-4, 4)
+    up, down = F.sum("rmean").over(near.rangeBetween(-1, -1)), F.sum("rmean").over(near.rangeBetween(1, 1))
+    covered = F.lit(False) if boxes is None else F.coalesce(F.max("until").over(near.rangeBetween(Window.unboundedPreceding, Window.currentRow)) >= y, F.lit(False))
+    return spread.withColumns({
+        "mean9": F.avg("spread").over(nine), "n9": F.count("home").over(nine),
+        "lap": F.coalesce(2 * F.col("rmean") - up - down, F.lit(0.0)), "forbidden": covered,
+    }).filter("cell = home").select(*keys, "y", "rmean", "ink", "spread", "mean9", "n9", "lap", "forbidden")
+
+
+#: Rows, in times the soft cap, of one slice that a round reads.
+CUT_ROWS = 32
+
+
+def forced_cuts(slices: DataFrame, energy: DataFrame, keys: Sequence[str], max_slice: int = MAX_SLICE, guard: bool = True, stretch: int = CUT_ROWS) -> DataFrame:
     """Cut slices above ``max_slice`` at their flattest legal row, top down.
 
-    One round cuts every over-tall slice of every strip once; rounds go on with the
-    lower parts until all fit. A round reads at most 1.25 · max_slice rows per slice.
+    One round cuts every over-tall slice of every strip as often as ``stretch`` times 1.25 · max_slice of its
+    rows allow, in numpy; rounds go on with the lower parts until all fit.
     Ladder: band, widened down, widened up, with the ink ceiling and then without;
     finally the flattest row of the band.
     """
     keys = list(keys)
-    energy = cut_lineage(energy)
     soft = int(max_slice * SOFT_CAP)
+    reach = stretch * soft
     fits = F.col("y1") - F.col("y0") <= max_slice
-    done = [slices.filter(fits).select(*keys, "y0", "y1")]
-    live = cut_lineage(slices.filter(~fits).select(*keys, "y0", "y1"))
-    sid = [*keys, "y0", "y1"]
-    while not live.isEmpty():
-        bh = F.col("y1") - F.col("y0")
-        lo = F.col("y0") + F.least(F.floor(bh * 0.35), F.lit(int(max_slice * 0.5)))
-        hi = F.col("y0") + F.least(F.floor(bh * 0.75), F.lit(max_slice))
-        spans = live.withColumns({"lo": lo, "hi": hi, "reach": F.col("y0") + F.least(bh, F.lit(soft))})
-        at = energy.withColumn("y_end", F.col("y"))
-        near = interval_join(spans, at, keys, ("y0", "reach"), ("y", "y_end"), 4096.0)
-        bands = [(F.col("lo"), F.col("hi")), (F.col("lo"), F.col("reach")), (F.col("y0") + int(max_slice * 0.25), F.col("reach"))]
-        calm = F.col("mean9") - CUT_LAMBDA * F.col("lap")
-        picks = []
-        for use_ink in (True, False):
-            for a, b in bands:
-                a = F.greatest(a, F.col("y0") + 9)
-                b = F.least(b, F.col("y1") - 9)
-                ok = (b - a >= 9) & F.col("y").between(a + 4, b - 6) & ~F.col("forbidden")
-                if use_ink:
-                    ok = ok & (F.col("ink") <= INK_CEIL)
-                e = calm + INK_WEIGHT * F.col("ink") if use_ink else calm
-                picks.append(F.min_by(F.struct("y", "ink"), F.when(ok, F.struct(e.alias("e"), F.col("y")))))
-        plain = F.min_by(F.struct("y", "ink"), F.when(
-            F.col("y").between(F.col("lo") + 4, F.col("hi") - 6), F.struct("mean9", "y")))
-        legal = F.coalesce(*picks) if guard else F.lit(None).cast("struct<y:bigint,ink:double>")
-        best = near.groupBy(*sid, "lo").agg(legal.alias("legal"), plain.alias("plain"))
-        tall = F.col("y1") - F.col("y0")
-        whole = F.coalesce((tall <= soft) & (F.col("legal.ink") > CLEAN_INK), F.lit(False))
-        cut = F.coalesce("legal.y", "plain.y", "lo")
-        turned = cut_lineage(best.select(*sid, F.when(~whole, cut).cast("bigint").alias("cut")))
-        done.append(turned.filter("cut IS NULL").select(*sid))
-        done.append(turned.filter("cut IS NOT NULL").select(*keys, "y0", F.col("cut").alias("y1")))
-        rest = turned.filter("cut IS NOT NULL").select(*keys, F.col("cut").alias("y0"), "y1")
-        done.append(rest.filter(fits))
-        live = rest.filter(~fits)
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    tall = slices.select(*keys, F.col("y0").cast("bigint").alias("y0"), F.col("y1").cast("bigint").alias("y1"))
+    done = [tall.filter(fits)]
+    live = cut_lineage(tall.filter(~fits))
+    if live.isEmpty():
+        return done[0]
+    energy = cut_lineage(energy.select(*keys, F.col("y").cast("bigint").alias("y"), F.col("mean9").cast("double").alias("mean9"),
+                                       F.col("lap").cast("double").alias("lap"), F.col("ink").cast("double").alias("ink"), "forbidden"))
+    schema = StructType([*live.schema.fields, StructField("open", BooleanType())])
+
+    def fold(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        ends = np.append(starts[1:], len(table))
+        col = {n: table.column(n).to_numpy() for n in ("y0", "y1", "y", "mean9", "lap", "ink", "forbidden")}
+        # a measure that is missing comes before all others
+        flat = np.where(np.isnan(col["mean9"]), -np.inf, col["mean9"])
+        calm = col["mean9"] - CUT_LAMBDA * col["lap"]
+        calm, inked = [np.where(np.isnan(e), -np.inf, e) for e in (calm, calm + INK_WEIGHT * col["ink"])]
+        row, top, bottom, more = [], [], [], []
+        for at, (a, b) in enumerate(zip(starts, ends, strict=True)):
+            y0, y1 = int(col["y0"][a]), int(col["y1"][a])
+            read = min(y1, y0 + reach)
+            while True:
+                part = y1 - y0 <= max_slice
+                if part or min(y0 + soft, y1) > read:
+                    cut = y1
+                else:
+                    cut = _cut(y0, y1, max_slice, col["y"][a:b], flat[a:b], calm[a:b], inked[a:b], col["ink"][a:b], col["forbidden"][a:b], guard)
+                    part = True
+                row.append(at)
+                top.append(y0)
+                bottom.append(cut)
+                more.append(not part)
+                if cut == y1:
+                    break
+                y0 = cut
+        out = table.select(keys).take(pa.array(starts[row]))
+        for name, values in (("y0", np.array(top, np.int64)), ("y1", np.array(bottom, np.int64)), ("open", np.array(more, bool))):
+            out = out.append_column(name, pa.array(values))
+        return out
+
+    while True:
+        spans = live.withColumn("reach", F.least(F.col("y1"), F.col("y0") + reach))
+        near = interval_join(spans, energy.withColumn("y_end", F.col("y")), keys, ("y0", "reach"), ("y", "y_end"), 4096.0).drop("y_end", "reach")
+        turned = cut_lineage(fold_groups(near, [*keys, "y0", "y1"], ["y"], fold, schema))
+        done.append(turned.filter("NOT open").drop("open"))
+        live = turned.filter("open").drop("open")
+        if live.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
+def _cut(
+    y0: int, y1: int, max_slice: int, y: np.ndarray, flat: np.ndarray, calm: np.ndarray, inked: np.ndarray, ink: np.ndarray, forbidden: np.ndarray, guard: bool,
+) -> int:
+    """Row at which the slice from y0 is cut; y1 if it is left whole."""
+    tall, soft = y1 - y0, int(max_slice * SOFT_CAP)
+    lo, hi, reach = y0 + min(int(np.floor(tall * 0.35)), int(max_slice * 0.5)), y0 + min(int(np.floor(tall * 0.75)), max_slice), y0 + min(tall, soft)
+
+    def least(e: np.ndarray, a: int, b: int, ok: np.ndarray | None) -> int | None:
+        a, b = np.searchsorted(y, [max(a, y0), min(b, reach) + 1])
+        spots = np.arange(a, b) if ok is None else a + np.flatnonzero(ok[a:b])
+        return int(spots[e[spots].argmin()]) if len(spots) else None
+
+    for use_ink in (True, False) if guard else ():
+        ok = ~forbidden & (ink <= INK_CEIL) if use_ink else ~forbidden
+        for a, b in ((lo, hi), (lo, reach), (y0 + int(max_slice * 0.25), reach)):
+            a, b = max(a, y0 + 9), min(b, y1 - 9)
+            best = least(inked if use_ink else calm, a + 4, b - 6, ok) if b - a >= 9 else None
+            if best is not None:
+                return y1 if tall <= soft and ink[best] > CLEAN_INK else int(y[best])
+    best = least(flat, lo + 4, hi - 6, None)
+    return lo if best is None else int(y[best])
 
 
 def snap_edges(slices: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
