@@ -49,11 +49,17 @@ def content_runs(rows: DataFrame, keys: Sequence[str], min_gap: int | None = Non
     gap = F.lit(min_gap) if min_gap is not None else F.greatest(
         F.lit(12), F.least(F.floor(F.col("height") * 0.006), F.lit(28)))
     sizes = _heights(rows, keys).withColumn("gap", gap.cast("bigint"))
-    ink = rows.filter(~is_gutter()).select(*keys, "y").join(sizes, keys)
-    runs = islands(
-        ink, keys, ["y"], ordinal_block("y"), watch={"y": F.col("y"), "gap": F.col("gap")},
-        same=lambda p, c: c("y") - p("y") - 1 < c("gap"),
-        aggs={"y0": ("min", F.col("y")), "y1": ("max", F.col("y") + 1), "height": ("max", F.col("height")), "gap": ("max", F.col("gap"))},
+    # rows join at the least gap first, so that only runs have to know their strip's
+    least = F.lit(12 if min_gap is None else min_gap)
+    ink = rows.filter(~is_gutter()).select(*keys, "y")
+    close = islands(
+        ink, keys, ["y"], ordinal_block("y"), watch={"y": F.col("y")}, same=lambda p, c: c("y") - p("y") - 1 < least,
+        aggs={"y0": ("min", F.col("y")), "y1": ("max", F.col("y") + 1)},
+    ).join(sizes, keys)
+    runs = close if min_gap is not None else islands(
+        close, keys, ["y0"], ordinal_block("y0"), watch={"y0": F.col("y0"), "y1": F.col("y1"), "gap": F.col("gap")},
+        same=lambda p, c: c("y0") - p("y1") < c("gap"),
+        aggs={"y0": ("min", F.col("y0")), "y1": ("max", F.col("y1")), "height": ("max", F.col("height")), "gap": ("max", F.col("gap"))},
     )
     end = F.when(F.col("height") - F.col("y1") < F.col("gap"), F.col("height")).otherwise(F.col("y1"))
     return runs.select(*keys, "y0", end.alias("y1")).filter("y1 - y0 > 4")
