@@ -351,7 +351,7 @@ def importance_weights(t: Tables):
     """Scenes of an order as units of one layout."""
     from seqlens.operators.timeline import scene_spans
 
-    s = cut_lineage(scene_spans(t.scenes(), CH))
+    s = cut_lineage(scene_spans(cut_lineage(t.scenes().select("chapter_id", "scene", "dur", "panel", "supp", "discount")), CH))
     total = s.groupBy("chapter_id").agg(F.max("t1").alias("total"))
     units = s.join(total, "chapter_id").select(
         "chapter_id", F.col("scene").alias("pos"), (100 + F.col("panel") % 300).alias("w"), (100 + F.col("supp") % 300).alias("h"),
@@ -422,7 +422,7 @@ def containment_audit(t: Tables):
     WHERE CASE WHEN height - y1 < 12 THEN height ELSE y1 END - y0 > 4""")
 def content_runs(t: Tables):
     """Suppliers as strips of pixel rows."""
-    return S.content_runs(_rows(t), CH)
+    return S.content_runs(cut_lineage(_rows(t)), CH)
 
 
 def _segments(t: Tables, rows):

@@ -460,15 +460,15 @@ def importance_weights(units: DataFrame, keys: Sequence[str]) -> DataFrame:
     sums = ranked.groupBy(*keys).agg(
         F.max("coverage").alias("__top"), F.max("pos").alias("__last"), upper_median("__area").alias("__median")
     )
-    follow = units.select(*keys, (F.col("pos") - 1).alias("pos"), F.col("beat").alias("__next"))
-    rows = ranked.join(sums, keys).join(follow, [*keys, "pos"], "left")
+    follow = scan(ranked, keys, ["pos"], ordinal_block("pos"), nxt={"__pos": F.col("pos"), "__next": F.col("beat")})
+    rows = follow.withColumn("__next", F.when(F.col("__pos") == F.col("pos") + 1, F.col("__next"))).join(sums, keys)
     share = F.greatest(F.coalesce("__next", "dur") - F.col("beat"), F.lit(0.0)) / F.greatest(F.col("dur"), F.lit(1e-6))
     dense = F.col("coverage") / F.when(F.col("__top") > 0, F.col("__top")).otherwise(1.0)
     place = F.when(F.col("pos") == F.col("__last"), 1.0).when(F.col("pos") == 0, 0.6).otherwise(0.3)
     splash = F.when((F.col("coverage") < SPLASH) & (F.col("__area") >= F.col("__median")), 1.0).otherwise(0.0)
     return rows.withColumns({
         "weight": W_BEAT * share + W_TEXT * dense + W_POS * place, "hero": 0.6 * splash + 0.4 * place,
-    }).drop("__area", "__top", "__last", "__median", "__next")
+    }).drop("__area", "__top", "__last", "__median", "__next", "__pos")
 
 
 def readability_guard(units: DataFrame, boxes: DataFrame, keys: Sequence[str], frame_w: float = 1920.0, frame_h: float = 1080.0) -> DataFrame:
