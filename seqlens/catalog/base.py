@@ -9,10 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlens.plans.scan import scan
+from seqlens.plans.scan import blocks_of, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,28 +174,42 @@ class Tables:
             F.md5(F.concat(F.col("user_id").cast("string"), F.col("event_type"))).alias("frame_md5"),
         )
 
-    def scenes(self) -> DataFrame:
-        order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity",
-                 "l_discount", "l_tax"]
-        lines = self.lineitem.select("l_orderkey", "l_returnflag", "l_linestatus", *order)
-        lines = scan(
-            lines, ["l_orderkey"], order, F.floor(F.col("l_linenumber") / 8),
-            number="scene",
+    #: What orders the lines of a chapter, by the names of ``lines``.
+    LINE_ORDER = ("l_linenumber", "panel", "supp", "l_shipdate", "price", "dur", "discount", "l_tax")
+
+    def lines(self) -> DataFrame:
+        """Lines by the names of scenes, not numbered yet."""
+        return self.lineitem.select(
+            F.col("l_orderkey").alias("chapter_id"), F.col("l_partkey").alias("panel"), F.col("l_suppkey").alias("supp"),
+            F.col("l_quantity").alias("dur"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"),
+            F.col("l_linestatus").alias("ambience"), "l_returnflag", "l_linenumber", "l_shipdate", "l_tax",
         )
+
+    def line_blocks(self) -> list[Column]:
+        """Blocks of lines along their order; none while all line numbers are below eight."""
+        return blocks_of(self.lineitem, F.floor(F.col("l_linenumber") / 8))
+
+    def scenes(self) -> DataFrame:
+        return self.as_scenes(scan(self.lines(), ["chapter_id"], self.LINE_ORDER, self.line_blocks(), number="scene"))
+
+    @staticmethod
+    def as_scenes(lines: DataFrame, *more: str) -> DataFrame:
+        """The columns of scenes, and ``more``, from numbered lines."""
         return lines.select(
-            F.col("l_orderkey").alias("chapter_id"),
+            "chapter_id",
             "scene",
-            F.col("l_quantity").alias("dur"),
+            "dur",
             F.when(F.col("l_returnflag") == "R", "hype").when(F.col("l_returnflag") == "N", "normal")
             .otherwise("quiet").alias("pace"),
-            F.col("l_linestatus").alias("ambience"),
-            F.col("l_partkey").alias("panel"),
-            F.col("l_suppkey").alias("supp"),
+            "ambience",
+            "panel",
+            "supp",
             (F.col("l_tax") >= 0.06).alias("emphasis"),
             (F.col("l_linenumber") % 4).cast("int").alias("n_keywords"),
-            (F.col("l_discount") < 0.005).alias("meta"),
-            F.col("l_extendedprice").alias("price"),
-            F.col("l_discount").alias("discount"),
+            (F.col("discount") < 0.005).alias("meta"),
+            "price",
+            "discount",
+            *more,
         )
 
     def reads(self) -> DataFrame:
